@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from attesta.queries import ingest, retrieval, tree  # noqa: F401
+from attesta.queries import citations, ingest, retrieval, tree  # noqa: F401
 from attesta.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

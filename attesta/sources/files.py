@@ -43,22 +43,18 @@ def guessed_mime(ext: Column) -> Column:
     return guess
 
 
-def source_kind(filename: Column, mime: Column) -> Column:
-    """Ingest route: by extension, then by MIME type, else null."""
-    ext = F.lower(F.regexp_extract(filename, r"[^/]\.([^/.]+)$", 1))
-    mime = F.coalesce(F.nullif(mime, F.lit("")), guessed_mime(ext))
+def classify_source(files: DataFrame) -> DataFrame:
+    """Add ``source_kind``: by extension, then by MIME type; null marks a reject."""
+    ext, mime = F.col("__ext"), F.col("__mime")
     kind = F.lit(None).cast("string")
-    for prefix in ("text", "video", "audio", "image"):
-        kind = F.when(F.startswith(mime, F.lit(prefix + "/")), prefix).otherwise(kind)
+    for family in ("text", "video", "audio", "image"):
+        kind = F.when(F.startswith(mime, F.lit(family + "/")), family).otherwise(kind)
     kind = F.when(mime == "application/pdf", "pdf").otherwise(kind)
     for name, extensions in EXTENSIONS.items():
         kind = F.when(ext.isin(extensions), name).otherwise(kind)
-    return kind
-
-
-def classify_source(files: DataFrame) -> DataFrame:
-    """Add ``source_kind``; null marks a file to reject."""
-    return files.withColumn("source_kind", source_kind(F.col("filename"), F.col("mime")))
+    return (files.withColumn("__ext", F.lower(F.regexp_extract("filename", r"[^/]\.([^/.]+)$", 1)))
+            .withColumn("__mime", F.coalesce(F.nullif("mime", F.lit("")), guessed_mime(ext)))
+            .withColumn("source_kind", kind).drop("__ext", "__mime"))
 
 
 def split_rejected(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
