@@ -25,6 +25,10 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+def lstrip(text: Column | str) -> Column:
+    return F.regexp_replace(_col(text), rf"(?U)^{_SPACE}+", "")
+
+
 def rstrip(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), rf"(?U){_SPACE}+$", "")
 
