@@ -265,20 +265,20 @@ def chunk_elements(elements: DataFrame, target: int = TARGET_TOKENS, overlap: in
     mine = F.slice("el", F.col("r.a") + 1, F.col("r.b") - F.col("r.a"))
     cells = cells.select(
         "document_id", (F.coalesce("__from", F.lit(0)) + F.col("__p")).cast("bigint").alias("ord"),
-        mine.alias("el"),
+        mine.alias("part"),
         F.transform("r.heads", lambda i: F.when(i >= 0, strip(F.get("el", i)["text"]))
                     .otherwise(F.get("open", -i - 1)["title"])).alias("heads"))
-    pages = F.filter(F.transform("el", lambda e: e["page_no"]), lambda p: p.isNotNull() & (p != 0))
-    text = F.array_join(F.transform("el", lambda e: e["text"]), "\n")
+    pages = F.filter(F.transform("part", lambda e: e["page_no"]), lambda p: p.isNotNull() & (p != 0))
+    text = F.array_join(F.transform("part", lambda e: e["text"]), "\n")
     chunks = cells.select(
         "document_id", "ord", text.alias("text"),
         F.when(F.size("heads") > 0, F.array_join("heads", " > ")).alias("heading_path"),
         F.array_min(pages).alias("page_from"), F.array_max(pages).alias("page_to"),
-        (F.get("el", F.lit(0))["code"] == TABLE).alias("is_table"),
-        F.when(F.get("el", F.lit(0))["code"] == TABLE, F.get("el", F.lit(0))["reading_order"]).alias("table_order"))
+        (F.get("part", F.lit(0))["code"] == TABLE).alias("is_table"),
+        F.when(F.get("part", F.lit(0))["code"] == TABLE, F.get("part", F.lit(0))["reading_order"]).alias("table_order"))
     chunks = chunks.withColumn("token_count", token_estimate("text"))
-    at = cells.select("document_id", "ord", "el", F.posexplode("el").alias("__i", "e"))
-    length = F.aggregate(F.slice("el", 1, F.col("__i")), F.lit(0), lambda acc, e: acc + e["size"] + 1)
+    at = cells.select("document_id", "ord", "part", F.posexplode("part").alias("__i", "e"))
+    length = F.aggregate(F.slice("part", 1, F.col("__i")), F.lit(0), lambda acc, e: acc + e["size"] + 1)
     members = at.select("document_id", "ord", F.col("e.reading_order").alias("reading_order"),
                         F.col("e.page_no").alias("page_no"), F.col("e.cut_start").cast("bigint").alias("cut_start"),
                         F.col("e.cut_end").cast("bigint").alias("cut_end"), length.cast("bigint").alias("offset"),
