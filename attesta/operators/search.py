@@ -250,24 +250,25 @@ def _score_block(rows, block, k, row_id, question_id, dense, sparse, scope, scop
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, *, left_id: str = "left_id",
-            right_id: str = "right_id", digits: int | None = None) -> DataFrame:
+            right_id: str = "right_id", digits: int | None = None, earlier: bool = False) -> DataFrame:
     """(left_id, right_id, similarity, rnk): the k nearest right rows of each left row.
 
     Both sides have an id and an ``embedding``. Every left row keeps only its best k
-    per block of right vectors, so the blocks merge in one small top-k.
+    per block of right vectors, so the blocks merge in one small top-k. With ``earlier``
+    only right rows whose id is at most the left row's are considered.
     """
     schema = f"{left_id} bigint, {right_id} bigint, similarity double"
     result: DataFrame | None = None
     for block in blocks_of(right.select(right_id, "embedding").filter("embedding IS NOT NULL"),
                            right_id, 4 * BLOCK_ROWS):
-        part = _nearest_block(left.select(left_id, "embedding"), block, k, left_id, right_id, digits, schema)
+        part = _nearest_block(left.select(left_id, "embedding"), block, k, left_id, right_id, digits, schema, earlier)
         result = part if result is None else result.unionByName(part)
     if result is None:
         result = left.sparkSession.createDataFrame([], schema)
     return top_k(result, [left_id], [F.desc("similarity"), F.asc(right_id)], k, rank="rnk")
 
 
-def _nearest_block(left, block, k, left_id, right_id, digits, schema) -> DataFrame:
+def _nearest_block(left, block, k, left_id, right_id, digits, schema, earlier) -> DataFrame:
     block = block.sort_by(right_id)
     matrix, ok = to_matrix(block["embedding"])
     sent = left.sparkSession.sparkContext.broadcast(
@@ -284,11 +285,49 @@ def _nearest_block(left, block, k, left_id, right_id, digits, schema) -> DataFra
                 sims = x[usable] @ y.T
                 if digits is not None:
                     sims = np.round(sims, digits)
+                mine = np.asarray(batch.column(left_id), dtype=np.int64)[usable]
+                if earlier:
+                    sims = np.where(ids[None, :] <= mine[:, None], sims, -np.inf)
                 # stable sort on ids already ascending keeps the smaller id on ties
                 order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
-                mine = np.asarray(batch.column(left_id), dtype=np.int64)[usable]
+                best = np.take_along_axis(sims, order, axis=1).ravel()
+                real = np.isfinite(best)
                 yield pa.RecordBatch.from_pydict({
-                    left_id: np.repeat(mine, take), right_id: ids[order].ravel(),
-                    "similarity": np.take_along_axis(sims, order, axis=1).ravel()})
+                    left_id: np.repeat(mine, take)[real], right_id: ids[order].ravel()[real],
+                    "similarity": best[real]})
 
     return left.mapInArrow(run, schema)
+
+
+def similar_pairs(nodes: DataFrame, low: float, high: float) -> DataFrame:
+    """(a, b, similarity) with a < b and low <= cosine < high.
+
+    ``nodes``: id, embedding. Blocks of vectors are compared inside the tasks; only the
+    pairs in the band, which are the result, leave them.
+    """
+    schema = "a bigint, b bigint, similarity double"
+    result: DataFrame | None = None
+    rows = nodes.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("embedding IS NOT NULL")
+    for block in blocks_of(rows, "id", 4 * BLOCK_ROWS):
+        part = _pairs_block(rows, block, low, high, schema)
+        result = part if result is None else result.unionByName(part)
+    return result if result is not None else nodes.sparkSession.createDataFrame([], schema)
+
+
+def _pairs_block(rows, block, low, high, schema) -> DataFrame:
+    matrix, ok = to_matrix(block["embedding"])
+    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(block["id"], dtype=np.int64)[ok], matrix[ok]))
+    step = max(1, _CELLS // max(1, int(ok.sum())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x, usable = to_matrix(batch.column("embedding"), y.shape[1])
+                mine = np.asarray(batch.column("id"), dtype=np.int64)[usable]
+                sims = x[usable] @ y.T
+                i, j = np.nonzero((sims >= low) & (sims < high) & (mine[:, None] < ids[None, :]))
+                yield pa.RecordBatch.from_pydict({"a": mine[i], "b": ids[j], "similarity": sims[i, j]})
+
+    return rows.mapInArrow(run, schema)
