@@ -179,7 +179,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def files(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
+    return files_of(table(spark, sf, "documents"))
+
+
+def files_of(documents):
+    return documents.selectExpr(
         "doc_id AS file_id",
         """concat('file_', doc_id, CASE doc_id % 9 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx'
              WHEN 2 THEN '.HWP' WHEN 3 THEN '.txt' WHEN 4 THEN '.png' WHEN 5 THEN '.m4a'
@@ -328,7 +332,11 @@ def _assistant(spark, sf):
 
 
 def answers(spark, sf):
-    return _assistant(spark, sf).selectExpr(
+    return answers_of(_assistant(spark, sf))
+
+
+def answers_of(assistant):
+    return assistant.selectExpr(
         "conv_id * 1000 + turn AS message_id",
         r"""concat(replace(replace(text, '. ', concat('[S', conv_id % 5 + 1, ']. ')), '\n',
                            concat('[S', turn * 3 % 9, ']\n')),
