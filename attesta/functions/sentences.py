@@ -79,6 +79,9 @@ def split_trimmed(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sentence_at(text: Column | str, position: Column) -> Column:
-    """The first sentence reaching from at or before ``position`` to at or after it."""
+    """The first sentence reaching from at or before ``position`` to at or after it.
+
+    ``position`` is looked at once per sentence, so give a column, not an expression.
+    """
     covering = F.filter(sentences(text), lambda s: (s["start"] <= position) & (position <= s["end"]))
-    return F.when(F.size(covering) > 0, covering[0])
+    return F.get(covering, F.lit(0))

@@ -233,8 +233,11 @@ def chunk_elements(elements: DataFrame, target: int = TARGET_TOKENS, overlap: in
     parts = split_oversize(elements.filter("text <> '' OR kind IN ('heading', 'table')"), limit)
     row = F.struct("reading_order", "piece", "code", F.length("text").alias("size"), "text", "page_no",
                    F.coalesce(F.nullif("level", F.lit(0)), F.lit(DEFAULT_LEVEL)).cast("int").alias("level"), "cut_start", "cut_end")
-    many = parts.groupBy("document_id").agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
-    large_ids = many.select("document_id")
+    # two pieces in a row exceed the limit, which bounds their number without cutting
+    weight = F.when(F.col("kind").isin("heading", "table"), 1).otherwise(1 + F.floor(2 * F.length("text") / limit))
+    large_ids = (elements.groupBy("document_id").agg(F.sum(weight).alias("__n")).filter(F.col("__n") > block)
+                 .select("document_id"))
+    any_large = not large_ids.isEmpty()
 
     small = (parts.join(large_ids, "document_id", "left_anti").groupBy("document_id")
              .agg(F.sort_array(F.collect_list(row)).alias("el")))
@@ -245,7 +248,7 @@ def chunk_elements(elements: DataFrame, target: int = TARGET_TOKENS, overlap: in
     walk = _walker(limit, carry, compat)
     columns = ["document_id", "block", "el", "own", "entry", "open"]
     grouped = small.select(*columns)
-    if not many.isEmpty():
+    if any_large:
         large = _large_blocks(parts.join(large_ids, "document_id", "left_semi"), row, limit, carry,
                               block, ahead, behind)
         grouped = grouped.unionByName(large.select(*columns))
@@ -254,7 +257,7 @@ def chunk_elements(elements: DataFrame, target: int = TARGET_TOKENS, overlap: in
     ranged = grouped.withColumn("__r", walk(pick("code"), pick("size"), pick("level"), "own", "entry",
                                             F.transform("open", lambda h: h["level"])))
     before = W.partitionBy("document_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    if not many.isEmpty():
+    if any_large:
         starts = (ranged.select("document_id", "block", F.size("__r").cast("bigint").alias("__k"))
                   .withColumn("__from", F.coalesce(F.sum("__k").over(before), F.lit(0)))
                   .filter("block > 0").drop("__k"))

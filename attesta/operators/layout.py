@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import is_blank, lstrip, rstrip, strip
 from attesta.operators.graphs import greedy_leaders
-from attesta.plans.fold import fold_sorted, islands
+from attesta.plans.fold import annotate_sorted, islands
 from attesta.plans.quantile import exact_median
 from attesta.plans.scan import by_position, number_rows, previous_row, running
 
@@ -246,16 +246,17 @@ def words_to_lines(rows: DataFrame) -> DataFrame:
     Columns are level, page, block, par, line, word, left, top, width, height, conf,
     text; short rows and empty words are skipped.
     """
-    f = F.split("tsv", "\t", -1)
-    words = (rows.withColumn("__f", f).filter(F.size("__f") >= 12)
-             .withColumn("__t", F.get("__f", F.lit(11)))
-             .filter(~strip("__t").isin("", "-1")))
-    num = lambda i: F.get("__f", F.lit(i)).cast("double")
-    key = [F.get("__f", F.lit(i)).cast("bigint").alias(n)
-           for i, n in ((1, "page_no"), (2, "block_no"), (3, "par_no"), (4, "line_no"))]
-    flat = words.select("document_id", "row_no", *key, F.col("__t").alias("text"), num(6).alias("x0"),
-                        num(7).alias("y0"), (num(6) + num(8)).alias("x1"), (num(7) + num(9)).alias("y1"),
-                        (num(10) / 100).alias("conf"))
+    def word(f: Column) -> Column:
+        key = [F.get(f, F.lit(i)).cast("bigint").alias(n)
+               for i, n in ((1, "page_no"), (2, "block_no"), (3, "par_no"), (4, "line_no"))]
+        left, top, wide, high, conf = (F.get(f, F.lit(i)).cast("double") for i in range(6, 11))
+        return F.struct(*key, F.get(f, F.lit(11)).alias("text"), left.alias("x0"), top.alias("y0"),
+                        (left + wide).alias("x1"), (top + high).alias("y1"), (conf / 100).alias("conf"))
+
+    # inside one generator, so that each row is split once and not again for the filter
+    words = F.filter(F.transform(F.array(F.split("tsv", "\t", -1)), word),
+                     lambda w: w["text"].isNotNull() & ~strip(w["text"]).isin("", "-1"))
+    flat = rows.select("document_id", "row_no", F.inline(words))
     texts = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
     return flat.groupBy("document_id", "page_no", "block_no", "par_no", "line_no").agg(
         F.array_join(texts, " ").alias("text"), *union_box(), F.avg("conf").alias("conf"),
@@ -263,28 +264,28 @@ def words_to_lines(rows: DataFrame) -> DataFrame:
 
 
 class _Rows:
-    """Gives each fragment the number of the first visual row it overlaps."""
+    """Numbers each fragment with the first visual row it overlaps."""
 
     def __init__(self) -> None:
-        self.rows: list[list[float]] = []
+        self.open: list[list[float]] = []  # number, top, bottom
         self.made = 0
 
-    def row(self, values):
-        text, x0, y0, x1, y1, conf = values
-        # rows that end above this fragment can take no later one either
-        self.rows = [r for r in self.rows if r[2] > y0]
-        for r in self.rows:
-            low = min(r[2] - r[1], y1 - y0)
-            if low > 0 and (min(r[2], y1) - max(r[1], y0)) / low > SAME_ROW:
-                r[1], r[2] = min(r[1], y0), max(r[2], y1)
-                yield (int(r[0]), text, x0, y0, x1, y1, conf)
-                return
-        self.rows.append([self.made, y0, y1])
-        self.made += 1
-        yield (self.made - 1, text, x0, y0, x1, y1, conf)
-
-    def end(self):
-        return ()
+    def rows(self, tops: list[float], bottoms: list[float]) -> list[int]:
+        found = []
+        for y0, y1 in zip(tops, bottoms):
+            # rows that end above this fragment can take no later one either
+            self.open = [r for r in self.open if r[2] > y0]
+            for r in self.open:
+                low = min(r[2] - r[1], y1 - y0)
+                if low > 0 and (min(r[2], y1) - max(r[1], y0)) / low > SAME_ROW:
+                    r[1], r[2] = min(r[1], y0), max(r[2], y1)
+                    found.append(r[0])
+                    break
+            else:
+                self.open.append([self.made, y0, y1])
+                found.append(self.made)
+                self.made += 1
+        return found
 
 
 def merge_visual_lines(fragments: DataFrame) -> DataFrame:
@@ -294,11 +295,8 @@ def merge_visual_lines(fragments: DataFrame) -> DataFrame:
     vertically: pages are cut into such islands, each streamed through the running
     boxes of its open rows. The rows are then put together by ordinary grouping.
     """
-    order = ["y0", "x0", "y1", "x1"]
-    cutup = islands(fragments.select(*PAGE, "text", *BOX, "conf"), PAGE, order, "y0", "y1",
-                    F.floor(F.col("y0") / 256).cast("bigint"))
-    placed = fold_sorted(cutup, [*PAGE, "island"], order, ["text", *BOX, "conf"], _Rows,
-                         "row bigint, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    cutup = islands(fragments.select(*PAGE, "text", *BOX, "conf"), PAGE, "y0", "y1")
+    placed = annotate_sorted(cutup, [*PAGE, "island"], ["y0", "x0", "y1", "x1"], ["y0", "y1"], _Rows, "row")
     pieces = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("x0", "y0", "text"))),
                                   lambda f: strip(f["text"])), lambda t: t != "")
     return placed.groupBy(*PAGE, "island", "row").agg(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import clip, strip
 from attesta.functions.vectors import cosine
-from attesta.plans.fold import fold_sorted, islands
+from attesta.plans.fold import annotate_sorted, islands
+from attesta.plans.lineage import cut
 from attesta.plans.topk import top_k
 
 # Fixed values.
@@ -54,29 +55,23 @@ def spans_for(citations: DataFrame, picks: DataFrame, spans: DataFrame) -> DataF
             .drop("__hit", "__any"))
 
 
-class _Line:
-    """Grows one box along a line of text; emits it when the next line starts."""
+class _Lines:
+    """Numbers rectangles by the line of text they continue."""
 
     def __init__(self) -> None:
-        self.box = None
-
-    def row(self, values):
-        x0, y0, x1, y1 = values
-        if self.box is None:
-            self.box = [x0, y0, x1, y1]
-            return
-        a = self.box
-        low = min(a[3] - a[1], y1 - y0)
-        shared = min(a[3], y1) - max(a[1], y0)
-        if low > 0 and shared / low > SAME_LINE:
-            self.box = [min(a[0], x0), min(a[1], y0), max(a[2], x1), max(a[3], y1)]
-            return
-        yield tuple(a)
-        self.box = [x0, y0, x1, y1]
-
-    def end(self):
-        if self.box is not None:
-            yield tuple(self.box)
+        self.number, self.top, self.bottom = -1, 0.0, 0.0
+
+    def rows(self, tops: list[float], bottoms: list[float]) -> list[int]:
+        found = []
+        for y0, y1 in zip(tops, bottoms):
+            low = min(self.bottom - self.top, y1 - y0)
+            if self.number >= 0 and low > 0 and (
+                    min(self.bottom, y1) - max(self.top, y0)) / low > SAME_LINE:
+                self.top, self.bottom = min(self.top, y0), max(self.bottom, y1)
+            else:
+                self.number, self.top, self.bottom = self.number + 1, y0, y1
+            found.append(self.number)
+        return found
 
 
 def merge_same_line(rects: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -87,10 +82,11 @@ def merge_same_line(rects: DataFrame, keys: list[str] | None = None) -> DataFram
     """
     keys = [*(keys or CITE), "page_no"]
     order = ["y0", "x0", "x1", "y1"]
-    cutup = islands(rects.select(*keys, *order), keys, order, "y0", "y1",
-                    F.floor(F.col("y0") / 256).cast("bigint"))
-    return fold_sorted(cutup, [*keys, "island"], order, ["x0", "y0", "x1", "y1"], _Line,
-                       "x0 double, y0 double, x1 double, y1 double").drop("island")
+    cutup = islands(rects.select(*keys, *order), keys, "y0", "y1")
+    lines = annotate_sorted(cutup, [*keys, "island"], order, ["y0", "y1"], _Lines, "line")
+    return lines.groupBy(*keys, "island", "line").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
+        F.max("y1").alias("y1")).drop("island", "line")
 
 
 def time_range(hits: DataFrame) -> DataFrame:
@@ -115,8 +111,8 @@ def resolve_citations(citations: DataFrame, sentences: DataFrame, spans: DataFra
     ``citations``: message_id, idx, chunk_id, text, page_from, t_start_ms, t_end_ms and
     the claim's ``embedding``; ``spans`` carry boxes or times.
     """
-    picks = align_sentences(citations, sentences, threshold=threshold, digits=digits)
-    hits = spans_for(citations, picks, spans)
+    picks = cut(align_sentences(citations, sentences, threshold=threshold, digits=digits))
+    hits = cut(spans_for(citations, picks, spans))
     boxed = hits.filter("page_no IS NOT NULL AND x0 IS NOT NULL")
     rects = merge_same_line(boxed)
     first_page = boxed.groupBy(*CITE).agg(F.min("page_no").alias("page_no"))

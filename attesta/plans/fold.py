@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.plans.scan import running
+from attesta.plans.scan import by_position, running
 
 #: machine: () -> object with ``row(tuple) -> rows`` and ``end() -> rows``
 Machine = Callable[[], object]
@@ -61,14 +64,57 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], column
     return slim.mapInPandas(run, out)
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column | str,
-            end: Column | str, block: Column, name: str = "island") -> DataFrame:
-    """Number the runs of rows whose [start, end) intervals touch, inside a key.
+def annotate_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
+                    machine: Machine, name: str) -> DataFrame:
+    """Add a bigint column by a state machine run over each key's rows in ``order``.
 
-    Rows of different islands cannot overlap, whatever is done inside one.
+    ``machine().rows(*lists)`` gets the ``columns`` of consecutive rows of its key and
+    returns one int each. Only keys and those columns become Python values; the rest of
+    a batch passes through as it is.
     """
-    start = F.col(start) if isinstance(start, str) else start
-    end = F.col(end) if isinstance(end, str) else end
-    reach = running(df, keys, order, block, {"__reach": ("max", end)}, inclusive=False)
-    opens = (F.col("__reach").isNull() | (start >= F.col("__reach"))).cast("bigint")
-    return running(reach, keys, order, block, {name: ("sum", opens)}).drop("__reach")
+    keys, columns = list(keys), list(columns)
+    out = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            held = [batch.column(k) for k in keys]
+            edge = np.zeros(n, bool)
+            edge[0] = [k[0].as_py() for k in held] != last
+            for k in held:
+                edge[1:] |= np.asarray(pc.fill_null(pc.not_equal(k[1:], k[:-1]), True))
+            values = [batch.column(c).to_pylist() for c in columns]
+            found: list[int] = []
+            cuts = np.flatnonzero(edge).tolist()
+            if not edge[0]:
+                found.extend(state.rows(*[v[:cuts[0] if cuts else n] for v in values]))
+            for a, z in zip(cuts, [*cuts[1:], n]):
+                state = machine()
+                found.extend(state.rows(*[v[a:z] for v in values]))
+            last = [k[n - 1].as_py() for k in held]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())],
+                                             names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, out)
+
+
+def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, bucket: float = 1.0,
+            name: str = "island") -> DataFrame:
+    """Number groups of rows inside a key so that [start, end) intervals of different
+    groups never overlap.
+
+    Starts are first combined map-side into buckets of ``bucket`` units, and only those
+    are scanned, so rows closer than a bucket may share a group that could be split.
+    """
+    keys = list(keys)
+    at = F.floor(F.col(start) / bucket).cast("bigint")
+    coarse = df.groupBy(*keys, at.alias("__at")).agg(F.min(start).alias("__lo"), F.max(end).alias("__hi"))
+    reach = running(coarse, keys, ["__at"], by_position("__at", 1024), {"__reach": ("max", F.col("__hi"))},
+                    inclusive=False)
+    opens = (F.col("__reach").isNull() | (F.col("__lo") >= F.col("__reach"))).cast("bigint")
+    numbered = running(reach, keys, ["__at"], by_position("__at", 1024), {name: ("sum", opens)})
+    return df.withColumn("__at", at).join(numbered.select(*keys, "__at", name), [*keys, "__at"]).drop("__at")

@@ -30,8 +30,8 @@ def _(spark, sf):
 
 @query("tx3_sentence_at")
 def _(spark, sf):
-    at = F.expr("length(text) div 2")
-    found = _docs(spark, sf).select("document_id", TX.sentence_at("text", at).alias("s"))
+    docs = _docs(spark, sf).withColumn("at", F.expr("length(text) div 2"))
+    found = docs.select("document_id", TX.sentence_at("text", F.col("at")).alias("s"))
     return found.select("document_id", "s.start", "s.end", "s.text")
 
 

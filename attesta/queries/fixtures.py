@@ -175,7 +175,15 @@ def sql(*names: str, body: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan over all cores when its files give fewer tasks than that (one small
+    row group). A table of cluster size has many splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def files(spark, sf):

@@ -212,7 +212,7 @@ def _(spark, sf):
     tsv = w.selectExpr(
         "document_id", "line_no * 10000 + word_no AS row_no",
         """CASE WHEN word_no % 7 = 6 AND line_no % 2 = 0 THEN '5\t1\t0' ELSE concat_ws('\t', 5, page_no, 0, 0, line_no,
-           word_no, x0, y0, 18, 12, conf * 100, CASE WHEN word_no % 7 = 6 THEN '-1' ELSE word END) END AS tsv""")
+           word_no, cast(x0 AS bigint), cast(y0 AS bigint), 18, 12, conf * 100, CASE WHEN word_no % 7 = 6 THEN '-1' ELSE word END) END AS tsv""")
     return (L.words_to_lines(tsv).withColumn("conf", F.round(F.col("conf") + 0.0000001, 5)).drop("first_row"))
 
 

@@ -58,51 +58,58 @@ class MarkerProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "next long, held string, cited array<int>, offered array<int>")
+        self.state = handle.getValueState(
+            "state", "next long, held string, cited array<int>, offered array<int>, waiting long")
         self.early = handle.getMapState("early", "seq long", "delta string, final boolean")
 
     def _load(self):
         if not self.state.exists():
-            return 0, "", [], []
-        nxt, held, cited, offered = self.state.get()
-        return int(nxt), held, list(cited), list(offered)
+            return 0, "", [], [], 0
+        nxt, held, cited, offered, waiting = self.state.get()
+        return int(nxt), held, list(cited), list(offered), int(waiting)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        nxt, held, cited, offered = self._load()
+        nxt, held, cited, offered, waiting = self._load()
+        here: dict[int, tuple[str, bool]] = {}
         for frame in rows:
             if len(frame) and not offered:
                 offered = [int(s) for s in frame["offered"].iloc[0]]
-            for seq, delta, final in zip(frame["seq"], frame["delta"], frame["final"]):
-                if seq >= nxt:
-                    self.early.updateValue((int(seq),), (delta, bool(final)))
-        yield from self._advance(key, nxt, held, cited, offered, flush=False)
+            here.update((s, (d, f)) for s, d, f in zip(
+                frame["seq"].tolist(), frame["delta"].tolist(), frame["final"].tolist()) if s >= nxt)
+        yield from self._advance(key, nxt, held, cited, offered, waiting, here, flush=False)
         if self.idle_ms and self.state.exists():
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, *self._load(), flush=True)
+        yield from self._advance(key, *self._load(), {}, flush=True)
 
-    def _advance(self, key, nxt, held, cited, offered, flush):
+    def _advance(self, key, nxt, held, cited, offered, waiting, here, flush):
+        """Work through the pieces that are next in turn; the stored early ones join
+        those of this batch, and what still has to wait goes back to the store."""
         index = {sid: i for i, sid in enumerate(cited, 1)}
         known, done, out = set(offered), False, []
-        while not done and self.early.containsKey((nxt,)):
-            delta, done = self.early.getValue((nxt,))
-            self.early.removeKey((nxt,))
+        if waiting:
+            for (seq,), piece in list(self.early.iterator()):
+                here.setdefault(int(seq), (piece[0], bool(piece[1])))
+        while not done and nxt in here:
+            delta, done = here.pop(nxt)
             ready, held = settle(held + delta, done)
             out.append((int(key[0]), nxt, *rewrite(ready, known, index)))
             nxt += 1
         if flush and not done:
-            rest = sorted(k[0] for k in self.early.keys())
-            tail = held + "".join(self.early.getValue((s,))[0] for s in rest)
+            tail = held + "".join(here[seq][0] for seq in sorted(here))
             out.append((int(key[0]), nxt, *rewrite(tail, known, index)))
             done = True
+        if waiting:
+            self.early.clear()
         if done:
             self.state.clear()
-            self.early.clear()
         else:
-            self.state.update((nxt, held, list(index), offered))
+            for seq, piece in here.items():
+                self.early.updateValue((seq,), piece)
+            self.state.update((nxt, held, list(index), offered, len(here)))
         if out:
             yield pd.DataFrame(out, columns=["message_id", "seq", "text", "cited", "rejected"])
 

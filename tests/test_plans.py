@@ -110,7 +110,7 @@ def test_vector_leaders_equal_the_loop(spark, batch):
 def test_islands_split_only_where_nothing_overlaps(spark):
     rows = [(1, 0.0, 10.0), (1, 5.0, 8.0), (1, 9.0, 20.0), (1, 20.0, 25.0), (1, 700.0, 701.0)]
     df = spark.createDataFrame(rows, "k long, a double, b double")
-    out = islands(df, ["k"], ["a", "b"], "a", "b", F.floor(F.col("a") / 6).cast("bigint"))
+    out = islands(df, ["k"], "a", "b")
     assert [r.island for r in out.orderBy("a").collect()] == [1, 1, 1, 2, 3]
 
 
