@@ -61,7 +61,7 @@ def sibling_info(messages: DataFrame) -> DataFrame:
     """(id, sibling_index, sibling_count) among same channel, parent and role."""
     keys = ["channel_id", "parent_id", "role"]
     numbered = running(messages.select(*keys, "id", "seq"), keys, ["seq", "id"], by_position("seq"),
-                       {"n": ("sum", F.lit(1).cast("bigint"))})
+                       {"n": ("sum", F.lit(1).cast("bigint"))}, null_keys=True)
     counts = messages.groupBy(*keys).agg(F.count("*").alias("sibling_count"))
     c = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "sibling_count")
     same = [numbered[k].eqNullSafe(c[f"__{k}"]) for k in keys]

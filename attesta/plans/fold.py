@@ -24,6 +24,16 @@ from attesta.plans.scan import by_position, running
 Machine = Callable[[], object]
 
 
+def together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle so that a key's rows are in one partition, whatever lies below.
+
+    Partitioning by the plain keys may be planned away when an input (a union, say)
+    claims to have it, and adaptive execution may later break that claim, because a
+    Python map states no requirement. Nothing claims to be partitioned by this hash.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                 machine: Machine, schema: str | T.StructType) -> DataFrame:
     """Run one ``machine`` per key over its rows in ``order``.
@@ -40,7 +50,7 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], column
     width = len(keys)
     slim = (df.select(*keys, *[c for c in columns if c not in keys],
                       *[c for c in order if c not in keys and c not in columns])
-            .repartition(*keys).sortWithinPartitions(*keys, *order))
+            .transform(together, keys).sortWithinPartitions(*keys, *order))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -74,7 +84,7 @@ def annotate_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], co
     """
     keys, columns = list(keys), list(columns)
     out = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = df.transform(together, keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None

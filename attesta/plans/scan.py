@@ -22,13 +22,13 @@ def _key_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Left join on keys that may be null, keeping the left columns and ``values``."""
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
-    cond = None
-    for k in keys:
-        one = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        cond = one if cond is None else cond & one
+def _join_carry(left: DataFrame, right: DataFrame, keys: list[str], null_keys: bool) -> DataFrame:
+    """Left join on the block. Plain equality lets the join keep the partitioning of
+    the window below it; null-safe equality costs a shuffle, so it is opt-in."""
+    if not null_keys:
+        return left.join(right, keys, "left")
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
     return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
@@ -40,13 +40,14 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     *,
     inclusive: bool = True,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Add running aggregates to ``df``.
 
     ``order`` is a total order inside a key and ``block`` must be non-decreasing
     along it. Each entry of ``aggs`` is ``name -> (kind, column)`` with kind one of
     ``sum``, ``max``, ``min`` (a ``max`` over ``struct(position, value)`` gives the
-    last value so far).
+    last value so far). Keys are taken as not null unless ``null_keys``.
     """
     keys = _key_list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -68,7 +69,7 @@ def running(
     local = base
     for name, (kind, _) in aggs.items():
         local = local.withColumn(f"__l_{name}", kinds[kind](f"__v_{name}").over(inside))
-    out = _null_safe_left(local, carried, [*keys, _B], [f"__c_{n}" for n in aggs])
+    out = _join_carry(local, carried, [*keys, _B], null_keys)
     drop = [_B]
     for name, (kind, _) in aggs.items():
         here, carry = F.col(f"__l_{name}"), F.col(f"__c_{name}")

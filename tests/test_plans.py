@@ -20,7 +20,8 @@ def test_running_equals_plain_loop_across_blocks_and_null_keys(spark):
     rows = [(k, p, rng.randint(0, 9)) for k in ("a", None) for p in rng.sample(range(100), 40)]
     df = spark.createDataFrame(rows, "k string, p long, v long")
     got = {(r.k, r.p): (r.s, r.m) for r in running(
-        df, "k", ["p"], by_position("p", 7), {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}).collect()}
+        df, "k", ["p"], by_position("p", 7), {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))},
+        null_keys=True).collect()}
     for k in ("a", None):
         seen = []
         for _, p, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
