@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attesta.functions.text import token_estimate
 from attesta.operators import chunks as C
 from attesta.queries import fixtures as fx
+from attesta.queries.citations import sentence_walk
 from attesta.queries.registry import query
 from attesta.sources.segments import transcript
 
@@ -39,7 +40,26 @@ def _(spark, sf):
     return cut(spark, sf)[0]
 
 
-@query("ch3_split_oversize")
+@query("ch3_split_oversize", fx.sql("elements", body=f"""WITH RECURSIVE
+  long AS (SELECT document_id * 100000 + reading_order AS doc_id, text FROM elements
+           WHERE kind = 'paragraph' AND length(text) > 200),
+  {sentence_walk("long")},
+  nth AS (SELECT document_id AS id, start AS s, "end" AS e,
+                 row_number() OVER (PARTITION BY document_id ORDER BY start) AS j FROM sentences),
+  pack AS (SELECT id, j, s AS a, e AS b, NULL::BIGINT AS x, NULL::BIGINT AS y FROM nth WHERE j = 1
+           UNION ALL
+           SELECT n.id, n.j, CASE WHEN n.e - a > 200 AND b > a THEN n.s ELSE a END, n.e,
+                  CASE WHEN n.e - a > 200 AND b > a THEN a END, CASE WHEN n.e - a > 200 AND b > a THEN b END
+           FROM pack p JOIN nth n ON n.id = p.id AND n.j = p.j + 1),
+  made AS (SELECT id, x, y FROM pack WHERE x IS NOT NULL
+           UNION ALL SELECT id, arg_max(a, j), arg_max(b, j) FROM pack GROUP BY id),
+  pieces AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x) - 1 AS piece FROM made)
+  SELECT document_id, reading_order, CASE kind WHEN 'heading' THEN 1 WHEN 'table' THEN 2 ELSE 0 END AS code, 0 AS piece,
+         0 AS cut_start, length(text)::INTEGER AS cut_end, text FROM elements
+  WHERE kind <> 'paragraph' OR length(text) <= 200
+  UNION ALL
+  SELECT id // 100000, id % 100000, CASE WHEN piece = 0 THEN 3 ELSE 4 END, piece::INTEGER, x::INTEGER, y::INTEGER,
+         substr(text, x + 1, y - x) FROM pieces JOIN long ON doc_id = id"""))
 def _(spark, sf):
     """Elements longer than 200 characters, cut at sentence ends."""
     return (C.split_oversize(fx.elements(spark, sf), 200)
@@ -81,7 +101,18 @@ def _(spark, sf):
     return C.page_range(fx.lines(spark, sf).selectExpr("document_id", "block_no AS ord", "page_no % 3 AS page_no"))
 
 
-@query("ch5_chunk_transcript")
+@query("ch5_chunk_transcript", fx.sql("segments", body="""WITH RECURSIVE
+  seg AS (SELECT *, trim(text, E' \\t\\r\\n') AS t, row_number() OVER (PARTITION BY document_id ORDER BY reading_order) AS i
+          FROM segments WHERE trim(text, E' \\t\\r\\n') <> ''),
+  walk AS (SELECT document_id, i, 0::BIGINT AS ord, start_ms AS opened, regexp_matches(t, '([.!?…]|다|요)$') AS closed
+           FROM seg WHERE i = 1
+           UNION ALL
+           SELECT s.document_id, s.i, CASE WHEN new THEN w.ord + 1 ELSE w.ord END,
+                  CASE WHEN new THEN s.start_ms ELSE w.opened END, regexp_matches(s.t, '([.!?…]|다|요)$')
+           FROM walk w JOIN seg s ON s.document_id = w.document_id AND s.i = w.i + 1,
+           LATERAL (SELECT s.end_ms - w.opened > 45000 AND (w.closed OR s.end_ms - w.opened > 72000) AS new))
+  SELECT document_id, ord, string_agg(t, ' ' ORDER BY i) AS text, min(start_ms) AS t_start_ms, max(end_ms) AS t_end_ms,
+         count(*) AS n_segments FROM walk JOIN seg USING (document_id, i) GROUP BY 1, 2"""))
 def _(spark, sf):
     return C.chunk_transcript(fx.segments(spark, sf))
 

@@ -18,17 +18,63 @@ def _docs(spark, sf):
     return fx.table(spark, sf, "documents").selectExpr("doc_id AS document_id", "text")
 
 
-@query("tx1_split_sentences")
+# Boundaries are cut with the terminal mark inside the separator, since the checking
+# engine has no look-behind; the walk then decides one boundary per step.
+SENTENCE_WALK = """
+  marks AS (SELECT doc_id, string_split_regex(text, '[.!?…]["''”’)\\]]*\\s+|\\n+') AS parts,
+                   regexp_extract_all(text, '[.!?…]["''”’)\\]]*\\s+|\\n+') AS seps, text FROM {base}),
+  cuts AS (SELECT doc_id, i, sum(length(part) + length(sep)) OVER w AS resume,
+                  sum(length(part) + length(sep)) OVER w - length(sep)
+                    + CASE WHEN regexp_matches(sep, '^[.!?…]') THEN 1 ELSE 0 END AS stop
+           FROM (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part,
+                        coalesce(unnest(seps), '') AS sep FROM marks)
+           WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  walk AS (SELECT doc_id, 0::BIGINT AS i, 0::HUGEINT AS start, NULL::HUGEINT AS s, NULL::HUGEINT AS e FROM marks
+           UNION ALL
+           SELECT w.doc_id, c.i, CASE WHEN hard THEN c.resume ELSE w.start END,
+                  CASE WHEN hard THEN w.start END, CASE WHEN hard THEN c.stop END
+           FROM walk w JOIN cuts c ON c.doc_id = w.doc_id AND c.i = w.i + 1
+           JOIN marks m ON m.doc_id = w.doc_id,
+           LATERAL (SELECT substr(m.text, (w.start + 1)::BIGINT, (c.stop - w.start)::BIGINT) AS piece),
+           LATERAL (SELECT regexp_extract(piece, '(?s)^(.*)[.!?…][^.!?…]*$', 1) AS head,
+                           regexp_extract(piece, '([.!?…])[^.!?…]*$', 1) AS mark),
+           LATERAL (SELECT c.stop = length(m.text) OR mark <> '.' OR NOT regexp_matches(head,
+                '((^|\\s|\\()([A-Za-z]{1,3}|No|Fig|Tbl|vs|etc|cf|e\\.g|i\\.e|Mr|Ms|Mrs|Dr|Prof|approx)|\\d)$') AS hard)),
+  stretches AS (SELECT doc_id, i, s, e, length(trim(substr(text, (s + 1)::BIGINT, (e - s)::BIGINT), E' \\t\\r\\n')) AS n
+             FROM walk JOIN marks USING (doc_id) WHERE s IS NOT NULL),
+  grouped AS (SELECT *, sum(CASE WHEN n >= 2 OR first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+              FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1 AS first FROM stretches WHERE n > 0)),
+  sentences AS (SELECT doc_id AS document_id, min(s)::BIGINT AS start, max(e)::BIGINT AS "end",
+                       substr(any_value(text), min(s)::BIGINT + 1, (max(e) - min(s))::BIGINT) AS sentence
+                FROM grouped JOIN marks USING (doc_id) GROUP BY doc_id, g)"""
+
+
+def sentence_walk(base: str) -> str:
+    """``sentences`` of the rows (doc_id, text) of ``base``."""
+    return SENTENCE_WALK.replace("{base}", base)
+
+
+_SENTENCES = sentence_walk("documents")
+
+
+@query("tx1_split_sentences", f"WITH RECURSIVE {_SENTENCES} SELECT * FROM sentences")
 def _(spark, sf):
     return TX.split_sentences(_docs(spark, sf))
 
 
-@query("tx2_split")
+@query("tx2_split", f"""WITH RECURSIVE {_SENTENCES}
+  SELECT document_id, trim(sentence, E' \\t\\r\\n') AS sentence FROM sentences""")
 def _(spark, sf):
-    return TX.split_trimmed(_docs(spark, sf))
+    return TX.split_trimmed(_docs(spark, sf)).select("document_id", "sentence")
 
 
-@query("tx3_sentence_at")
+@query("tx3_sentence_at", f"""WITH RECURSIVE {_SENTENCES},
+  middle AS (SELECT doc_id AS document_id, length(text) // 2 AS p FROM documents),
+  hit AS (SELECT document_id, min(start) AS start FROM sentences JOIN middle USING (document_id)
+          WHERE start <= p AND p <= "end" GROUP BY 1)
+  SELECT m.document_id, s.start::INTEGER AS start, s."end"::INTEGER AS "end", s.sentence AS text
+  FROM middle m LEFT JOIN hit USING (document_id)
+  LEFT JOIN sentences s ON s.document_id = hit.document_id AND s.start = hit.start""")
 def _(spark, sf):
     docs = _docs(spark, sf).withColumn("at", F.expr("length(text) div 2"))
     found = docs.select("document_id", TX.sentence_at("text", F.col("at")).alias("s"))
@@ -97,7 +143,13 @@ def _(spark, sf):
     return C.uncited_sentences(parsed(spark, sf))
 
 
-@query("ct5_claim_for")
+@query("ct5_claim_for", fx.sql("answers", "sources", body=f"""WITH RECURSIVE {_PARSED},
+  {sentence_walk("(SELECT message_id AS doc_id, body AS text FROM parsed)")},
+  places AS (SELECT message_id, idx, instr(body, '[[cite:' || idx || ']]') - 1 AS p, body FROM idx JOIN parsed USING (message_id)),
+  found AS (SELECT message_id, p.idx, any_value(body) AS body, arg_min(sentence, start) AS sentence FROM places p
+            LEFT JOIN sentences s ON s.document_id = p.message_id AND start <= p AND p <= "end" GROUP BY 1, 2)
+  SELECT message_id, idx, coalesce(nullif(trim(regexp_replace(coalesce(sentence, body),
+           '\\[\\[\\s*cite\\s*:[^\\]]{{0,16}}\\]\\]', '', 'gi'), E' \\t\\r\\n'), ''), body) AS claim FROM found"""))
 def _(spark, sf):
     p = parsed(spark, sf)
     return C.claim_for(C.citations_of(p), p).select("message_id", "idx", "claim")

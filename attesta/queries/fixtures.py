@@ -164,10 +164,9 @@ def sql(*names: str, body: str) -> str:
         visit(n)
     head = ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in done)
     body = body.strip()
-    if body.upper().startswith("WITH RECURSIVE "):
-        return f"WITH RECURSIVE {head},\n{body[15:]}"
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.startswith(start):
+            return f"{start} {head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"
 
 
