@@ -35,31 +35,70 @@ def cut(spark, sf, **options):
     return C.chunk_elements(fx.elements(spark, sf), **options)
 
 
-@query("ch2_chunk_elements")
-def _(spark, sf):
-    return cut(spark, sf)[0]
-
-
-@query("ch3_split_oversize", fx.sql("elements", body=f"""WITH RECURSIVE
+def _items(limit):
+    """``items``: elements, the too long ones as their pieces."""
+    return f"""
   long AS (SELECT document_id * 100000 + reading_order AS doc_id, text FROM elements
-           WHERE kind = 'paragraph' AND length(text) > 200),
+           WHERE kind = 'paragraph' AND length(text) > {limit}),
   {sentence_walk("long")},
   nth AS (SELECT document_id AS id, start AS s, "end" AS e,
                  row_number() OVER (PARTITION BY document_id ORDER BY start) AS j FROM sentences),
   pack AS (SELECT id, j, s AS a, e AS b, NULL::BIGINT AS x, NULL::BIGINT AS y FROM nth WHERE j = 1
            UNION ALL
-           SELECT n.id, n.j, CASE WHEN n.e - a > 200 AND b > a THEN n.s ELSE a END, n.e,
-                  CASE WHEN n.e - a > 200 AND b > a THEN a END, CASE WHEN n.e - a > 200 AND b > a THEN b END
+           SELECT n.id, n.j, CASE WHEN n.e - a > {limit} AND b > a THEN n.s ELSE a END, n.e,
+                  CASE WHEN n.e - a > {limit} AND b > a THEN a END, CASE WHEN n.e - a > {limit} AND b > a THEN b END
            FROM pack p JOIN nth n ON n.id = p.id AND n.j = p.j + 1),
   made AS (SELECT id, x, y FROM pack WHERE x IS NOT NULL
            UNION ALL SELECT id, arg_max(a, j), arg_max(b, j) FROM pack GROUP BY id),
-  pieces AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x) - 1 AS piece FROM made)
-  SELECT document_id, reading_order, CASE kind WHEN 'heading' THEN 1 WHEN 'table' THEN 2 ELSE 0 END AS code, 0 AS piece,
+  pieces AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x) - 1 AS piece FROM made),
+  items AS (SELECT document_id, reading_order, CASE kind WHEN 'heading' THEN 1 WHEN 'table' THEN 2 ELSE 0 END AS code, 0 AS piece,
          0 AS cut_start, length(text)::INTEGER AS cut_end, text FROM elements
-  WHERE kind <> 'paragraph' OR length(text) <= 200
+  WHERE kind <> 'paragraph' OR length(text) <= {limit}
   UNION ALL
   SELECT id // 100000, id % 100000, CASE WHEN piece = 0 THEN 3 ELSE 4 END, piece::INTEGER, x::INTEGER, y::INTEGER,
-         substr(text, x + 1, y - x) FROM pieces JOIN long ON doc_id = id"""))
+         substr(text, x + 1, y - x) FROM pieces JOIN long ON doc_id = id)"""
+
+
+_PACKED = """
+  nums AS (SELECT *, row_number() OVER d AS i, sum(length(text)) OVER d AS total, length(text) AS len FROM items
+           WINDOW d AS (PARTITION BY document_id ORDER BY reading_order, piece)),
+  tails AS (SELECT n.document_id, n.i, max(t.i) AS t FROM nums n JOIN nums t ON t.document_id = n.document_id
+            AND t.i <= n.i AND n.total - t.total + t.len >= 128 GROUP BY ALL),
+  steps AS (SELECT n.*, t.t FROM nums n LEFT JOIN tails t ON t.document_id = n.document_id AND t.i = n.i),
+  filled AS (
+    SELECT document_id, i, CASE WHEN code >= 2 THEN 2::BIGINT ELSE 1::BIGINT END AS first, total, len, t,
+           NULL::BIGINT AS a, NULL::BIGINT AS b FROM steps WHERE i = 1
+    UNION ALL
+    SELECT n.document_id, n.i,
+           CASE WHEN n.code >= 2 THEN n.i + 1 WHEN n.code = 1 OR p.first > p.i THEN n.i
+                WHEN full_ THEN CASE WHEN p.t > p.first THEN p.t ELSE n.i END ELSE p.first END,
+           n.total, n.len, n.t,
+           CASE WHEN p.first <= p.i AND (n.code >= 1 OR full_) THEN p.first END,
+           CASE WHEN p.first <= p.i AND (n.code >= 1 OR full_) THEN p.i END
+    FROM filled p JOIN steps n ON n.document_id = p.document_id AND n.i = p.i + 1
+    JOIN steps f ON f.document_id = p.document_id AND f.i = least(p.first, n.i),
+    LATERAL (SELECT n.total - f.total + f.len > 1024 AS full_)),
+  ranges AS (
+    SELECT document_id, a, b, i * 2 AS place, false AS is_table FROM filled WHERE a IS NOT NULL
+    UNION ALL SELECT document_id, i, i, i * 2 + 1, code = 2 FROM nums WHERE code >= 2
+    UNION ALL SELECT document_id, first, i, i * 2 + 2, false FROM filled p WHERE first <= i
+      AND NOT EXISTS (SELECT 1 FROM nums n WHERE n.document_id = p.document_id AND n.i = p.i + 1)),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY place) - 1 AS ord FROM ranges),
+  texts AS (SELECT r.document_id, r.ord, any_value(r.is_table) AS is_table, string_agg(n.text, chr(10) ORDER BY n.i) AS text,
+                   min(n.reading_order) AS first_order, min(e.page_no) AS page_from, max(e.page_no) AS page_to
+            FROM numbered r JOIN nums n ON n.document_id = r.document_id AND n.i BETWEEN r.a AND r.b
+            JOIN elements e ON e.document_id = n.document_id AND e.reading_order = n.reading_order GROUP BY 1, 2)"""
+
+
+@query("ch2_chunk_elements", fx.sql("elements", body=f"""WITH RECURSIVE {_items(1024)}, {_PACKED}, {_PATH}
+  SELECT t.document_id, ord, text, p.heading_path, page_from, page_to, is_table,
+         CASE WHEN is_table THEN first_order END AS table_order, greatest(1, length(text) // 2)::BIGINT AS token_count
+  FROM texts t JOIN paths p ON p.document_id = t.document_id AND p.reading_order = t.first_order"""))
+def _(spark, sf):
+    return cut(spark, sf)[0]
+
+
+@query("ch3_split_oversize", fx.sql("elements", body=f"WITH RECURSIVE {_items(200)} SELECT * FROM items"))
 def _(spark, sf):
     """Elements longer than 200 characters, cut at sentence ends."""
     return (C.split_oversize(fx.elements(spark, sf), 200)

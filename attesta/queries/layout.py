@@ -132,9 +132,26 @@ def _parts(spark, sf):
         "cast(p_partkey * 53 % 500 + 20 + p_size * 2 AS double) AS y1")
 
 
-@query("ly8_add_borderless_tables")
+def _inside(i, o):
+    w = f"(least({i}.x1, {o}.x1) - greatest({i}.x0, {o}.x0))"
+    h = f"(least({i}.y1, {o}.y1) - greatest({i}.y0, {o}.y0))"
+    return f"({w} > 0 AND {h} > 0 AND {w} * {h} / (({i}.x1 - {i}.x0) * ({i}.y1 - {i}.y0)) >= 0.6)"
+
+
+@query("ly8_add_borderless_tables", f"""WITH RECURSIVE {_PARTS},
+  ruled AS (SELECT document_id, page_no, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) AS boxes FROM parts
+            WHERE id % 8 = 0 GROUP BY 1, 2),
+  tried AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_no ORDER BY id) AS n FROM parts
+            WHERE id % 8 <> 0 AND id % 11 <> 0),
+  walk AS (SELECT p.document_id, p.page_no, 0::BIGINT AS n, coalesce(r.boxes, []) AS boxes, NULL::BIGINT AS added
+           FROM (SELECT DISTINCT document_id, page_no FROM tried) p LEFT JOIN ruled r USING (document_id, page_no)
+           UNION ALL
+           SELECT t.document_id, t.page_no, t.n, CASE WHEN free THEN list_append(w.boxes,
+                    {{'x0': t.x0, 'y0': t.y0, 'x1': t.x1, 'y1': t.y1}}) ELSE w.boxes END, CASE WHEN free THEN t.id END
+           FROM walk w JOIN tried t ON t.document_id = w.document_id AND t.page_no = w.page_no AND t.n = w.n + 1,
+           LATERAL (SELECT len(list_filter(w.boxes, lambda o: {_inside('t', 'o')} OR {_inside('o', 't')})) = 0 AS free))
+  SELECT p.* FROM parts p JOIN walk ON added = id""")
 def _(spark, sf):
-    """Rows only: the rule is order-dependent. Tests compare it with the plain loop."""
     boxes = _parts(spark, sf)
     plausible = boxes.filter("id % 11 <> 0").select(F.col("id").alias("table_id"))
     return L.add_borderless_tables(boxes.filter("id % 8 = 0"), boxes.filter("id % 8 <> 0"), plausible)
