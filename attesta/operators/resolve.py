@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions.text import clip, strip
 from attesta.functions.vectors import cosine
 from attesta.plans.fold import annotate_sorted, islands
+from attesta.plans.joins import small_side
 from attesta.plans.lineage import cut
 from attesta.plans.topk import top_k
 
@@ -17,6 +18,8 @@ MIN_SIMILARITY = 0.55
 SNIPPET_CHARS = 400
 SAME_LINE = 0.6
 
+CLAIM_ROWS = 20_000  # claims carry a vector each, so fewer of them are small
+
 CITE = ["message_id", "idx"]
 
 
@@ -31,7 +34,7 @@ def align_sentences(claims: DataFrame, sentences: DataFrame, n: int = MAX_SENTEN
     """
     other = sentences.select("chunk_id", "s", "e", "sentence", F.col("embedding").alias("__v"))
     sim = cosine("embedding", "__v")
-    pairs = (claims.select(*CITE, "chunk_id", "embedding").join(other, "chunk_id")
+    pairs = (small_side(claims.select(*CITE, "chunk_id", "embedding"), CLAIM_ROWS).join(other, "chunk_id")
              .withColumn("similarity", sim if digits is None else F.round(sim, digits))
              .select(*CITE, "s", "e", "sentence", "similarity"))
     best = top_k(pairs, CITE, [F.desc("similarity"), F.asc("s")], n, rank="__rn", salt_on=["s"])
@@ -46,7 +49,7 @@ def spans_for(citations: DataFrame, picks: DataFrame, spans: DataFrame) -> DataF
     joined once per citation and whether any hit is a map-side combined aggregate.
     """
     few = picks.groupBy(*CITE).agg(F.collect_list(F.struct("s", "e")).alias("__picks"))
-    asked = citations.select(*CITE, "chunk_id").join(few, CITE, "left")
+    asked = small_side(citations.select(*CITE, "chunk_id").join(few, CITE, "left"))
     hit = F.exists(F.coalesce("__picks", F.array().cast("array<struct<s:bigint,e:bigint>>")),
                    lambda p: (F.col("text_start") < p["e"]) & (F.col("text_end") > p["s"]))
     pairs = asked.join(spans, "chunk_id").withColumn("__hit", hit).drop("__picks")

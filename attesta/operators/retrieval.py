@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from attesta.operators.search import score_topk
+from attesta.plans.joins import small_side
 from attesta.plans.lineage import cut
 from attesta.plans.topk import top_k
 
@@ -72,7 +73,7 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
 def hydrate_hits(fused: DataFrame, chunks: DataFrame, k: int, columns: list[str]) -> DataFrame:
     """Cut the fused ids to k per question first, then fetch the wide columns."""
     best = top_k(fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank="hit_rank")
-    return best.join(chunks.select("chunk_id", *columns), "chunk_id")
+    return small_side(best).join(chunks.select("chunk_id", *columns), "chunk_id")
 
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVE_TOP_K, *,
@@ -237,5 +238,11 @@ def interleave(findings: DataFrame, limit: int = RERANK_TOP_K) -> DataFrame:
 
 
 def hydrate_citations(citations: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill cited chunks' columns; an unknown chunk keeps nulls."""
-    return citations.join(chunks.select("chunk_id", *columns), "chunk_id", "left")
+    """Fill cited chunks' columns; an unknown chunk keeps nulls.
+
+    Only the cited chunks are fetched before the outer join, so the chunk table is
+    scanned in place when the citations are few.
+    """
+    asked = small_side(citations.select("chunk_id").distinct())
+    found = chunks.select("chunk_id", *columns).join(asked, "chunk_id", "left_semi")
+    return citations.join(found, "chunk_id", "left")
