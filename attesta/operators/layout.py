@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attesta.functions.text import is_blank, lstrip, rstrip, strip
 from attesta.operators.graphs import greedy_leaders
 from attesta.plans.fold import annotate_sorted, islands
+from attesta.plans.lineage import cut
 from attesta.plans.quantile import exact_median
 from attesta.plans.scan import by_position, number_rows, previous_row, running
 
@@ -318,6 +319,7 @@ def median_height(lines: DataFrame) -> DataFrame:
 def group_lines(lines: DataFrame, heights: DataFrame) -> DataFrame:
     """Add ``block_no``: a new block at and after a heading, at a vertical gap, or at a
     shift of the indent. ``lines``: page, line_no (order), text, box."""
+    heights = cut(heights)  # a number per page, used by each of the scans below
     rows = (lines.join(heights, PAGE, "left").withColumn("body_height", F.coalesce("body_height", F.lit(0.0)))
             .withColumn("__head", ocr_heading(F.col("text"), F.col("y1") - F.col("y0"), F.col("body_height"))))
     rows = previous_row(rows, PAGE, ["line_no"], by_position("line_no"),
