@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 LOCAL_DEFAULTS = {
@@ -25,3 +29,19 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in tasks are found by module name there, and a worker need not
+    share the driver's import path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_attesta_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="attesta-")) / "attesta"), "zip",
+                                  package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._attesta_shipped = True

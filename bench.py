@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from attesta.queries import QUERIES  # noqa: E402
-from attesta.session import get_spark  # noqa: E402
+from attesta.session import get_spark, ship  # noqa: E402
 
 HEADLINE = [
     "io4_dedupe_by_hash", "io7_replace_by_key", "ly3_assemble_blocks", "ly4_classify_heading",
@@ -32,6 +32,7 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    ship(spark)
     # one small job of each kind first, so no query pays for the start of the JVM and workers
     spark.range(1000).mapInPandas(lambda frames: frames, "id long").count()
     spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("max(length(text))").collect()
