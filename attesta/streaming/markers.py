@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
-from attesta.streaming.runtime import use_rocksdb
+from attesta.streaming.runtime import carry_code, use_rocksdb
 
 # Fixed values.
 MARKER = re.compile(r"\[S(\d{1,3})\]")
@@ -125,5 +125,6 @@ def stream_markers(deltas: DataFrame, idle_ms: int = 0) -> DataFrame:
     the whole answer gives, however it was cut.
     """
     use_rocksdb(deltas.sparkSession)
+    carry_code(__name__)
     return deltas.groupBy("message_id").transformWithStateInPandas(
         MarkerProcessor(idle_ms), OUTPUT, "append", "ProcessingTime" if idle_ms else "None")

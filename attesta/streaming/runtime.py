@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.plans.lineage import ensure_checkpoint_dir
@@ -18,6 +20,12 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB)
 
 
+def carry_code(module_name: str) -> None:
+    """Pickle a module's classes by value: the process that sets up state variables
+    does not see the files sent to the workers."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint location."""
     ensure_checkpoint_dir(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from attesta.streaming.runtime import use_rocksdb
+from attesta.streaming.runtime import carry_code, use_rocksdb
 
 DATA = ("struct<text:string,idx:bigint,sid:bigint,citations:array<struct<idx:bigint,sid:bigint>>,"
         "node:string,label:string,ord:bigint,rejected:array<bigint>,message:string>")
@@ -83,6 +83,7 @@ class TurnProcessor(StatefulProcessor):
 def stream_turns(events: DataFrame) -> DataFrame:
     """Finished turns of a stream: (message_id, content, error, status)."""
     use_rocksdb(events.sparkSession)
+    carry_code(__name__)
     flat = parse_events(events).select("message_id", "seq", "event", "d.text", "d.message")
     return flat.groupBy("message_id").transformWithStateInPandas(
         TurnProcessor(), "message_id long, content string, error string, status string", "append", "None")
