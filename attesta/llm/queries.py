@@ -1,6 +1,6 @@
 """All queries of the corpus operators."""
 
-from attesta.llm import native_queries  # noqa: F401
+from attesta.llm import native_queries, token_queries  # noqa: F401
 from attesta.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
