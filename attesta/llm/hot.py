@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADS = 1000
+HEADS, SALTS = 1000, 64
 
 
-def join_groups(rows: DataFrame, key: str, groups: DataFrame, weight: str, spread: Column,
-                heads: int = HEADS) -> DataFrame:
-    """Left join of ``rows`` with ``groups``, which has one row per ``key`` and in
-    ``weight`` the number of rows with that key; both keys are strings that don't start
-    with ``#``, and ``rows[key]`` is not null.
+def join_groups(rows: DataFrame, key: str, groups: DataFrame, weight: str, spread: Column) -> DataFrame:
+    """Left join of ``rows`` with ``groups``, a stored table with one row per string
+    ``key`` and in ``weight`` the number of rows that have it.
 
-    A group above one ``heads``-th of all rows is a head. There are at most ``heads`` of
-    them whatever the data, so they are broadcast. All other keys meet in a shuffle, in
-    which no key has more than that share; rows of the heads take part with keys made
-    from ``spread``, so that they are dealt out evenly and match nothing.
+    A group above one thousandth of all rows is a head. There are at most a thousand of
+    them whatever the data, so their keys are broadcast; their rows are spread over
+    ``SALTS`` keys by ``spread`` and their facts repeated for each. No key then has more
+    than a thousandth of all rows, or a 64th of the largest group.
     """
     total = groups.agg(F.sum(weight)).first()[0] or 0
+    head = F.col(weight) * HEADS > total
+    heads = groups.where(head).select(F.col(key).alias("__head"))
     facts = [c for c in groups.columns if c != key]
-    struct = F.struct(*facts)
-    head = groups.where(F.col(weight) * heads > total).select(F.col(key).alias("__key"), struct.alias("__head"))
-    tail = groups.where(F.col(weight) * heads <= total).select(F.col(key).alias("__key"), struct.alias("__tail"))
-    met = rows.join(F.broadcast(head), rows[key] == head["__key"], "left").drop("__key")
-    met = met.withColumn("__at", F.when(F.col("__head").isNull(), F.col(key))
-                         .otherwise(F.concat(F.lit("#"), spread.cast("string"))))
-    met = met.join(tail, met["__at"] == tail["__key"], "left").drop("__key", "__at")
-    both = F.coalesce("__head", "__tail")
-    return met.withColumns({c: both[c] for c in facts}).drop("__head", "__tail")
+    dealt = groups.select(
+        F.struct(*facts).alias("__facts"),
+        F.explode(F.when(head, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("__salt"),
+        F.col(key).alias("__of")).select("__facts", F.concat_ws("#", "__of", "__salt").alias("__to"))
+    salt = F.when(F.col("__head").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS)).cast("int"))
+    met = (rows.join(F.broadcast(heads), rows[key] == heads["__head"], "left")
+           .withColumn("__at", F.concat_ws("#", F.col(key), salt)).drop("__head"))
+    met = met.join(dealt, met["__at"] == dealt["__to"], "left").drop("__at", "__to")
+    return met.withColumns({c: F.col("__facts")[c] for c in facts}).drop("__facts")
