@@ -1,4 +1,4 @@
-"""op9 and op10: benchmark decontamination and line dedup."""
+"""op6, op9 and op10: near duplicates, benchmark decontamination and line dedup."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.exact import sha256
 from attesta.llm.fmindex import find_leaks
+from attesta.llm.jaccard import near_duplicates
 from attesta.llm.linededup import drop_common_lines
 from attesta.llm.registry import query
 from attesta.llm.scratch import table
@@ -71,3 +72,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), member AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM member GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM member a JOIN member b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y
+  WHERE 100 * common >= 85 * (p.n + q.n - common)
+), reach(doc_id, other) AS (
+  SELECT x, y FROM link UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other
+), smallest AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""
+
+
+@query("op6_ngram_jaccard_join", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
