@@ -4,15 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attesta.llm import toxicity
+from attesta.llm.binpack import pack
+from attesta.llm.fmindex import remove_leaks
+from attesta.llm.jaccard import near_duplicates
+from attesta.llm.linededup import drop_common_lines
+from attesta.llm.model_queries import toxic_examples
 from attesta.llm.queries import ORACLES, QUERIES
+from attesta.llm.scratch import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+TOXIC = 0.3
+END, SEQUENCE = 2, 1024
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is; null texts keep what they have."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below ``TOXIC``; null texts are scored as empty."""
+    model = toxicity.fit(toxic_examples(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that ten documents or more have in common."""
+    return recounted(drop_common_lines(docs, least=10).select(docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of documents linked by a Jaccard similarity of 0.8 or more on
+    5-word shingles, the one with the smallest id; documents without words all stay."""
+    found = near_duplicates(docs, width=5, percent=80)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of phrases of the benchmark."""
+    return recounted(remove_leaks(docs, table(spark, sf_dir, "benchmark"), window=10))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, their token ids, and their places in sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END, SEQUENCE)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
+
+#: the first stage learns a model and the last runs a tokenizer: SQL can express neither
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each reads what the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> tuple[dict, dict]:
-    """The queries of the corpus operators, and their SQL."""
-    return dict(QUERIES), dict(ORACLES)
+    """The queries of the corpus operators and the pipeline, and their SQL."""
+    return {**QUERIES, "pipeline": run}, {**ORACLES, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
