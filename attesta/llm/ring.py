@@ -16,7 +16,7 @@ def ring(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
     shards in the order in which a walk clockwise from the arc first meets them. Of nodes
     on one point the smallest shard's counts. At most shards * vnodes rows."""
     nodes = (spark.range(shards * vnodes)
-             .select((F.col("id") % shards).cast("int").alias("shard"),
+             .select((F.col("id") / vnodes).cast("int").alias("shard"),
                      F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(POINTS)).cast("int").alias("pos"))
              .groupBy("pos").agg(F.min("shard").alias("shard")))
     whole = nodes.agg(F.array_sort(F.collect_list(F.struct("pos", "shard"))).alias("nodes"))
