@@ -161,7 +161,7 @@ def cited(spark, sf):
     """Every offered source cited once, with a claim vector."""
     s = fx.sources(spark, sf)
     e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return (s.join(e, e.vec_id == (s.message_id * 13 + s.sid) % 400)
+    return (s.join(e, e.vec_id == (s.message_id * 13 + s.sid) % fx.vectors(spark, sf))
             .withColumnRenamed("sid", "idx").drop("vec_id"))
 
 
@@ -171,17 +171,17 @@ def chunk_sentences(spark, sf):
     ln = fx.lines(spark, sf).select(F.col("document_id").alias("chunk_id"), F.col("line_no").alias("pos"), "text")
     e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
     joined = sp.join(ln, ["chunk_id", "pos"])
-    return (joined.join(e, e.vec_id == (joined.chunk_id * 31 + joined.pos * 7) % 400)
+    return (joined.join(e, e.vec_id == (joined.chunk_id * 31 + joined.pos * 7) % fx.vectors(spark, sf))
             .select("chunk_id", F.col("text_start").alias("s"), F.col("text_end").alias("e"),
                     F.col("text").alias("sentence"), "embedding"))
 
 
 _ALIGNED = """
   cited AS (SELECT s.*, s.sid AS idx, e.embedding FROM sources s
-            JOIN embeddings e ON e.vec_id = (s.message_id * 13 + s.sid) % 400),
+            JOIN embeddings e ON e.vec_id = (s.message_id * 13 + s.sid) % (SELECT count(*) FROM embeddings)),
   sent AS (SELECT sp.chunk_id, sp.text_start AS s, sp.text_end AS e, l.text AS sentence, em.embedding
            FROM spans sp JOIN lines l ON l.document_id = sp.chunk_id AND l.line_no = sp.pos
-           JOIN embeddings em ON em.vec_id = (sp.chunk_id * 31 + sp.pos * 7) % 400),
+           JOIN embeddings em ON em.vec_id = (sp.chunk_id * 31 + sp.pos * 7) % (SELECT count(*) FROM embeddings)),
   aligned AS (SELECT message_id, idx, chunk_id, s, e, sentence, similarity FROM (
     SELECT *, row_number() OVER (PARTITION BY message_id, idx ORDER BY similarity DESC, s) AS rn FROM (
       SELECT c.message_id, c.idx, c.chunk_id, t.s, t.e, t.sentence,
@@ -364,7 +364,7 @@ def _(spark, sf):
 def _(spark, sf):
     cites = fx.sources(spark, sf).selectExpr("message_id", "sid AS idx", "document_id", "chunk_id",
                                              "page_from AS page_no", "left(text, 10) AS snippet")
-    docs = (fx.table(spark, sf, "documents").selectExpr("doc_id % 50 AS document_id").distinct()
+    docs = (fx.table(spark, sf, "documents").selectExpr(f"doc_id % {fx.groups(spark, sf)} AS document_id").distinct()
             .filter("document_id < 40").withColumn("filename", F.expr("concat('doc ', document_id)")))
     out = C.messages_with_citations(fx.messages(spark, sf), cites, docs)
     flat = F.array_join(F.transform("citations", lambda c: F.concat(c["idx"], F.lit(":"), c["filename"])), ",")

@@ -56,11 +56,12 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, (60 * sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS e
               FROM conversations)"""),
     "chunks": ((), """
-        SELECT d.doc_id AS chunk_id, d.doc_id % 50 AS document_id, d.doc_id // 50 AS ord, d.text,
+        SELECT d.doc_id AS chunk_id, d.doc_id % (SELECT greatest(50, count(*) // 20) FROM documents) AS document_id,
+               d.doc_id // (SELECT greatest(50, count(*) // 20) FROM documents) AS ord, d.text,
                e.embedding,
                CASE WHEN d.doc_id % 17 = 0 THEN 'failed' ELSE 'ready' END AS status
         FROM documents d LEFT JOIN embeddings e
-          ON e.vec_id = d.doc_id % 400 AND d.doc_id % 13 <> 0"""),
+          ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) AND d.doc_id % 13 <> 0"""),
     "tokens": ((), """
         SELECT chunk_id, token, count(*)::DOUBLE AS w
         FROM (SELECT doc_id AS chunk_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token
@@ -68,7 +69,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE length(token) >= 4 GROUP BY ALL"""),
     "queries": ((), """
         SELECT b.item_id AS query_id, b.text, e.embedding
-        FROM benchmark b JOIN embeddings e ON e.vec_id = (b.item_id * 7) % 400"""),
+        FROM benchmark b JOIN embeddings e ON e.vec_id = (b.item_id * 7) % (SELECT count(*) FROM embeddings)"""),
     "query_tokens": ((), """
         SELECT query_id, token, count(*)::DOUBLE AS w
         FROM (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token
@@ -76,7 +77,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE length(token) >= 4 GROUP BY ALL"""),
     "scope": ((), """
         SELECT item_id AS query_id, document_id
-        FROM benchmark, (SELECT DISTINCT doc_id % 50 AS document_id FROM documents)
+        FROM benchmark, (SELECT DISTINCT doc_id % (SELECT greatest(50, count(*) // 20) FROM documents) AS document_id FROM documents)
         WHERE (item_id + document_id) % 5 = 0 AND item_id % 4 <> 0"""),
     "scope_flags": ((), """
         SELECT item_id AS query_id, item_id % 8 = 0 AS unscoped FROM benchmark"""),
@@ -116,8 +117,8 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
                  || '[S' || (turn % 7) || '][S' || (conv_id % 5 + 1) || '].' AS raw
         FROM conversations WHERE role = 'assistant'"""),
     "sources": ((), """
-        SELECT m.message_id, s.sid, d.doc_id AS chunk_id, d.doc_id % 50 AS document_id,
-               'file_' || (d.doc_id % 50) || '.pdf' AS filename, d.text,
+        SELECT m.message_id, s.sid, d.doc_id AS chunk_id, d.doc_id % (SELECT greatest(50, count(*) // 20) FROM documents) AS document_id,
+               'file_' || (d.doc_id % (SELECT greatest(50, count(*) // 20) FROM documents)) || '.pdf' AS filename, d.text,
                CASE WHEN d.doc_id % 3 > 0 THEN 'Part ' || (d.doc_id % 3) || ' > Clause ' || s.sid END
                  AS heading_path,
                CASE WHEN d.doc_id % 4 > 0 THEN d.doc_id % 4 END AS page_from,
@@ -173,6 +174,17 @@ def sql(*names: str, body: str) -> str:
 # ------------------------------------------------------------------- Spark side
 
 
+def vectors(spark: SparkSession, sf: str) -> int:
+    """How many vectors there are; their ids run from 0."""
+    return spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def groups(spark: SparkSession, sf: str) -> int:
+    """Into how many documents the rows of ``documents`` are put, as chunks of them; it grows
+    with the table."""
+    return max(50, spark.read.parquet(f"{sf}/documents.parquet").count() // 20)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return spread(df, "doc_id") if name == "documents" else df
@@ -244,10 +256,10 @@ def segments(spark, sf):
 
 
 def chunks(spark, sf):
-    docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    return (docs.join(emb, (emb.vec_id == docs.doc_id % 400) & (docs.doc_id % 13 != 0), "left")
-            .selectExpr("doc_id AS chunk_id", "doc_id % 50 AS document_id",
-                        "doc_id div 50 AS ord", "text", "embedding",
+    docs, emb, n = table(spark, sf, "documents"), table(spark, sf, "embeddings"), groups(spark, sf)
+    return (docs.join(emb, (emb.vec_id == docs.doc_id % vectors(spark, sf)) & (docs.doc_id % 13 != 0), "left")
+            .selectExpr("doc_id AS chunk_id", f"doc_id % {n} AS document_id",
+                        f"doc_id div {n} AS ord", "text", "embedding",
                         "CASE WHEN doc_id % 17 = 0 THEN 'failed' ELSE 'ready' END AS status"))
 
 
@@ -274,7 +286,7 @@ def token_lists(df, key):
 
 def queries(spark, sf):
     b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
-    return (b.join(e, e.vec_id == (b.item_id * 7) % 400)
+    return (b.join(e, e.vec_id == (b.item_id * 7) % vectors(spark, sf))
             .select(F.col("item_id").alias("query_id"), "text", "embedding"))
 
 
@@ -282,7 +294,7 @@ def scope(spark, sf):
     """Documents each question may use: those congruent with it modulo five."""
     asked = table(spark, sf, "benchmark").filter("item_id % 4 <> 0").selectExpr(
         "item_id AS query_id", "pmod(-item_id, 5) AS residue")
-    docs = table(spark, sf, "documents").selectExpr("doc_id % 50 AS document_id").distinct()
+    docs = table(spark, sf, "documents").selectExpr(f"doc_id % {groups(spark, sf)} AS document_id").distinct()
     return (asked.join(docs.withColumn("residue", F.expr("document_id % 5")), "residue")
             .select("query_id", "document_id"))
 
@@ -352,7 +364,7 @@ def answers_of(assistant):
 
 def sources(spark, sf):
     docs = table(spark, sf, "documents")
-    total = docs.agg(F.count("*")).scalar()
+    total, n = docs.agg(F.count("*")).scalar(), groups(spark, sf)
     offered = (_assistant(spark, sf)
                .select(F.expr("conv_id * 1000 + turn").alias("message_id"), "conv_id", "turn",
                        F.explode(F.sequence(F.lit(1), F.lit(5))).alias("sid"))
@@ -360,8 +372,8 @@ def sources(spark, sf):
                        ((F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("sid") * 11) % total)
                        .alias("doc_id")))
     return offered.join(docs, "doc_id").selectExpr(
-        "message_id", "sid", "doc_id AS chunk_id", "doc_id % 50 AS document_id",
-        "concat('file_', doc_id % 50, '.pdf') AS filename", "text",
+        "message_id", "sid", "doc_id AS chunk_id", f"doc_id % {n} AS document_id",
+        f"concat('file_', doc_id % {n}, '.pdf') AS filename", "text",
         "CASE WHEN doc_id % 3 > 0 THEN concat('Part ', doc_id % 3, ' > Clause ', sid) END AS heading_path",
         "CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 END AS page_from",
         "CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 + doc_id % 2 END AS page_to",

@@ -218,13 +218,14 @@ def _(spark, sf):
 
 
 _CHANNEL_DOCS_SQL = """
-  channel_docs AS (SELECT DISTINCT conv_id AS channel_id, (conv_id * 3 + turn) % 50 AS document_id
+  channel_docs AS (SELECT DISTINCT conv_id AS channel_id, (conv_id * 3 + turn)
+                     % (SELECT greatest(50, count(*) // 20) FROM documents) AS document_id
                    FROM conversations WHERE conv_id % 9 > 0)"""
 
 
 def channel_docs(spark, sf):
     return fx.table(spark, sf, "conversations").filter("conv_id % 9 > 0").selectExpr(
-        "conv_id AS channel_id", "(conv_id * 3 + turn) % 50 AS document_id").distinct()
+        "conv_id AS channel_id", f"(conv_id * 3 + turn) % {fx.groups(spark, sf)} AS document_id").distinct()
 
 
 @query("ca3_list_channels", fx.sql("channels", "messages", body=f"""WITH {_CHANNEL_DOCS_SQL}
@@ -238,23 +239,24 @@ def _(spark, sf):
     return out.select("channel_id", F.col("active_leaf_id").alias("updated_at"), "message_count", "document_count")
 
 
-_ADDS = "(turn * 11 + conv_id) % 60"
+_DOCUMENTS = "(SELECT greatest(50, count(*) // 20) FROM documents)"
+_ADDS = "(turn * 11 + conv_id) % ({n} + 10)"
 
 
 @query("ca4_update_scope", f"""WITH {_CHANNEL_DOCS_SQL},
-  adds AS (SELECT DISTINCT conv_id AS channel_id, {_ADDS} AS document_id FROM conversations),
+  adds AS (SELECT DISTINCT conv_id AS channel_id, {_ADDS.format(n=_DOCUMENTS)} AS document_id FROM conversations),
   removes AS (SELECT channel_id, document_id FROM channel_docs WHERE document_id % 4 = 0
               UNION SELECT channel_id, document_id FROM adds WHERE document_id % 6 = 0)
   SELECT channel_id, document_id, 'scope' AS kind FROM (
-    SELECT * FROM channel_docs UNION SELECT * FROM adds WHERE document_id < 50
+    SELECT * FROM channel_docs UNION SELECT * FROM adds WHERE document_id < {_DOCUMENTS}
     EXCEPT SELECT * FROM removes)
-  UNION ALL SELECT channel_id, document_id, 'rejected' FROM adds WHERE document_id >= 50""")
+  UNION ALL SELECT channel_id, document_id, 'rejected' FROM adds WHERE document_id >= {_DOCUMENTS}""")
 def _(spark, sf):
     current = channel_docs(spark, sf)
     adds = fx.table(spark, sf, "conversations").selectExpr(
-        "conv_id AS channel_id", f"{_ADDS} AS document_id").distinct()
+        "conv_id AS channel_id", f"{_ADDS.format(n=fx.groups(spark, sf))} AS document_id").distinct()
     removes = current.filter("document_id % 4 = 0").union(adds.filter("document_id % 6 = 0")).distinct()
-    known = fx.table(spark, sf, "documents").selectExpr("doc_id % 50 AS document_id").distinct()
+    known = fx.table(spark, sf, "documents").selectExpr(f"doc_id % {fx.groups(spark, sf)} AS document_id").distinct()
     scope, rejected = C.update_scope(current, adds, removes, known)
     return (scope.withColumn("kind", F.lit("scope"))
             .unionByName(rejected.withColumn("kind", F.lit("rejected"))))

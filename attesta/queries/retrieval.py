@@ -271,7 +271,7 @@ _TOPIC_SCOPE = """
   asked_topics AS (SELECT item_id AS query_id, (item_id * 5 + k) % 200 AS topic_id
                    FROM benchmark, (VALUES (0), (50)) t(k) WHERE item_id % 3 <> 0),
   asked_docs AS (SELECT * FROM scope WHERE query_id % 5 <> 0),
-  by_topic AS (SELECT DISTINCT query_id, document_id % 50 AS document_id
+  by_topic AS (SELECT DISTINCT query_id, document_id % (SELECT greatest(50, count(*) // 20) FROM documents) AS document_id
                FROM asked_topics JOIN doc_topics USING (topic_id)),
   combined AS (
     SELECT d.query_id, d.document_id FROM asked_docs d WHERE d.query_id % 3 = 0
@@ -287,7 +287,7 @@ def _topic_scope(spark, sf):
         F.explode(F.expr("transform(array(0, 50), k -> (item_id * 5 + k) % 200)")).alias("topic_id"))
     flags = bench.selectExpr("item_id AS query_id", "item_id % 4 <> 0 AND item_id % 5 <> 0 AS has_documents",
                              "item_id % 3 <> 0 AS has_topics")
-    by_doc = fx.doc_topics(spark, sf).selectExpr("document_id % 50 AS document_id", "topic_id").distinct()
+    by_doc = fx.doc_topics(spark, sf).selectExpr(f"document_id % {fx.groups(spark, sf)} AS document_id", "topic_id").distinct()
     return R.topic_scope(fx.scope(spark, sf).filter("query_id % 5 <> 0"), topics, by_doc, flags)
 
 

@@ -47,7 +47,7 @@ def _(spark, sf):
 
 @query("tp2_document_view", fx.sql("chunks", body="""
   WITH n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ord) - 1 AS i,
-                    count(*) OVER (PARTITION BY document_id) AS total FROM chunks WHERE document_id * 2 + 1 > ord OR ord < 3),
+                    count(*) OVER (PARTITION BY document_id) AS total FROM chunks),
   v AS (SELECT document_id, any_value(total) AS total, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS whole,
                string_agg(text, chr(10) || chr(10) ORDER BY ord)
                  FILTER (i > 0 AND i % greatest(1, total // 4) = 0) AS sampled
@@ -55,7 +55,7 @@ def _(spark, sf):
   SELECT document_id, CASE WHEN total > 4 THEN whole[1:6000] || E'\\n\\n[...]\\n\\n' || sampled[1:2000]
                            ELSE whole[1:6000] END AS view FROM v"""))
 def _(spark, sf):
-    return T.document_view(fx.chunks(spark, sf).filter("document_id * 2 + 1 > ord OR ord < 3"))
+    return T.document_view(fx.chunks(spark, sf))
 
 
 @query("tp3_clean_labels", """
@@ -75,7 +75,7 @@ def _(spark, sf):
 
 _PROPOSALS_SQL = """
   proposals AS (SELECT d.doc_id * 10 + k AS id, d.doc_id AS document_id, k AS pos,
-                       'Topic ' || ((d.doc_id * 3 + k * 11) % 120) AS name, (d.doc_id * 3 + k * 11) % 400 AS vec
+                       'Topic ' || ((d.doc_id * 3 + k * 11) % 120) AS name, (d.doc_id * 3 + k * 11) % (SELECT count(*) FROM embeddings) AS vec
                 FROM documents d, (VALUES (0), (1)) t(k)),
   matched AS (SELECT p.*, CASE WHEN vec % 5 = 0 AND vec % 29 <> 5 THEN vec
                                ELSE -(min(id) OVER (PARTITION BY vec)) - 1 END AS topic_id FROM proposals p)"""
@@ -84,7 +84,7 @@ _PROPOSALS_SQL = """
 def proposals(spark, sf):
     p = fx.table(spark, sf, "documents").selectExpr("doc_id AS document_id", "explode(array(0L, 1L)) AS pos")
     p = p.selectExpr("document_id * 10 + pos AS id", "document_id", "pos",
-                     "(document_id * 3 + pos * 11) % 400 AS vec",
+                     f"(document_id * 3 + pos * 11) % {fx.vectors(spark, sf)} AS vec",
                      "concat('Topic ', (document_id * 3 + pos * 11) % 120) AS name")
     e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vec"), "embedding")
     return p.join(e, "vec").drop("vec")
@@ -216,12 +216,13 @@ def _(spark, sf):
   SELECT 'topic' AS kind, id, CASE id % 4 WHEN 0 THEN 'New Name/' || id ELSE name END AS name,
          CASE id % 4 WHEN 0 THEN 'new-name-' || id ELSE 'topic-' || (id % 150) END AS slug,
          CASE WHEN id % 4 < 2 THEN 'user' ELSE 'agent' END AS created_by FROM topics
-  UNION ALL SELECT 'alias', id, name, NULL, NULL FROM topics WHERE id % 4 = 0"""))
+  UNION ALL SELECT 'alias', id, name, NULL, NULL FROM topics WHERE id % 4 = 0
+  UNION ALL (WITH {al} SELECT 'alias', topic_id, alias, NULL, NULL FROM al)""".replace("{al}", _ALIASES_SQL)))
 def _(spark, sf):
     t = topics(spark, sf)
     renames = t.filter("id % 4 < 2").selectExpr(
         "id", "CASE id % 4 WHEN 0 THEN concat(' New Name/', id) ELSE name END AS new_name")
-    out, names = T.rename_topics(t, aliases(spark, sf).limit(0), renames)
+    out, names = T.rename_topics(t, aliases(spark, sf), renames)
     null = F.lit(None).cast("string")
     return out.select(F.lit("topic").alias("kind"), "id", "name", "slug", "created_by").unionByName(
         names.select(F.lit("alias").alias("kind"), F.col("topic_id").alias("id"), F.col("alias").alias("name"),
