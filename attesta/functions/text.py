@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql import types as T
 _SPACE = r"[\s\x1c-\x1f]"
 _CITE_TOKEN = r"(?i)\[\[\s*cite\s*:[^\]]{0,16}\]\]"
 
+#: digits of all scripts, and the ASCII digits they stand for
+_DIGITS = tuple(map("".join, zip(*((c, str(unicodedata.decimal(c))) for c in map(chr, range(0x80, sys.maxunicode + 1))
+                                   if unicodedata.decimal(c, None) is not None), strict=True)))
+
 SAMPLE_MARK = "\n\n[...]\n\n"  # fixed value
 CHARS_PER_TOKEN = 2            # fixed value
 
@@ -69,10 +74,16 @@ def slugify(name: Column | str) -> Column:
     return F.when(s == "", "topic").otherwise(s)
 
 
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of all scripts as 0 to 9."""
+    return F.translate(text, *_DIGITS)
+
+
 def parse_number(text: Column | str) -> Column:
-    """First number in the text, thousands commas removed, else null."""
-    found = F.regexp_extract(F.coalesce(_col(text), F.lit("")), r"-?\d[\d,]*(?:\.\d+)?", 0)
-    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
+    """First number in the text, thousands commas removed, else null. Digits of all scripts
+    count."""
+    found = F.regexp_extract(F.coalesce(_col(text), F.lit("")), r"(?U)-?\d[\d,]*(?:\.\d+)?", 0)
+    return ascii_digits(F.replace(found, F.lit(","), F.lit(""))).try_cast("double")
 
 
 def clock(ms: Column | str) -> Column:
@@ -81,3 +92,20 @@ def clock(ms: Column | str) -> Column:
     h, m, s = F.floor(total / 3600), F.floor((total % 3600) / 60), total % 60
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(
         F.format_string("%d:%02d", m, s))
+
+
+def round_tenths(value: Column) -> Column:
+    """A double to one decimal: the nearer tenth of its exact binary value, halves to even.
+
+    Ten times the value is split into the double next to it and the exact rest (the value's
+    upper and lower halves times ten have no error), so 10.35, which is a little less than
+    it looks, becomes 10.3.
+    """
+    big = value * F.lit(134217729.0)
+    upper = big - (big - value)
+    tenfold = value * F.lit(10.0)
+    rest = (upper * F.lit(10.0) - tenfold) + (value - upper) * F.lit(10.0)
+    down = F.floor(tenfold).cast("double")
+    over = (tenfold - down - F.lit(0.5)) + rest
+    even = down - F.lit(2.0) * F.floor(down / 2) == 0
+    return F.when((over < 0) | ((over == 0) & even), down / 10).otherwise((down + 1) / 10)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import is_blank, lstrip, rstrip, strip
+from attesta.functions.text import is_blank, lstrip, round_tenths, rstrip, strip
 from attesta.operators.graphs import greedy_leaders
 from attesta.plans.fold import annotate_sorted, islands
 from attesta.plans.lineage import cut
@@ -59,7 +59,7 @@ def body_font_size(lines: DataFrame) -> DataFrame:
 
     The size seen first wins a tie; a page without text has 0.
     """
-    size = F.bround(F.col("font_size").cast("double"), 1)
+    size = round_tenths(F.col("font_size").cast("double"))
     chars = F.length(strip("text"))
     weights = (lines.groupBy(*PAGE, F.when(chars > 0, size).alias("__size"))
                .agg(F.sum(chars).alias("__w"), F.min("line_no").alias("__first")))

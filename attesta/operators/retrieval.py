@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from attesta.functions.text import strip
 from attesta.operators.search import score_topk
 from attesta.plans.joins import small_side
 from attesta.plans.lineage import cut
@@ -208,7 +209,8 @@ def retry_rounds(questions: DataFrame, rewrites: DataFrame, scope: DataFrame, ch
         said = (rewrites.filter((F.col("round") == number) & ~F.col("sufficient"))
                 .select("query_id", *[F.col(c).alias(f"next_{c}") for c in vector]))
         again = judged.join(said, "query_id")
-        stuck = (F.coalesce(F.trim("next_text"), F.lit("")) == "") | (F.trim("next_text") == F.col("text"))
+        proposed = strip("next_text")
+        stuck = (F.coalesce(proposed, F.lit("")) == "") | (proposed == F.col("text"))
         widen = stuck & F.col("has_scope") & ~F.col("unscoped") & ~F.col("widened")
         active = cut(again.filter(~stuck | widen).select(
             "query_id", *[F.when(stuck, F.col(c)).otherwise(F.col(f"next_{c}")).alias(c) for c in vector],

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a local one only
-    when none is configured (tests, local runs)."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names. Only a local master, which
+    has one machine, may do without and gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if configured is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(configured)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def write_replacing(new: DataFrame, path: str, key: str, shards: int) -> None:
 # Every table that depends on a document: how its rows reach the document id.
 DEPENDENTS = {"pages": "document_id", "elements": "document_id", "chunks": "document_id",
               "document_topics": "document_id", "channel_documents": "document_id",
-              "citations": "document_id"}
+              "citations": "document_id", "ingest_jobs": "document_id"}
 
 
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -23,11 +23,11 @@ def parse_events(events: DataFrame) -> DataFrame:
 def fold_turn(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(messages, citations, steps).
 
-    A revision replaces everything said before it; tokens after it follow on. The
+    A revision with a text replaces everything said before it; tokens after it follow on. The
     last ``done`` gives the rejected markers, an ``error`` fails the turn.
     """
     e = parse_events(events)
-    cutoff = (e.filter("event = 'revision'").groupBy("message_id")
+    cutoff = (e.filter("event = 'revision' AND d.text IS NOT NULL").groupBy("message_id")
               .agg(F.max("seq").alias("__from"), F.max_by("d.text", "seq").alias("__base")))
     words = (e.filter("event = 'token'").join(cutoff.select("message_id", "__from"), "message_id", "left")
              .filter(F.col("__from").isNull() | (F.col("seq") > F.col("__from"))))

@@ -87,3 +87,14 @@ def test_page_text_is_trimmed_only_at_its_ends(spark):
     out = L.page_route(spark.createDataFrame(pages, "document_id long, page_no long, has_visual boolean"),
                        spark.createDataFrame(lines, "document_id long, page_no long, line_no long, text string"))
     assert {r.page_no: r.route for r in out.collect()} == {1: "text", 2: "ocr", 3: "blank", 4: "ocr"}
+
+
+def test_sizes_round_like_their_binary_values(spark):
+    import random
+
+    from attesta.functions.text import round_tenths
+    rng = random.Random(4)
+    sizes = [10.35, 10.25, 10.75, 9.95, 0.0, 12.0, 11.45, 0.05, 0.15, *(rng.randint(0, 4000) / 100 for _ in range(500)),
+             *(rng.uniform(0, 99) for _ in range(200))]
+    df = spark.createDataFrame([(s,) for s in sizes], "s double")
+    assert all(r[1] == round(r[0], 1) for r in df.select("s", round_tenths(F.col("s"))).collect())
