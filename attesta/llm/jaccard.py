@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ LEAF = 32
 UNIT_ROWS, UNIT_SHINGLES = 1024, 1 << 20
 #: members of a list that are tied to one of them, so that no node gets many edges
 FAN = 256
+#: rare shingles that similar sets must share, and the longest list whose pairs are counted
+SHARED, SHORT = 3, 16
 #: rows of a table of ids that is broadcast; more are shuffled
 FEW = 1_000_000
 
@@ -90,7 +93,8 @@ PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("hi", T.
 
 def _profile(spark, counts: np.ndarray, width: int, percent: int):
     """A column function: the size of a text's shingle set, 128 bits that name the set, and
-    its rarest shingles, of which every set as similar as asked for has one among its own."""
+    its rarest shingles, of which every set as similar as asked for has ``needed`` ones among
+    its own."""
     rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint64)
     held = spark.sparkContext.broadcast(rank)
 
@@ -102,7 +106,7 @@ def _profile(spark, counts: np.ndarray, width: int, percent: int):
             for data, at in K.chunks(text):
                 for own in sets(data, at, width):
                     n = len(own)
-                    keep = n - (percent * n + 99) // 100 + 1 if n else 0
+                    keep = min(n, n - (percent * n + 99) // 100 + needed(percent))
                     order = np.lexsort((own, rank[(own % np.uint64(COUNTED)).astype(np.int64)]))[:keep]
                     sizes.append(n)
                     hi.append(int(np.sum(own, dtype=np.uint64)))
@@ -126,33 +130,72 @@ def _set_column(width: int):
     return as_set
 
 
+def needed(percent: int) -> int:
+    """How many of the rarest shingles two different but similar sets have in common at
+    least: their intersection has percent / (100 - percent) shingles for each that is not
+    in it."""
+    return max(1, min(SHARED, -(-percent // max(1, 100 - percent))))
+
+
 def _ties(percent: int):
-    """Rows (token, n, node), sorted, to edges that connect the nodes of each token without
-    making their pairs: nodes are tied to the first of their run of ``FAN``, and that to the
-    first of the run before. A list is cut where sizes leap so far that no two sets across
-    can be similar enough."""
+    """Rows (token, n, node), sorted, to weighted edges (a, b, w): the pairs of lists up to
+    ``SHORT`` with weight 1, so that weights count shared tokens; for longer lists, edges
+    that connect the list, with full weight: nodes are tied to the first of their run of
+    ``FAN``, and that to the first of the run before. A list is cut where sizes leap so far
+    that no two sets across can be similar enough."""
+    full = needed(percent)
+    corners = [np.triu_indices(size, 1) for size in range(SHORT + 1)]
+
+    def pairs(n: np.ndarray, node: np.ndarray, heads: np.ndarray, runs: np.ndarray) -> list:
+        out = []
+        for size in np.unique(runs[(runs > 1) & (runs <= SHORT)]):
+            at = heads[runs == size][:, None]
+            i, j = (at + c for c in corners[size])
+            near = (n[i] * 100 >= n[j] * percent) & (node[i] != node[j])
+            out.append((node[i][near], node[j][near], 1))
+        return out
+
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, size, place, head = 0, 0, 0, 0  # of the last row; place 0: no row yet
-        for batch in batches:
-            t, n, node = (batch.column(i).to_numpy() for i in range(3))
+        none = np.zeros(0, np.int64)
+        held = (none, none, none)  # the last list so far, while it is short
+        token, size, place, head = 0, 0, 0, 0  # of a long list that may go on; place 0: none
+        for batch in chain(batches, [None]):
+            more = held if batch is None else [c.to_numpy() for c in batch.columns]
+            t, n, node = (np.concatenate([h, x]) for h, x in zip(held, (none, none, none) if batch is None else more, strict=True))
+            held = (none, none, none)
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (n[1:] * percent > n[:-1] * 100)
-            new[0] = not place or t[0] != token or n[0] * percent > size * 100
-            if new[0]:
+            goes_on = place > 0 and t[0] == token and n[0] * percent <= size * 100
+            heads = np.flatnonzero(new)
+            runs = np.diff(np.append(heads, len(t)))
+            long = runs > SHORT
+            long[0] |= goes_on
+            if batch is not None and not long[-1]:
+                held = tuple(x[heads[-1]:] for x in (t, n, node))
+                heads, runs, long = heads[:-1], runs[:-1], long[:-1]
+            edges = pairs(n, node, heads[~long], runs[~long])
+            for h, r in zip(heads[long], runs[long], strict=True):
+                if h or not goes_on:
+                    place = 0
+                own = node[h:h + r]
+                at = np.arange(place, place + r)
+                step = at % FAN
+                parent = np.arange(r) - np.where(step == 0, FAN, step)
+                a = np.where(parent >= 0, own[np.maximum(parent, 0)], head)
+                inner = (at > 0) & (a != own)
+                edges.append((a[inner], own[inner], full))
+                last = r - 1 - int(step[-1])
+                head = int(own[last]) if last >= 0 else head
+                place += r
+            if not len(long) or not long[-1] or held[0].size:
                 place = 0
-            index = np.arange(len(t))
-            begin = np.maximum.accumulate(np.where(new, index, -place))
-            at = index - begin
-            step = at % FAN
-            parent = index - np.where(step == 0, FAN, step)
-            a = np.where(parent >= 0, node[parent], head)
-            inner = (at > 0) & (a != node)
-            yield pa.RecordBatch.from_arrays([pa.array(a[inner]), pa.array(node[inner])], names=["a", "b"])
-            last = len(t) - 1 - int(step[-1])
-            head = int(node[last]) if last >= 0 else head
-            token, size, place = int(t[-1]), int(n[-1]), int(at[-1]) + 1
+            token, size = int(t[-1]), int(n[-1])
+            a, b, w = (np.concatenate([none, *x]) for x in (
+                [e[0] for e in edges], [e[1] for e in edges], [np.full(len(e[0]), e[2]) for e in edges]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w)],
+                                             names=["a", "b", "w"])
 
     return tie
 
@@ -237,18 +280,18 @@ def _linked(percent: int):
 
 
 def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, block, set) to partial boxes (label, block, least, high)."""
+    """Rows (label, block, set) to partial boxes (label, block, least, most, high)."""
     found: dict[tuple, list] = {}
     for batch in batches:
         for label, block, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             values = np.frombuffer(own, np.uint64)
             p = points(values, np.array([0, len(values)]))[0]
-            box = found.setdefault((label, block), [len(values), p])
-            box[0], box[1] = min(box[0], len(values)), np.maximum(box[1], p)
+            box = found.setdefault((label, block), [len(values), len(values), p])
+            box[:] = min(box[0], len(values)), max(box[1], len(values)), np.maximum(box[2], p)
     yield pa.RecordBatch.from_arrays(
         [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
-         pa.array([b[0] for b in found.values()], pa.int64()),
-         pa.array([b[1].tolist() for b in found.values()], pa.list_(pa.int64()))], names=["label", "block", "least", "high"])
+         *(pa.array([b[i] for b in found.values()], pa.int64()) for i in (0, 1)),
+         pa.array([b[2].tolist() for b in found.values()], pa.list_(pa.int64()))], names=["label", "block", "least", "most", "high"])
 
 
 def _units(held: DataFrame, large: DataFrame, percent: int) -> DataFrame:
@@ -259,14 +302,16 @@ def _units(held: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return small
     big = held.where("block IS NOT NULL")
-    parts = big.select("label", "block", "set").mapInArrow(_boxes, "label long, block long, least long, high array<long>")
+    parts = big.select("label", "block", "set").mapInArrow(
+        _boxes, "label long, block long, least long, most long, high array<long>")
     boxes = stored(parts.groupBy("label", "block").agg(
-        F.min("least").alias("least"),
+        F.min("least").alias("least"), F.max("most").alias("most"),
         F.array(*(F.max(F.col("high")[i]) for i in range(DIMENSIONS))).alias("high")), "boxes")
-    one = boxes.select("label", F.col("block").alias("x"), F.col("least").alias("lx"), F.col("high").alias("hx"))
+    one = boxes.select("label", F.col("block").alias("x"), F.col("least").alias("lx"), F.col("most").alias("mx"),
+                       F.col("high").alias("hx"))
     two = boxes.select("label", F.col("block").alias("y"), F.col("least").alias("ly"), F.col("high").alias("hy"))
     shared = F.aggregate(F.zip_with("hx", "hy", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = one.join(two, "label").where("x <= y").where((100 + percent) * shared >= percent * (F.col("lx") + F.col("ly")))
+    pairs = one.join(two, "label").where("x <= y").where(F.col("mx") * 100 >= F.col("ly") * percent).where((100 + percent) * shared >= percent * (F.col("lx") + F.col("ly")))
     name = F.concat_ws("/", "label", "x", "y").alias("unit")
     sides = stored(pairs.select("label", name, F.explode(F.when(F.col("x") == F.col("y"), F.array(
         F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(
@@ -288,10 +333,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     equal results each. An empty table gives an empty one.
 
     1. One scan counts shingles in a fixed number of groups, which orders shingles from rare
-       to frequent. 2. Equal sets become one node. Two similar sets share a shingle among the
-       rarest of each (so many that the rest can't reach the similarity asked for), so nodes
-       that share such a shingle are tied, in lists and not in pairs, and the connected
-       components of these ties hold every link. 3. Each component is joined within itself by
+       to frequent. 2. Equal sets become one node. Two similar sets share three shingles among
+       the rarest of each (so many that the rest can't reach the similarity asked for). Nodes
+       that do are tied; for this the short lists of the nodes of a shingle are counted by
+       pairs, while a long list ties all its nodes in a chain of stars. The connected
+       components of the ties hold every link. 3. Each component is joined within itself by
        R-trees over count vectors; one that is too large for a task is cut into blocks, and
        those pairs of blocks are joined whose boxes allow it. 4. The links make the final
        components. No list, set of links or component passes through the driver.
@@ -308,7 +354,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         F.count(F.lit(1)).alias("docs"), F.first("prefix").alias("prefix")), "sets")
     lists = (nodes.select(F.explode("prefix").alias("token"), "n", F.col("hi").alias("node"))
              .repartition(F.col("token")).sortWithinPartitions("token", "n", "node"))
-    tied = components(lists.mapInArrow(_ties(percent), "a long, b long"))
+    shared = lists.mapInArrow(_ties(percent), "a long, b long, w long").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    tied = components(shared.where(F.col("w") >= needed(percent)))
     ids = nodes.select(F.col("hi").alias("node"), "n", "first.id", "first.text_hash")
     members = stored(tied.join(ids, "node"), "members")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
