@@ -41,20 +41,32 @@ TEXT, HEADING, TABLE, PIECE, NEXT_PIECE = range(5)
 
 # -------------------------------------------------------------------- heading path
 
-def heading_path(elements: DataFrame, levels: int = 3) -> DataFrame:
+def heading_path(elements: DataFrame) -> DataFrame:
     """Add ``heading_path``, the titles an element stands under.
 
-    For each level the last heading so far counts only if it came after the last
-    heading of every shallower level.
+    For each level that occurs the last heading so far counts only if it came after the
+    last heading of every shallower level.
     """
-    level = F.least(F.coalesce(F.nullif("level", F.lit(0)), F.lit(DEFAULT_LEVEL)), F.lit(levels))
-    last = {f"__h{n}": ("max", F.when((F.col("kind") == "heading") & (level == n),
+    level = heading_level()
+    last = {f"__h{i}": ("max", F.when((F.col("kind") == "heading") & (level == n),
                                       F.struct("reading_order", strip("text").alias("title"))))
-            for n in range(1, levels + 1)}
+            for i, n in enumerate(levels_in(elements.filter("kind = 'heading'"), level))}
+    if not last:
+        return elements.withColumn("heading_path", F.lit(None).cast("string"))
     out = running(elements, ["document_id"], ["reading_order"], by_position("reading_order"), last)
     return out.withColumn("heading_path", _path([F.col(n) for n in last], "reading_order")).drop(*last)
 
 
+def heading_level() -> Column:
+    """A heading's level; none or 0 counts as ``DEFAULT_LEVEL``."""
+    return F.coalesce(F.nullif("level", F.lit(0)), F.lit(DEFAULT_LEVEL)).cast("int")
+
+
+def levels_in(headings: DataFrame, level: Column) -> list[int]:
+    """The levels that occur, shallowest first; as many as an outline is deep."""
+    return sorted(r[0] for r in headings.select(level).distinct().collect())
+
+
 def _path(lasts: list[Column], at: str) -> Column:
     """Joined titles of the headings not cancelled by a later shallower one."""
     parts, shallow = [], F.lit(-1).cast("bigint")
@@ -233,7 +245,7 @@ def chunk_elements(elements: DataFrame, target: int = TARGET_TOKENS, overlap: in
     block = max(block, ahead)
     parts = split_oversize(elements.filter("text <> '' OR kind IN ('heading', 'table')"), limit)
     row = F.struct("reading_order", "piece", "code", F.length("text").alias("size"), "text", "page_no",
-                   F.coalesce(F.nullif("level", F.lit(0)), F.lit(DEFAULT_LEVEL)).cast("int").alias("level"), "cut_start", "cut_end")
+                   heading_level().alias("level"), "cut_start", "cut_end")
     # two pieces in a row exceed the limit, which bounds their number without cutting
     weight = F.when(F.col("kind").isin("heading", "table"), 1).otherwise(1 + F.floor(2 * F.length("text") / limit))
     large_ids = (elements.groupBy("document_id").agg(F.sum(weight).alias("__n")).filter(F.col("__n") > block)
@@ -318,17 +330,18 @@ def _large_blocks(parts, row, limit, carry, block, ahead, behind) -> DataFrame:
     entered = reachable(starts, links).select("node.document_id", F.col("node.s").alias("__s"))
     entered = entered.withColumn("block", F.floor(F.col("__s") / 2 / block))
 
-    levels = range(1, DEFAULT_LEVEL + 1)
-    level = F.least(F.coalesce(F.nullif("level", F.lit(0)), F.lit(DEFAULT_LEVEL)), F.lit(DEFAULT_LEVEL))
-    heads = numbered.filter(F.col("code") == HEADING).groupBy("document_id", F.col("__b").alias("block")).agg(
+    level = heading_level()
+    headings = numbered.filter(F.col("code") == HEADING)
+    levels = levels_in(headings, level) or [DEFAULT_LEVEL]
+    heads = headings.groupBy("document_id", F.col("__b").alias("block")).agg(
         *[F.max(F.when(level == n, F.struct("__i", F.lit(n).alias("level"), strip("text").alias("title"))))
-          .alias(f"__h{n}") for n in levels])
+          .alias(f"__h{i}") for i, n in enumerate(levels)])
     opened = gathered.select("document_id", "block").join(heads, ["document_id", "block"], "left")
     prior = W.partitionBy("document_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    opened = opened.select("document_id", "block", *[F.max(f"__h{n}").over(prior).alias(f"__h{n}") for n in levels])
+    opened = opened.select("document_id", "block", *[F.max(f"__h{i}").over(prior).alias(f"__h{i}") for i in range(len(levels))])
     kept, shallow = [], F.lit(-1).cast("bigint")
-    for n in levels:
-        h = F.col(f"__h{n}")
+    for i in range(len(levels)):
+        h = F.col(f"__h{i}")
         kept.append(F.when(h["__i"] > shallow, F.struct(h["level"].alias("level"), h["title"].alias("title"))))
         shallow = F.greatest(shallow, h["__i"])
     opened = opened.select("document_id", "block", F.array_compact(F.array(*kept)).alias("open"))

@@ -22,13 +22,23 @@ def query_table(cells: DataFrame, requests: DataFrame) -> DataFrame:
     selects nothing.
     """
     asked = requests.select("query_id", "table_id", "row", "col", "row_header", "col_header")
-    hit = (asked.join(cells.select("table_id", "r", "c", "text"), "table_id")
-           .filter((F.col("row").isNull() | (F.col("r") == F.col("row")))
-                   & (F.col("col").isNull() | (F.col("c") == F.col("col")))))
-    heads = cells.filter("r = 0 OR c = 0").join(
-        asked.filter("row_header IS NOT NULL OR col_header IS NOT NULL"), "table_id")
+    own = cells.select("table_id", "r", "c", "text")
+    heads = own.filter("r = 0 OR c = 0").join(asked.filter("row_header IS NOT NULL OR col_header IS NOT NULL"), "table_id")
     rows = heads.filter(F.col("c") == 0).filter(F.contains("text", "row_header")).select("query_id", "r").distinct()
     cols = heads.filter(F.col("r") == 0).filter(F.contains("text", "col_header")).select("query_id", "c").distinct()
+    # a request meets the row or the column it asks for, and a whole table only if it asks for that
+    by_row = asked.filter("row IS NOT NULL").withColumn("r", F.col("row").cast("bigint"))
+    by_col = asked.filter("row IS NULL AND col IS NOT NULL").withColumn("c", F.col("col").cast("bigint"))
+    open_ = asked.filter("row IS NULL AND col IS NULL")
+    by_row = by_row.unionByName(open_.filter("row_header IS NOT NULL").join(rows, "query_id").select(by_row.columns))
+    by_col = by_col.unionByName(open_.filter("row_header IS NULL AND col_header IS NOT NULL").join(cols, "query_id")
+                                .select(by_col.columns))
+    whole = open_.filter("row_header IS NULL AND col_header IS NULL")
+    out = [*asked.columns, "r", "c", "text"]
+    hit = (by_row.join(own, ["table_id", "r"]).select(out)
+           .unionByName(by_col.join(own, ["table_id", "c"]).select(out))
+           .unionByName(whole.join(own, "table_id").select(out))
+           .filter(F.col("col").isNull() | (F.col("c") == F.col("col"))))
     rows, cols = rows.withColumn("__r", F.lit(True)), cols.withColumn("__c", F.lit(True))
     return (hit.join(rows, ["query_id", "r"], "left").join(cols, ["query_id", "c"], "left")
             .filter((F.col("row_header").isNull() | F.col("__r")) & (F.col("col_header").isNull() | F.col("__c")))

@@ -42,7 +42,7 @@ def deltas(answers, sources):
 def _(spark, sf):
     assistant = stream_of(spark, sf, "conversations").filter("role = 'assistant'")
     raw = fx.answers_of(assistant)
-    out = drain(M.stream_markers(deltas(raw, fx.sources(spark, sf))), "markers")
+    out = drain(M.stream_markers(deltas(raw, fx.sources(spark, sf)), idle_ms=0), "markers")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), "")
     return out.groupBy("message_id").agg(
         body.alias("body"), F.sum(F.size("cited")).alias("n_cited"), F.sum(F.size("rejected")).alias("n_rejected"))

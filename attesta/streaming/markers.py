@@ -19,6 +19,10 @@ LONGEST_UNFINISHED = 5
 OUTPUT = "message_id long, seq long, text string, cited array<int>, rejected array<int>"
 
 
+#: an answer that falls silent for so long is flushed and forgotten
+IDLE_MS = 600_000
+
+
 def settle(text: str, final: bool) -> tuple[str, str]:
     """(text that is decided, tail that may still become a marker)."""
     if final:
@@ -53,7 +57,7 @@ class MarkerProcessor(StatefulProcessor):
     micro-batch brings them. A turn that falls silent is flushed as if it had ended.
     """
 
-    def __init__(self, idle_ms: int = 0) -> None:
+    def __init__(self, idle_ms: int = IDLE_MS) -> None:
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
@@ -117,7 +121,7 @@ class MarkerProcessor(StatefulProcessor):
         pass
 
 
-def stream_markers(deltas: DataFrame, idle_ms: int = 0) -> DataFrame:
+def stream_markers(deltas: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """Rewritten text of every piece as soon as it is decided.
 
     ``deltas`` (streaming): message_id, seq, delta, final, offered (the source numbers

@@ -53,7 +53,7 @@ def test_stream_over_many_batches_in_wrong_order_equals_the_batch_parse(spark, t
         spark.createDataFrame(rows[n::4], DELTA).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     stream = (spark.readStream.schema(DELTA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
               .parquet(str(tmp_path / "in")))
-    out = drain(M.stream_markers(stream), "test-markers")
+    out = drain(M.stream_markers(stream, idle_ms=0), "test-markers")
     got = {}
     for r in out.orderBy("message_id", "seq").collect():
         body, cited, rejected = got.get(r.message_id, ("", [], []))
