@@ -185,10 +185,12 @@ class Examples:
         return float(np.interp(vote, self.votes, self.scores))
 
 
-def fit(labelled: DataFrame, max_examples: int = 12_000, max_terms: int = 20_000, least_docs: int = 5,
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 20_000, least_docs: int = 5,
         chi2: float = 25.0, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Examples:
-    """Examples from at most about ``max_examples`` labelled rows, picked by a hash of the id.
+    """Examples from at most about ``max_examples`` rows of ``labels`` (id, label), picked by
+    a hash of the id, and their texts in ``docs``. The picked labels are few by that
+    parameter and are broadcast, so no text is shuffled.
 
     Terms are words of the lower-cased text and the first bytes of longer ones. Those of
     them that stand out with label 1 in the sample (chi-square above ``chi2``, in
@@ -196,13 +198,14 @@ def fit(labelled: DataFrame, max_examples: int = 12_000, max_terms: int = 20_000
     which cosines are taken. Rows without text, id or label are left out. Without examples
     of both labels, every score is the labels' mean (0 without any).
     """
-    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"),
-                           F.col(label_col).cast("int").alias("label")).dropna()
-    n = rows.count()
+    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
+    n = marked.count()
     share = 1 << 20 if n <= max_examples else (1 << 20) * max_examples // n
-    rows = stored(rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share), "examples")
-    labels = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ones, total = labels.get(1, 0), sum(labels.values())
+    picked = stored(marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share), "example-labels")
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropna()
+    rows = stored(whole.join(F.broadcast(picked), "id").withColumn("text", F.lower("text")), "examples")
+    counted = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ones, total = counted.get(1, 0), sum(counted.values())
     none, zero = np.zeros(0, np.int64), np.zeros(0)
     if not ones or ones == total:
         out = Examples.build(none.view(np.uint64), zero, none, none, none, none, zero)

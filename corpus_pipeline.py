@@ -13,7 +13,7 @@ from attesta.llm.binpack import pack
 from attesta.llm.fmindex import remove_leaks
 from attesta.llm.jaccard import near_duplicates
 from attesta.llm.linededup import drop_common_lines
-from attesta.llm.model_queries import toxic_examples
+from attesta.llm.model_queries import toxic_labels
 from attesta.llm.queries import ORACLES, QUERIES
 from attesta.llm.scratch import stored, table
 
@@ -30,7 +30,7 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC``; null texts are scored as empty."""
-    model = toxicity.fit(toxic_examples(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxic_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
 
 
