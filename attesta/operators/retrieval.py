@@ -112,22 +112,24 @@ def rerank(hits: DataFrame, questions: DataFrame, scorer: Scorer = overlap_score
            k: int = RERANK_TOP_K) -> DataFrame:
     """Score (question, passage) pairs and keep the best k per question.
 
-    A question whose scoring fails keeps its fused order and null scores.
+    A question whose scoring fails keeps its fused order and null scores, and says why in
+    ``rerank_error``.
     """
     pairs = hits.join(questions.select("query_id", F.col("text").alias("__question")), "query_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             scores = pd.Series(float("nan"), index=frame.index)
+            errors = pd.Series(None, index=frame.index, dtype=object)
             for _, part in frame.groupby("query_id", sort=False):
                 try:
                     scores.loc[part.index] = scorer(part["__question"].iloc[0], part["text"].tolist())
-                except Exception:  # noqa: BLE001 - a failed scorer only loses the reordering
-                    continue
-            yield frame.drop(columns="__question").assign(rerank_score=scores)
+                except Exception as error:  # noqa: BLE001 - a failed scorer only loses the reordering
+                    errors.loc[part.index] = f"{type(error).__name__}: {error}"
+            yield frame.drop(columns="__question").assign(rerank_score=scores, rerank_error=errors)
 
     out = T.StructType([*hits.select("query_id", *[c for c in hits.columns if c != "query_id"]).schema.fields,
-                        T.StructField("rerank_score", T.DoubleType())])
+                        T.StructField("rerank_score", T.DoubleType()), T.StructField("rerank_error", T.StringType())])
     scored = pairs.mapInPandas(run, out)
     scored = scored.withColumn("rerank_score", F.nanvl("rerank_score", F.lit(None).cast("double")))
     failed = F.max(F.col("rerank_score").isNull()).over(W.partitionBy("query_id"))

@@ -28,17 +28,27 @@ def read_catalog(spark, path: str) -> DataFrame:
     return spark.read.schema(CATALOG).parquet(path)
 
 
+def rejects_path(catalog_path: str) -> str:
+    """Where the files are listed that a stream did not take."""
+    return f"{catalog_path.rstrip('/')}-rejects"
+
+
 def ingest_batch(catalog_path: str, max_mb: float = 512) -> Callable[[DataFrame, int], None]:
     """Body of a ``foreachBatch``: new documents of a batch go to the catalog.
 
     Each batch owns one partition and sees only earlier ones, so a replayed batch
-    writes the same rows to the same place.
+    writes the same rows to the same place. Files of an unsupported kind or beyond
+    ``max_mb`` go to ``rejects_path(catalog_path)`` with the reason.
     """
 
     def run(files: DataFrame, batch: int) -> None:
         spark = files.sparkSession
-        fits, _large = size_filter(files, max_mb)
-        accepted, _rejected = split_rejected(classify_source(fits))
+        fits, large = size_filter(files, max_mb)
+        accepted, unknown = split_rejected(classify_source(fits))
+        refused = ["file_id", "filename", "mime", "size_bytes", "arrival", "reason"]
+        (large.select(refused).unionByName(unknown.select(refused)).withColumn("batch", F.lit(batch).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+         .parquet(rejects_path(catalog_path)))
         hashed = with_hash(accepted).select("file_id", "filename", "source_kind", "size_bytes", "sha256", "arrival")
         earlier = read_catalog(spark, catalog_path).filter(F.col("batch") < batch).select("sha256", "document_id")
         new = dedupe_by_hash(hashed, earlier).filter("is_new")

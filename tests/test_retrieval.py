@@ -136,6 +136,7 @@ def test_a_failing_scorer_keeps_the_fused_order(spark):
 
     out = R.rerank(hits, asked, scorer, 2).orderBy("query_id", "rerank_rank").collect()
     assert [(r.chunk_id, r.rerank_score) for r in out] == [(11, 3.0), (12, 2.0), (20, None), (21, None)]
+    assert [bool(r.rerank_error) for r in out] == [False, False, True, True]
 
 
 def test_interleaving_equals_taking_turns(spark):

@@ -99,3 +99,5 @@ def test_ingest_is_idempotent_over_batches_and_replays(spark, tmp_path):
         body(spark.createDataFrame(rows, schema), batch)
     got = I.read_catalog(spark, str(tmp_path / "catalog")).orderBy("document_id").collect()
     assert [(r.document_id, r.source_kind, r.batch) for r in got] == [(1, "pdf", 0), (5, "text", 1)]
+    refused = spark.read.parquet(I.rejects_path(str(tmp_path / "catalog"))).orderBy("file_id").collect()
+    assert [(r.file_id, r.reason, r.batch) for r in refused] == [(3, "unsupported file type", 0), (6, "too large", 1)]
