@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.llm.scratch import stored
-from attesta.llm.tokens import encoder
+from attesta.llm.tokens import encoder, slices
 
 #: rows of counts per length and input part that are broadcast; more are shuffled
 OFFSET_ROWS = 500_000
@@ -31,10 +31,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
         part = TaskContext.get().partitionId()
         own = encoder(tokenizer, end_id)
         seen = np.zeros(size + 1, np.int64)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
+        for batch in slices(batches):
             rows: list[tuple] = []
-            for name, ids in zip(names, own.encode(batch.column(1).to_pylist()), strict=True):
+            for name, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:
@@ -42,10 +41,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
                     rows.append((name, piece, start, length, ids[4 * start:4 * (start + length)], part, int(seen[length])))
                     seen[length] += 1
                     start, piece = start + length, piece + 1
-                if len(rows) >= 4096:
-                    yield _rows(rows)
-                    rows = []
             yield _rows(rows)
+        own.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids binary, part int, nth long")

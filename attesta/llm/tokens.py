@@ -7,11 +7,19 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from string import ascii_letters
 
-#: entries kept per worker process and tokenizer, and the longest piece kept
-MEMO, LONG = 400_000, 64
-#: characters encoded together
-ROUND = 1 << 20
+import pyarrow as pa
+
+#: pieces remembered per worker process and tokenizer, in each of two generations, and the
+#: longest of them
+MEMO, LONG = 300_000, 64
+#: characters encoded together, and pieces joined into one string for the tokenizer
+ROUND, JOINED = 1 << 20, 256
+#: a character that no piece in a joined string has
+MARK = "\x01"
+#: ASCII letters, and a mark of punctuation that may follow
+WORD = re.compile(r"([A-Za-z]+)([.,;:!?]?)")
 #: a space before something that is white space neither to Unicode nor to Python
 CUT = re.compile(r" (?=[^\s\x1c-\x1f])")
 
@@ -22,8 +30,11 @@ class Encoder:
     A text is cut at every space that precedes a visible character. Both kinds of tokenizer
     used here split there in any case, before any merge is applied, so the ids of a text
     are those of its pieces in turn, each with its space and encoded by the tokenizer
-    itself. Pieces recur, so their ids are remembered, up to ``MEMO`` of them at a time.
-    Null and empty texts have no ids but the end id, if there is one.
+    itself. Pieces recur, so their ids are remembered: those used since the last change of
+    generation and those of the generation before. A new piece of ASCII letters is one word to
+    the tokenizer, so its model alone is asked; other new pieces are joined with a mark
+    between them, which saves most of the cost of a call. Null and empty texts have no ids but the
+    end id, if there is one.
     """
 
     def __init__(self, path: str, end_id: int | None = None):
@@ -33,11 +44,64 @@ class Encoder:
         # the strings of special tokens are ordinary text in a corpus
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end_id is None else array("I", [end_id]).tobytes()
-        self.known: dict[str, bytes] = {}  # by piece, without the space before it
+        self.mark = array("I", self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids)
+        self.young: dict[str, bytes] = {}  # by piece, without the space before it
+        self.old: dict[str, bytes] = {}
+        self.lower, self.lead = self._words_of_letters()
+        self.marks = dict(zip(".,;:!?", (x.tobytes() for x in self._ids(list(".,;:!?"))), strict=True))
+
+    def _words_of_letters(self) -> tuple[bool, str | None]:
+        """How a word of letters after a space reaches the tokenizer's model: whether in
+        lower case, and with what before it; None if not as one word."""
+        own = self.tokenizer
+        given = " aZ" if own.normalizer is None else own.normalizer.normalize_str(" aZ")
+        made = [t for t, _ in own.pre_tokenizer.pre_tokenize_str(given)] if own.pre_tokenizer else []
+        if len(made) != 1 or made[0][-2:] not in ("aZ", "az"):
+            return False, None
+        lower, lead = made[0].endswith("az"), made[0][:-2]
+        letters = [f"{a}{b}" for a in ascii_letters for b in ascii_letters] + list(ascii_letters)
+        whole = [x.ids for x in own.encode_batch_fast([f" {w}" for w in letters], add_special_tokens=False)]
+        same = all([t.id for t in own.model.tokenize(lead + (w.lower() if lower else w))] == ids
+                   for w, ids in zip(letters, whole, strict=True))
+        return lower, lead if same else None
+
+    def _word(self, word: str) -> bytes:
+        """The ids of letters after a space."""
+        ids = self.young.get(word)
+        if ids is None:
+            text = self.lead + (word.lower() if self.lower else word)
+            ids = self.young[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        return ids
+
+    def _ids(self, texts: list[str]) -> list[array]:
+        return [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _learn(self, pieces: list[str]) -> None:
+        if self.lead is not None:
+            rest = []
+            for p in pieces:
+                if found := WORD.fullmatch(p):
+                    mark = found[2]
+                    self.young[p] = self._word(found[1]) + (self.marks[mark] if mark else b"")
+                else:
+                    rest.append(p)
+            pieces = rest
+        alone = [p for p in pieces if MARK in p]
+        self.young.update((p, x.tobytes()) for p, x in zip(alone, self._ids([f" {p}" for p in alone]), strict=True))
+        plain = [p for p in pieces if MARK not in p] if alone else pieces
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        joined = self._ids([" " + f" {MARK} ".join(g) for g in groups])
+        width, last = len(self.mark), self.mark[-1]
+        for group, ids in zip(groups, joined, strict=True):
+            own, at, data = [], 0, ids.tobytes()
+            for _ in range(len(group) - 1):
+                end = ids.index(last, at)
+                while ids[max(at, end + 1 - width):end + 1] != self.mark:
+                    end = ids.index(last, end + 1)
+                own.append(data[4 * at:4 * (end + 1 - width)])
+                at = end + 1
+            own.append(data[4 * at:])
+            self.young.update(zip(group, own, strict=True))
 
     def _round(self, texts: list[str]) -> Iterator[bytes]:
         heads, rests = [], []
@@ -45,17 +109,22 @@ class Encoder:
             head, *rest = CUT.split(text)
             heads.append(head)
             rests.append(rest)
-        fresh = set(chain.from_iterable(rests)).difference(self.known)
-        if len(self.known) + len(fresh) > MEMO:
-            self.known.clear()
-            fresh = set(chain.from_iterable(rests))
-        order = list(fresh)
-        self.known.update(zip(order, self._ids([f" {p}" for p in order]), strict=True))
+        fresh = set(chain.from_iterable(rests)).difference(self.young)
+        again = fresh.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        fresh = list(fresh - again)
+        self._learn(fresh)
         for first, rest in zip(self._ids(heads), rests, strict=True):
-            yield b"".join([first, *map(self.known.__getitem__, rest), self.end])
-        for piece in order:
+            yield b"".join([first.tobytes(), *map(self.young.__getitem__, rest), self.end])
+        for piece in fresh:
             if len(piece) > LONG:
-                del self.known[piece]
+                del self.young[piece]
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, self.young
+
+    def forget(self) -> None:
+        """Keep the recent pieces only: the process may go on to other work."""
+        self.old = {}
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held, size = [], 0
@@ -72,7 +141,14 @@ _LOADED: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, end_id: int | None) -> Encoder:
-    """One encoder per process; tasks that reuse the process share what it remembers."""
+    """One encoder per process; tasks that reuse the process share its recent pieces."""
     if (path, end_id) not in _LOADED:
         _LOADED[path, end_id] = Encoder(path, end_id)
     return _LOADED[path, end_id]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller pieces, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
