@@ -112,11 +112,12 @@ def fit(labelled: DataFrame, max_docs: int = 1000, least_docs: int = 2, text_col
     at least half as large a share of its texts as in the language where that is largest.
     Rows without text or language are left out; None if nothing is left.
     """
-    rows = labelled.select(F.lower(F.col(text_col)).alias("text"), F.col(lang_col).alias("lang")).dropna()
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
-    picked = (rows.join(sizes, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-              .select("lang", "n", distinct_grams(F.col("text")).alias("grams")))
+    # a row per language
+    picked = (rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+              .select("lang", "n", distinct_grams(F.lower("text")).alias("grams")))
     picked = stored(picked, "language-samples")
     totals = picked.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")).collect()
     if not totals:
