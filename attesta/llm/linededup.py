@@ -116,14 +116,16 @@ def text_key(text: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(7), text)))
 
 
-def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text", spread_col: str = "doc_id") -> DataFrame:
+def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text", spread_col: str = "doc_id",
+                      copies_once: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the text column shortened, n_lines (before) and
     n_dropped.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys that are
     not empty and found in ``least`` documents or more (255 at most) lose all their lines;
     other lines stay, joined by line feeds. Null and empty texts have one empty line; null
-    stays null. Columns named n_lines or n_dropped are replaced; names beginning with two
+    stays null. With ``copies_once``, documents with the same set of keys count as one, so
+    that the lines of a text are not common because of its own copies. Columns named n_lines or n_dropped are replaced; names beginning with two
     underscores are reserved.
 
     Lines are 64-bit hashes from the first scan on, distinct per document. Counting them
@@ -139,11 +141,15 @@ def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text",
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumn("__key", text_key(F.col(text_col)))
     seen = stored(keyed.select("__key", distinct_lines(F.col(text_col)).alias("lines")), "lines")
-    counts = stored(seen.select(F.explode("lines").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")),
+    counted = seen.select("lines")
+    if copies_once:
+        own = (F.xxhash64("lines").alias("one"), F.xxhash64(F.lit(7), "lines").alias("two"))
+        counted = stored(counted.groupBy(*own).agg(F.first("lines").alias("lines")).select("lines"), "lines-once")
+    counts = stored(counted.select(F.explode("lines").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")),
                     "line-counts")
     shards = max(1, -(-counts.count() // SHARD))
     index = stored(build_index(counts, shards), "line-index")
-    total = seen.count()
+    total = counted.count()
     heads = counts.where(F.col("n") * HEADS > total).select(F.col("hash").alias("__hash"), F.col("n").alias("__n"))
     asked = (seen.select(F.col("__key").alias("key"), F.explode("lines").alias("hash"))
              .join(F.broadcast(heads), F.col("hash") == F.col("__hash"), "left"))

@@ -35,8 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that ten documents or more have in common."""
-    return recounted(drop_common_lines(docs, least=10).select(docs.columns))
+    """All documents, without lines that ten documents or more have in common. Documents with
+    the same lines count once: which of the copies stays is decided by the next stage."""
+    return recounted(drop_common_lines(docs, least=10, copies_once=True).select(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,24 @@ def test_every_stage_does_its_part(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(seen["decontamination"])
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
     assert P.run(spark, sf).count() == packed.count()
+
+
+def test_a_text_with_many_copies_is_left_once(spark, tmp_path):
+    given, sf = tables(spark, tmp_path), str(tmp_path)
+    rng = random.Random(9)
+    clean = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(20)) for _ in range(4))
+    variants = [clean, clean.upper().replace("\n", " \n")]
+    copies = [(1000 + i, variants[i >= 50], "en", "s", len(clean)) for i in range(70)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = stored(docs.unionByName(spark.createDataFrame(copies, docs.schema)), "with-copies")
+    seen = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), name)
+        seen[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert all(seen["line_dedup"][i] == text for i, text, *_ in copies)
+    assert seen["line_dedup"][205] == given[205].split("\n")[0]
+    assert [i for i in seen["near_duplicates"] if i and 1000 <= i < 1050] == [1000]
+    assert seen["decontamination"][1000] == clean
+    packed = P.STAGES[-1][1](spark, docs, sf)
+    ids = [r.doc_id for r in packed.collect()]
+    assert 1000 in ids and not set(range(1001, 1050)) & set(ids)
