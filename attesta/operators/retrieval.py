@@ -168,29 +168,36 @@ def topic_scope(asked_documents: DataFrame, asked_topics: DataFrame, doc_topics:
 
 def escalate(hits: DataFrame, questions: DataFrame, scope: DataFrame, chunks: DataFrame,
              k: int = RETRIEVE_TOP_K, *, digits: int | None = None,
-             columns: tuple[str, ...] = ("document_id", "text")) -> DataFrame:
+             columns: tuple[str, ...] = ("document_id", "text"), scorer: Scorer | None = None) -> DataFrame:
     """Questions whose non-empty scope found nothing search the whole corpus.
 
     Their hits are flagged and capped lower per document. A question with an empty
-    scope never widens.
+    scope never widens. With ``scorer`` both searches' hits are reranked before the cap,
+    cut to ``RERANK_TOP_K`` and capped in that order (``rerank_rank``); ``columns`` then
+    needs the text.
     """
     empty = (questions.join(scope.select("query_id").distinct(), "query_id", "left_semi")
              .join(hits.select("query_id").distinct(), "query_id", "left_anti"))
     wide = hybrid_search(empty, chunks, k, digits=digits, columns=columns)
-    kept = dedupe_cap(hits, MAX_PER_DOCUMENT).withColumn("out_of_scope", F.lit(False))
-    return kept.unionByName(dedupe_cap(wide, MAX_PER_DOCUMENT_WIDENED)
+    order = "hit_rank"
+    if scorer is not None:
+        hits, wide = cut(rerank(hits, questions, scorer)), cut(rerank(wide, empty, scorer))
+        order = "rerank_rank"
+    kept = dedupe_cap(hits, MAX_PER_DOCUMENT, order=order).withColumn("out_of_scope", F.lit(False))
+    return kept.unionByName(dedupe_cap(wide, MAX_PER_DOCUMENT_WIDENED, order=order)
                             .withColumn("out_of_scope", F.lit(True)))
 
 
 def retry_rounds(questions: DataFrame, rewrites: DataFrame, scope: DataFrame, chunks: DataFrame,
                  k: int = RETRIEVE_TOP_K, max_rounds: int = MAX_ROUNDS, *,
-                 digits: int | None = None) -> DataFrame:
+                 digits: int | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Search, judge, rewrite, search again: all questions advance together.
 
     ``questions``: query_id, text, embedding, tokens, weights, unscoped.
     ``rewrites``: (query_id, round, sufficient, text, embedding, tokens, weights), the
     judgement of that round and the query proposed for the next. Keeps the last round
-    that found something and flags hits by actual scope membership.
+    that found something and flags hits by actual scope membership. With ``scorer`` every
+    round reranks its hits with the question as then worded, see ``escalate``.
     """
     vector = ["text", "embedding", "tokens", "weights"]
     listed = scope.select("query_id").distinct()
@@ -198,7 +205,7 @@ def retry_rounds(questions: DataFrame, rewrites: DataFrame, scope: DataFrame, ch
     found: DataFrame | None = None
     for number in range(1, max_rounds + 1):
         hits = hybrid_search(active, chunks, k, scope=scope, digits=digits)
-        hits = cut(escalate(hits, active.filter("NOT unscoped"), scope, chunks, k, digits=digits))
+        hits = cut(escalate(hits, active, scope, chunks, k, digits=digits, scorer=scorer))
         tagged = hits.withColumn("round", F.lit(number).cast("bigint"))
         found = tagged if found is None else found.unionByName(tagged)
         if number == max_rounds:

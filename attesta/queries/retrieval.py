@@ -343,7 +343,8 @@ def _(spark, sf):
 
 @query("rt12_retry_rounds")
 def _(spark, sf):
-    """Judgements: a third sufficient; else the next question's text, itself, or blank."""
+    """Judgements: a third sufficient; else the next question's text, itself, or blank.
+    Every round reranks its hits before the cap."""
     q = asked(spark, sf)
     nxt = asked(spark, sf, False).withColumn("query_id", F.col("query_id") - 1)
     rounds = F.explode(F.array(F.lit(1), F.lit(2)))
@@ -351,8 +352,10 @@ def _(spark, sf):
     moved = nxt.select("query_id", *vector, rounds.alias("round")).filter("(query_id + round) % 3 = 1")
     same = q.select("query_id", *vector, rounds.alias("round")).filter("(query_id + round) % 3 = 2")
     rewrites = moved.unionByName(same).withColumn("sufficient", F.lit(False))
-    out = R.retry_rounds(q, rewrites, _dead_scope(spark, sf), corpus(spark, sf), 10, digits=DIGITS)
-    return out.select("query_id", "round", "chunk_id", "document_id", "out_of_scope")
+    out = R.retry_rounds(q, rewrites, _dead_scope(spark, sf), corpus(spark, sf), 10, digits=DIGITS,
+                         scorer=R.overlap_scorer)
+    return out.select("query_id", "round", "chunk_id", "document_id", "out_of_scope",
+                      F.col("rerank_rank").cast("bigint").alias("rerank_rank"))
 
 
 _FINDINGS_SQL = """

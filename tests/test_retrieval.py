@@ -191,3 +191,42 @@ def test_retry_stops_when_satisfied_and_widens_when_stuck(spark):
     assert {r for r, _ in seen[1]} == {2} and (2, True) in seen[1]  # same words again: whole corpus
     assert seen[2] == {(2, False)}                       # new words, same documents
     assert seen[3] == {(1, True)}                        # nothing in scope: widened at once
+
+
+def reranked_and_capped(hits, cap):
+    """rerank_hits and dedupe_adjacent of the reference, for one question."""
+    out, seen = [], {}
+    for r in sorted(hits, key=lambda r: (-float(r.text[1:]), r.hit_rank))[:10]:
+        seen[r.document_id] = seen.get(r.document_id, 0) + 1
+        if seen[r.document_id] <= cap:
+            out.append(r.chunk_id)
+    return out
+
+
+def test_rounds_rerank_before_the_cap(spark):
+    def by_number(question, passages):  # far from the fused order
+        return [float(p[1:]) for p in passages]
+
+    _, df = corpus(spark)
+    df = df.withColumn("document_id", F.col("document_id") % 3)
+    _, q = questions(spark, 4)
+    q = q.withColumn("unscoped", F.col("query_id") == 0)
+    scope = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 99)], "query_id long, document_id long")
+    inside, wide = R.hybrid_search(q, df, 40, scope=scope).cache(), {}
+    for r in R.hybrid_search(q, df, 40).collect():
+        wide.setdefault(r.query_id, []).append(r)
+    own = {i: [r for r in inside.collect() if r.query_id == i] for i in range(4)}
+    want = {i: reranked_and_capped(own[i], 4) for i in range(3)} | {3: reranked_and_capped(wide[3], 2)}
+
+    def ids(out, i):
+        return [r.chunk_id for r in out.filter(F.col("query_id") == i).orderBy("rerank_rank").collect()]
+
+    out = R.escalate(inside, q, scope, df, scorer=by_number)
+    assert {i: ids(out, i) for i in range(4)} == want and all(want.values())
+    fused = R.escalate(inside, q, scope, df)
+    assert any({r.chunk_id for r in fused.filter(F.col("query_id") == i).collect()} != set(want[i]) for i in range(4))
+    same = q.filter("query_id = 2").select("query_id", F.lit(1).alias("round"), F.lit(False).alias("sufficient"),
+                                           "text", "embedding", "tokens", "weights")
+    out = R.retry_rounds(q, same, scope, df, scorer=by_number)
+    want[2] = reranked_and_capped(wide[2], 4)  # stuck: the second round sees the whole corpus
+    assert {i: ids(out, i) for i in range(4)} == want
