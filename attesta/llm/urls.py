@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.exact import UPPER
+from attesta.llm.hot import join_groups
 from attesta.llm.scratch import stored
 
+#: statistics of up to so many suffixes are broadcast
+SMALL_ROWS = 200_000
+
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 FEATURES = ["length", "host_length", "path_length", "labels", "depth", "digit_share", "letter_share", "dashes",
             "parameters", "entropy", "fragment", "suffix_share", "suffix_block", "host_block"]
@@ -68,43 +72,59 @@ class UrlModel:
     def features(self, urls: DataFrame) -> DataFrame:
         """``urls`` (with __url, __host, __path) and the feature columns."""
         own = lexical(F.col("__url"), F.col("__host"), F.col("__path"))
-        keyed = urls.withColumns({**own, "__s1": _suffix(F.col("__host"), 1), "__s2": _suffix(F.col("__host"), 2)})
-        met = keyed.join(F.broadcast(self.suffixes), "__s1", "left").join(F.broadcast(self.hosts), "__s2", "left")
+        met = urls.withColumns({**own, "__s1": _suffix(F.col("__host"), 1), "__s2": _suffix(F.col("__host"), 2)})
+        for key, facts in (("__s1", self.suffixes), ("__s2", self.hosts)):
+            met = _met(met, key, facts).drop("__pages")
         return met.fillna({"suffix_share": 0.0, "suffix_block": self.prior, "host_block": self.prior})
 
 
-def _statistics(rows: DataFrame, key: str, prior: float, total: int, top: int) -> DataFrame:
-    """Share and smoothed rate of block per suffix, of the ``top`` most frequent ones."""
-    return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
-            .orderBy(F.col("n").desc(), key).limit(top)
-            .select(key, (F.col("n") / total).alias("share"), ((F.col("bad") + 5 * prior) / (F.col("n") + 5)).alias("rate")))
+def _met(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
+    """Left join with a stored table of statistics: broadcast when it proves small, else
+    shuffled, with frequent keys spread."""
+    if facts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(facts), key, "left")
+    return join_groups(rows, key, facts, "__pages", F.floor(F.rand(7) * (1 << 20)))
+
+
+def _statistics(rows: DataFrame, total: int, prior: float, share: str | None, rate: str) -> DataFrame:
+    """Pages, share of all pages, and smoothed rate of block among the labelled, per suffix."""
+    own = [] if share is None else [(F.col("pages") / total).alias(share)]
+    return rows.select(rows.columns[0], F.col("pages").alias("__pages"), *own,
+                       ((F.col("bad") + 5 * prior) / (F.col("known") + 5)).alias(rate))
 
 
-def fit(labelled: DataFrame, max_urls: int = 20_000, max_suffixes: int = 2000, trees: int = 10, depth: int = 4,
+def fit(labelled: DataFrame, max_urls: int = 20_000, trees: int = 10, depth: int = 4,
         url_col: str = "url", label_col: str = "label") -> UrlModel:
-    """Boosted trees from at most about ``max_urls`` labelled URLs (label 1: block), picked
-    by a hash of the URL. Suffix statistics are those of the most frequent ``max_suffixes``
-    last labels, and last two labels, of the sample's hosts. Rows without label are left
-    out; with labels of one kind, or none, the model is that kind's probability (allow)."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(
+    """Boosted trees from at most about ``max_urls`` distinct labelled URLs (label 1: block,
+    by the majority of a URL's rows), picked by a hash of the URL. Suffix statistics are
+    those of all rows: shares of the last label of the hosts among all of them, and rates of
+    block among the labelled ones per last label and last two labels, however rare. Trees
+    learn nothing from rows without label; with labels of one kind, or none, the model is
+    that kind's probability (allow)."""
+    rows = labelled.select(
         F.col(url_col).alias("__url"), host(F.col(url_col)).alias("__host"), path(F.col(url_col)).alias("__path"),
         F.col(label_col).cast("double").alias("label"))
-    n = rows.count()
-    share = 1 << 20 if n <= max_urls else (1 << 20) * max_urls // n
-    rows = stored(rows.where(F.pmod(F.xxhash64("__url"), F.lit(1 << 20)) < share)
-                  .withColumns({"__s1": _suffix(F.col("__host"), 1), "__s2": _suffix(F.col("__host"), 2)}), "url-sample")
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).first()
-    total, bad = seen["n"], seen["bad"] or 0.0
-    prior = bad / total if total else 0.0
-    names = ["share", "rate"]
-    suffixes = stored(_statistics(rows, "__s1", prior, max(total, 1), max_suffixes), "suffixes").select(
-        "__s1", *(F.col(a).alias(b) for a, b in zip(names, ["suffix_share", "suffix_block"], strict=True)))
-    hosts = stored(_statistics(rows, "__s2", prior, max(total, 1), max_suffixes), "hosts").select(
-        "__s2", F.col("rate").alias("host_block"))
+    per_host = stored(rows.groupBy(_suffix(F.col("__host"), 2).alias("__s2")).agg(
+        F.count(F.lit(1)).alias("pages"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")),
+        "host-counts")
+    names = ("pages", "known", "bad")
+    seen = per_host.agg(*(F.sum(c).alias(c) for c in names)).first()
+    total, known, bad = seen["pages"] or 0, seen["known"] or 0, seen["bad"] or 0.0
+    prior = bad / known if known else 0.0
+    per_suffix = per_host.groupBy(_suffix(F.col("__s2"), 1).alias("__s1")).agg(*(F.sum(c).alias(c) for c in names))
+    suffixes = stored(_statistics(per_suffix, total, prior, "suffix_share", "suffix_block"), "suffixes")
+    hosts = stored(_statistics(per_host, total, prior, None, "host_block"), "hosts")
     model = UrlModel(None, suffixes, hosts, prior)
-    if 0 < bad < total:
+    if not 0 < bad < known:
+        return model
+    ruled = rows.where(F.col("label").isNotNull())
+    n = ruled.agg(F.approx_count_distinct("__url", 0.02).alias("n")).first()["n"]
+    part = 1 << 20 if n <= max_urls else (1 << 20) * max_urls // n
+    sample = stored(ruled.where(F.pmod(F.xxhash64("__url"), F.lit(1 << 20)) < part).groupBy("__url", "__host", "__path")
+                    .agg((F.avg("label") >= 0.5).cast("double").alias("label")), "url-sample")
+    if len(sample.select("label").distinct().collect()) == 2:
         boosted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7)
-        known = stored(model.features(rows.drop("__s1", "__s2")).select("label", *FEATURES).repartition(4), "url-features")
+        known = stored(model.features(sample).select("label", *FEATURES).repartition(4), "url-features")
         model.trees = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), boosted]).fit(known)
     return model
 

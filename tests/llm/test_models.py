@@ -129,3 +129,40 @@ def test_urls_without_both_labels(spark):
     pages = spark.createDataFrame([(1, "a://b.c/d", None), (2, None, None)], "page_id long, url string, label int")
     assert {r.verdict for r in urls.judge(pages, urls.fit(pages), []).collect()} == {"allow"}
     assert urls.judge(pages.limit(0), urls.fit(pages.limit(0)), URL_RULES).count() == 0
+
+
+def test_url_statistics_are_those_of_all_pages(spark, monkeypatch):
+    rows = [(f"http://h{i}.zz{i % 50}/{i}", None) for i in range(2400)]  # each host and most suffixes rare, no labels
+    rows += [(f"http://www.bad{i}.com/{j}", 1) for i in range(30) for j in range(2)]
+    rows += [(f"http://www.good{i}.com/{j}", 0) for i in range(30) for j in range(2)] + [("http://hot.com/", 0)] * 480
+    model = urls.fit(spark.createDataFrame(rows, "url string, label int"), max_urls=40)
+    total, prior = len(rows), 60 / 600
+    asked = [u for u, _ in rows[:100] + rows[-700:]]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(asked)], "id long, __url string").withColumns(
+        {"__host": urls.host(F.col("__url")), "__path": urls.path(F.col("__url"))})
+
+    def facts():
+        got = {r.id: r for r in model.features(pages).collect()}
+        assert len(got) == len(asked)
+        return [tuple(round(got[i][c], 9) for c in ("suffix_share", "suffix_block", "host_block")) for i in range(len(asked))]
+
+    def expected(u):
+        if ".com/" not in u:
+            return 48 / total, prior, prior
+        name = u.split("/")[2].split(".")[-2]
+        own = (2 + 5 * prior) / 7 if "bad" in name else 5 * prior / 7 if "good" in name else 5 * prior / 485
+        return 600 / total, (60 + 5 * prior) / 605, own
+
+    want = [tuple(round(x, 9) for x in expected(u)) if u in {r[0] for r in rows[2400:]} or ".zz" in u else None for u in asked]
+    assert facts() == want
+    monkeypatch.setattr(urls, "SMALL_ROWS", 0)
+    assert facts() == want
+
+
+def test_url_sample_has_copies_once(spark, monkeypatch):
+    kept = {}
+    put = urls.stored
+    monkeypatch.setattr(urls, "stored", lambda df, name: kept.setdefault(name, put(df, name)))
+    rows = [("http://hot.com/a", 1)] * 300 + [(f"http://a{i}.com/", i % 2) for i in range(20)]
+    urls.fit(spark.createDataFrame(rows, "url string, label int"), trees=1)
+    assert kept["url-sample"].count() == 21
