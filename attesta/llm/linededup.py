@@ -131,13 +131,14 @@ def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text",
     Lines are 64-bit hashes from the first scan on, distinct per document. Counting them
     combines before the shuffle. The distinct ones go into shards of a minimal perfect hash
     with fingerprints and counts; the documents' hashes stream past their shard. Lines in
-    more than a thousandth of all documents are looked up in the scan instead, so that no
-    shard meets a hot line: there are at most a thousand times as many of these as a
+    more than a thousandth of all documents ask the index once each and their answers are
+    broadcast to the scan, so that no shard meets a hot line: there are at most a thousand times as many of these as a
     document has lines on average. Copies of a text ask once. Only the answers go back to
     the documents, in one shuffle of the texts, spread by ``spread_col`` where a text is
     that of many documents.
     """
-    spark = docs.sparkSession
+    if not 1 <= least <= 255:
+        raise ValueError("least must be from 1 to 255: counts in the index stop there")
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumn("__key", text_key(F.col(text_col)))
     seen = stored(keyed.select("__key", distinct_lines(F.col(text_col)).alias("lines")), "lines")
@@ -150,11 +151,15 @@ def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text",
     shards = max(1, -(-counts.count() // SHARD))
     index = stored(build_index(counts, shards), "line-index")
     total = counted.count()
-    heads = counts.where(F.col("n") * HEADS > total).select(F.col("hash").alias("__hash"), F.col("n").alias("__n"))
+    place = F.pmod("hash", F.lit(shards)).alias("shard")
+    heads = counts.where(F.col("n") * HEADS > total).select("hash")
+    common = probe(index, heads.select(place, "hash", F.lit(None).cast("string").alias("key")), least)
+    heads = stored(heads.join(common.select("hash", F.lit(True).alias("__bad")), "hash", "left")
+                   .withColumnRenamed("hash", "__hash"), "line-heads")
     asked = (seen.select(F.col("__key").alias("key"), F.explode("lines").alias("hash"))
              .join(F.broadcast(heads), F.col("hash") == F.col("__hash"), "left"))
-    known = asked.where(F.col("__n") >= least).select("hash", "key")
-    probes = asked.where("__n IS NULL").select("hash", "key", F.pmod("hash", F.lit(shards)).alias("shard")).distinct()
+    known = asked.where("__bad").select("hash", "key")
+    probes = asked.where("__hash IS NULL").select("hash", "key", place).distinct()
     bad = (known.unionByName(probe(index, probes, least)).groupBy("key")
            .agg(F.collect_set("hash").alias("__drop")))
     weights = seen.groupBy("__key").agg(F.count(F.lit(1)).alias("__docs"))

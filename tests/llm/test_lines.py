@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.llm import linededup
 from attesta.llm.linededup import drop_common_lines
 from attesta.llm.mphf import Index
 
@@ -58,3 +59,26 @@ def test_slots_are_minimal_and_perfect(n):
     assert (index.count(keys) == np.minimum(counts, 255)).all()
     others = rng.integers(1 << 63, (1 << 64) - 1, 2000, dtype=np.uint64)
     assert (index.count(others) > 0).mean() < 0.01
+
+
+@pytest.mark.parametrize("heads", [1, 1000])
+def test_the_index_decides(docs_of, monkeypatch, heads):
+    asked, held = [], linededup.probe
+
+    def spied(*args):
+        out = held(*args)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "HEADS", heads)
+    monkeypatch.setattr(linededup, "probe", spied)
+    rows = [(i, f"own {i}\nshared\nby {i % 20}") for i in range(300)]
+    compare(docs_of, rows, 16)
+    assert asked == ([0, 300] if heads == 1 else [1, 0])
+    compare(docs_of, rows, 255)
+
+
+@pytest.mark.parametrize("least", [0, 256])
+def test_counts_beyond_the_index_are_refused(docs_of, least):
+    with pytest.raises(ValueError, match="255"):
+        drop_common_lines(docs_of([(1, "a")]), least)
