@@ -1,15 +1,22 @@
-"""op12 and op13: importance resampling and the conversation trie."""
+"""op11, op12 and op13: fingerprints, importance resampling and the conversation trie."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.llm.merkle import compared_with_next
 from attesta.llm.registry import query
 from attesta.llm.resample import resample
 from attesta.llm.scratch import table
 from attesta.llm.sql import CRC_STEPS, LOWER, crc_of
 from attesta.llm.trie import grafted, numbered_turns, prefix_trie
 
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
 OP12_SQL = rf"""
 WITH {CRC_STEPS}, doc AS (
   SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
