@@ -6,13 +6,15 @@ Keep a node exactly when no earlier kept node conflicts with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.search import BLOCK_ROWS, to_matrix
+from attesta.operators.search import CELLS, to_matrix
+from attesta.plans import grid
 from attesta.plans.lineage import cut
 
 
@@ -48,62 +50,103 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select("id", "kept", F.when(~F.col("kept"), F.col("keeper")).alias("keeper")))
 
 
-def greedy_vector_leaders(nodes: DataFrame, threshold: float, batch: int = BLOCK_ROWS) -> DataFrame:
+class _Claims:
+    """Leaders or undecided nodes in order: which of them comes first among those that are
+    earlier than a row and close to it."""
+
+    def __init__(self, group: pa.Table, threshold: float) -> None:
+        group = group.sort_by([("ord", "ascending"), ("id", "ascending")])
+        self.ids, self.ords = (np.asarray(group[c]) for c in ("id", "ord"))
+        self.vectors, self.usable = to_matrix(group["embedding"])
+        self.threshold = threshold
+
+    def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // len(self.ids))
+        for at in range(0, rows.num_rows, step):
+            part = rows.slice(at, step)
+            x, usable = to_matrix(part.column("embedding"), self.vectors.shape[1])
+            ids, ords = (np.asarray(part.column(c))[:, None] for c in ("id", "ord"))
+            sims = x @ self.vectors.T
+            close = (sims >= self.threshold) & usable[:, None] & self.usable
+            close &= (self.ords < ords) | ((self.ords == ords) & (self.ids < ids))
+            hit = np.flatnonzero(close.any(axis=1))
+            first = close[hit].argmax(axis=1)
+            yield pa.RecordBatch.from_pydict({
+                "id": ids[hit, 0], "keeper_ord": self.ords[first], "keeper": self.ids[first], "similarity": sims[hit, first]})
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def _claims(rows: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
+    """(id, keeper, similarity): rows with an earlier close leader, and the earliest such."""
+    found = grid.meet(rows, leaders, partial(_Claims, threshold=threshold),
+                      "id bigint, keeper_ord double, keeper bigint, similarity double",
+                      row_key="id", other_key="id", groups=grid.groups_of(leaders.count()))
+    best = found.groupBy("id").agg(F.min(F.struct("keeper_ord", "keeper", "similarity")).alias("__b"))
+    return best.select("id", "__b.keeper", "__b.similarity")
+
+
+def _settled(first: DataFrame, threshold: float) -> DataFrame:
+    """The leaders among a bounded number of nodes, one after the other in one task."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        vectors, usable = to_matrix(whole["embedding"])
+        sims = vectors @ vectors.T
+        leaders: list[int] = []
+        for i in range(len(vectors)):
+            if not (usable[i] and leaders and (sims[i, leaders] >= threshold).any()):
+                leaders.append(i)
+        yield from whole.take(leaders).to_batches()
+
+    return first.coalesce(1).sortWithinPartitions("ord", "id").mapInArrow(walk, first.schema)
+
+
+def greedy_vector_leaders(nodes: DataFrame, threshold: float, batch: int = grid.GROUP_ROWS) -> DataFrame:
     """(id, kept, keeper, similarity) where conflict means cosine >= ``threshold``.
 
-    ``nodes``: id, ord (a total order, numeric), embedding. No pairs are ever emitted.
-    Each round takes the first ``batch`` undecided nodes, settles them among
-    themselves, sends the new leaders to all tasks and drops what they cover: rounds
-    follow the number of leaders, not of nodes, and each is a scan without a shuffle.
+    ``nodes``: id, ord (a total order, numeric), embedding; vectors that are zero or
+    shorter than the longest conflict with nothing. The keeper is the
+    earliest kept neighbour.
+
+    Equal vectors are folded first, so a group of copies is one node. In each round every
+    node without an earlier undecided neighbour is kept, all at once, and what the kept ones
+    cover is dropped. Nodes wait for one another only along chains of close vectors; the
+    first ``batch`` undecided nodes are settled in one task besides, so even one long chain
+    takes no more than a round per ``batch``. Comparisons run on the grid: neither vectors
+    nor pairs reach the driver, and no pairs are stored.
     """
-    spark = nodes.sparkSession
-    schema = "id bigint, kept boolean, keeper bigint, similarity double"
-    left = cut(nodes.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("double").alias("ord"),
-                            "embedding"))
-    decided = None
+    base = cut(nodes.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("double").alias("ord"), "embedding"))
+    longest = base.agg(F.max(F.size("embedding"))).first()[0] or 0
+    usable = (F.size("embedding") == longest) & F.exists("embedding", lambda x: x != 0)
+    groups = (base.where(usable).groupBy("embedding").agg(F.min(F.struct("ord", "id")).alias("__f"))
+              .select("__f.id", "__f.ord", "embedding"))
+    classes = cut(groups)
+    left, found = classes, []
     while True:
-        head = left.orderBy("ord", "id").limit(batch).toArrow()
-        if head.num_rows == 0:
+        n = left.count()
+        if n <= batch:
+            if n:
+                found.append(cut(_settled(left, threshold)))
             break
-        ids = np.asarray(head["id"], dtype=np.int64)
-        vectors, usable = to_matrix(head["embedding"])
-        sims = vectors @ vectors.T
-        keeper = np.full(len(ids), -1)
-        leaders: list[int] = []
-        for i in range(len(ids)):  # at most ``batch`` rows
-            found = [j for j in np.flatnonzero(sims[i, leaders] >= threshold)] if leaders and usable[i] else []
-            if found:
-                keeper[i] = leaders[found[0]]
-            else:
-                leaders.append(i)
-        settled = spark.createDataFrame(pa.table({
-            "id": ids, "kept": keeper < 0,
-            "keeper": pa.array([None if k < 0 else int(ids[k]) for k in keeper], pa.int64()),
-            "similarity": pa.array([None if k < 0 else float(sims[i, k]) for i, k in enumerate(keeper)],
-                                   pa.float64())}))
-        sent = spark.sparkContext.broadcast((ids[leaders], vectors[leaders], ids))
-
-        def claim(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            lead_ids, lead, done = sent.value
-            for b in batches:
-                mine = np.asarray(b.column("id"), dtype=np.int64)
-                x, ok = to_matrix(b.column("embedding"), lead.shape[1])
-                s = x @ lead.T
-                close = (s >= threshold) & ok[:, None]
-                first = close.argmax(axis=1)
-                taken = close.any(axis=1)
-                yield pa.RecordBatch.from_pydict({
-                    "id": mine, "ord": b.column("ord"), "embedding": b.column("embedding"),
-                    "settled": np.isin(mine, done),
-                    "keeper": pa.array([int(lead_ids[f]) if t else None for f, t in zip(first, taken)], pa.int64()),
-                    "similarity": pa.array([float(s[i, f]) if t else None
-                                            for i, (f, t) in enumerate(zip(first, taken))], pa.float64())})
-
-        scanned = cut(left.mapInArrow(claim, "id bigint, ord double, embedding array<float>, settled boolean,"
-                                             " keeper bigint, similarity double").filter("NOT settled"))
-        dropped = scanned.filter("keeper IS NOT NULL").select(
-            "id", F.lit(False).alias("kept"), "keeper", "similarity")
-        part = settled.select("id", "kept", "keeper", "similarity").unionByName(dropped)
-        decided = part if decided is None else decided.unionByName(part)
-        left = scanned.filter("keeper IS NULL").select("id", "ord", "embedding")
-    return decided if decided is not None else spark.createDataFrame([], schema)
+        first = cut(left.orderBy("ord", "id").limit(batch))
+        waiting = _claims(left, left, threshold).select("id")
+        free = left.join(first.select("id").unionByName(waiting), "id", "left_anti")
+        leaders = cut(_settled(first, threshold).unionByName(free))
+        found.append(leaders)
+        rest = cut(left.join(leaders.select("id"), "id", "left_anti"))
+        left = cut(rest.join(_claims(rest, leaders, threshold).select("id"), "id", "left_anti"))
+    spark = nodes.sparkSession
+    leaders = cut(reduce(DataFrame.unionByName, found)) if found else spark.createDataFrame([], classes.schema)
+    covered = _claims(classes.join(leaders.select("id"), "id", "left_anti"), leaders, threshold)
+    fate = (leaders.select("id", F.lit(None).cast("bigint").alias("keeper"), F.lit(None).cast("double").alias("similarity"))
+            .unionByName(covered))
+    own = classes.select("embedding", F.col("id").alias("__first")).join(fate.withColumnRenamed("id", "__first"), "__first")
+    folded = base.where(usable).select("id", "embedding").join(own, "embedding")
+    copy = F.col("id") != F.col("__first")
+    keeper = F.coalesce("keeper", F.when(copy, F.col("__first")))
+    out = folded.select("id", keeper.isNull().alias("kept"), keeper.alias("keeper"),
+                        F.coalesce("similarity", F.when(copy, F.lit(1.0))).alias("similarity"))
+    alone = base.where(~F.coalesce(usable, F.lit(False))).select(
+        "id", F.lit(True).alias("kept"), F.lit(None).cast("bigint").alias("keeper"), F.lit(None).cast("double").alias("similarity"))
+    return out.unionByName(alone)

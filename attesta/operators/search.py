@@ -1,40 +1,31 @@
-"""Exact top-k by vector: one pass over the large side, no pairs shuffled.
+"""Exact top-k by vector: one job, no pairs shuffled.
 
-The small side (questions, leaders) is sent to the tasks in blocks of at most
-``BLOCK_ROWS`` vectors; a larger small side means more passes, never a larger
-broadcast. A task scores its batches with matrix products and keeps only the best k
-per question, so what it shuffles does not depend on how many rows it read.
+Up to ``BLOCK_ROWS`` questions are one bounded block that is sent to the tasks, and the
+rows are scanned where they lie. More questions, and vectors on both sides, meet on a grid
+(``plans.grid``) and never pass the driver. A task scores its batches with matrix products
+and keeps only the best k per question, so what it returns does not depend on how many rows
+it read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from attesta.plans import grid
+from attesta.plans.lineage import cut
 from attesta.plans.topk import top_k
 
 BLOCK_ROWS = 1024
-_CELLS = 1 << 22  # scores held at once per task
-
-
-def blocks_of(df: DataFrame, key: str, limit: int = BLOCK_ROWS) -> Iterator[pa.Table]:
-    """``df`` in Arrow tables of about ``limit`` rows, cut by hash of ``key``."""
-    first = df.limit(limit + 1).toArrow()
-    if first.num_rows <= limit:
-        if first.num_rows:
-            yield first
-        return
-    parts = -(-df.count() // (limit // 2))
-    for part in range(parts):
-        block = df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part).toArrow()
-        for at in range(0, block.num_rows, limit):
-            yield block.slice(at, limit)
+CELLS = 1 << 22  # scores held at once per task
 
 
 def to_matrix(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +78,7 @@ class _SparseBlock:
         edges = np.concatenate([[0], np.cumsum(fan)])
         lo = 0
         while lo < len(token):
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _CELLS, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + CELLS, side="right")) - 1)
             n = fan[lo:hi]
             at = np.arange(edges[hi] - edges[lo]) - np.repeat(edges[lo:hi] - edges[lo], n)
             at += np.repeat(self.start[token[lo:hi]], n)
@@ -141,8 +132,6 @@ def score_topk(
     scope: DataFrame | None = None,
     scope_key: str = "document_id",
     digits: int | None = None,
-    probe_bits: int = 0,
-    probes: int = 8,
 ) -> DataFrame:
     """(question, branch, row, score, rnk): the best ``k`` rows per question.
 
@@ -150,8 +139,6 @@ def score_topk(
     arrays for the sparse branch; ``questions`` likewise. ``scope`` lists the
     (question, scope_key) pairs a question may see; questions with a true
     ``unscoped`` column see everything. Rows with a null vector are not ranked.
-    With ``probe_bits`` rows are split into 2**bits cells by random hyperplanes and a
-    question sees only its ``probes`` nearest cells (approximate).
     """
     wanted = [question_id] + (["embedding"] if dense else []) + (["tokens", "weights"] if sparse else [])
     if scope is not None:
@@ -159,175 +146,189 @@ def score_topk(
     if sparse:  # one null rule for both arrays
         paired = F.when(F.col("tokens").isNotNull(), F.col("weights"))
         rows, questions = rows.withColumn("weights", paired), questions.withColumn("weights", paired)
-    result: DataFrame | None = None
-    for block in blocks_of(questions.select(*wanted), question_id):
-        part = _score_block(rows, block, k, row_id, question_id, dense, sparse, scope,
-                            scope_key, digits, probe_bits, probes)
-        result = part if result is None else result.unionByName(part)
+    asked = questions.select(*wanted)
+    kernel = partial(_Scores, k=k, names=(question_id, row_id), digits=digits)
+    source = rows.select(row_id, *(["embedding"] if dense else []), *(["tokens", "weights"] if sparse else []),
+                         *([scope_key] if scope is not None else []))
     schema = f"{question_id} bigint, branch string, {row_id} bigint, score double"
-    if result is None:
-        result = rows.sparkSession.createDataFrame([], schema)
+    few = asked.limit(BLOCK_ROWS + 1).toArrow()
+    if few.num_rows <= BLOCK_ROWS:
+        result = _past_one_block(source, few, kernel, schema, question_id, scope, scope_key)
+    else:
+        result = _past_groups(source, asked, kernel, schema, row_id, question_id, scope, scope_key)
     return top_k(result, [question_id, "branch"], [F.desc("score"), F.asc(row_id)], k,
                  rank="rnk", salt_on=[row_id])
 
 
-def _score_block(rows, block, k, row_id, question_id, dense, sparse, scope, scope_key, digits,
-                 probe_bits, probes) -> DataFrame:
-    spark = rows.sparkSession
-    qids = np.asarray(block[question_id], dtype=np.int64)
-    n = len(qids)
-    payload: dict = {"n": n, "qids": qids}
-    if dense:
-        payload["q"], payload["q_ok"] = to_matrix(block["embedding"])
-        if probe_bits:
-            planes = np.random.default_rng(7).standard_normal((payload["q"].shape[1], probe_bits))
-            side = payload["q"] @ planes
-            codes = np.arange(1 << probe_bits)
-            bits = ((codes[:, None] >> np.arange(probe_bits)) & 1).astype(bool)
-            # cost of a cell: how far the question lies on the wrong side of its planes
-            cost = (np.abs(side)[:, None, :] * (bits[None] != (side > 0)[:, None, :])).sum(axis=2)
-            nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-            seen = np.zeros((1 << probe_bits, n), bool)
-            seen[nearest.ravel(), np.repeat(np.arange(n), nearest.shape[1])] = True
-            payload["planes"], payload["seen"] = planes, seen
-    if sparse:
-        payload["s"] = _SparseBlock.build(block["tokens"].combine_chunks(), block["weights"].combine_chunks())
-        payload["s_ok"] = np.asarray(pc.is_valid(block["tokens"]))
-    cols = [row_id] + (["embedding"] if dense else []) + (["tokens", "weights"] if sparse else [])
-    source = rows.select(*cols) if scope is None else rows.select(*cols, scope_key)
+def _past_one_block(source, block, kernel, schema, question_id, scope, scope_key) -> DataFrame:
+    """One scan of the rows: the questions, at most ``BLOCK_ROWS``, are sent to the tasks."""
+    spark = source.sparkSession
+    if not block.num_rows:
+        return spark.createDataFrame([], schema)
+    block = block.append_column("__place", pa.array(np.arange(block.num_rows, dtype=np.int32)))
     if scope is not None:
-        payload["open"] = np.asarray(pc.fill_null(block["unscoped"], False))
-        place = spark.createDataFrame(
-            pa.table({question_id: qids, "place": np.arange(n, dtype=np.int32)}))
-        # at most one row per scope_key, at most n places in it
+        place = spark.createDataFrame(block.select([question_id, "__place"]))
+        # at most one row per scope_key, at most as many places in it as there are questions
         seats = (scope.join(F.broadcast(place), question_id).groupBy(scope_key)
-                 .agg(F.collect_set("place").alias("__seats")))
+                 .agg(F.collect_set("__place").alias("__seats")))
         source = source.join(seats, scope_key, "left").drop(scope_key)
-        if not payload["open"].any():
+        if not pc.any(pc.fill_null(block["unscoped"], False)).as_py():
             source = source.filter(F.col("__seats").isNotNull())
-    sent = spark.sparkContext.broadcast(payload)
-    step = max(1, _CELLS // n)
+    sent = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        best = {}
-        if "q" in p:
-            best["dense"] = _Best(n, k)
-        if "s" in p:
-            best["sparse"] = _Best(n, k)
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                ids = np.asarray(batch.column(row_id), dtype=np.int64)
-                allowed = np.ones((len(ids), n), bool)
-                if "open" in p:
-                    allowed &= p["open"]
-                    seats = batch.column("__seats")
-                    size = np.asarray(pc.fill_null(pc.list_value_length(seats), 0), dtype=np.int64)
-                    allowed[np.repeat(np.arange(len(ids)), size),
-                            np.asarray(seats.flatten(), dtype=np.int64)] = True
-                if "q" in p:
-                    x, ok = to_matrix(batch.column("embedding"), p["q"].shape[1])
-                    sims = x @ p["q"].T
-                    may = allowed & ok[:, None] & p["q_ok"]
-                    if "planes" in p:
-                        cell = ((x @ p["planes"]) > 0) @ (1 << np.arange(p["planes"].shape[1]))
-                        may &= p["seen"][cell]
-                    best["dense"].offer(sims if digits is None else np.round(sims, digits), ids, may)
-                if "s" in p:
-                    tokens = batch.column("tokens")
-                    sims = p["s"].scores(tokens, batch.column("weights"), n)
-                    may = allowed & np.asarray(pc.is_valid(tokens))[:, None] & p["s_ok"]
-                    best["sparse"].offer(sims if digits is None else np.round(sims, digits), ids, may)
-        for branch, found in best.items():
+        cell = kernel(sent.value)
+        for batch in batches:
+            yield from cell.meet(batch)
+        yield from cell.close()
+
+    return source.mapInArrow(run, schema)
+
+
+def _past_groups(source, asked, kernel, schema, row_id, question_id, scope, scope_key) -> DataFrame:
+    """One job for any number of questions, which travel by shuffle in groups."""
+    groups = grid.groups_of(asked.count())
+    placed = asked.withColumn("__group", F.pmod(F.xxhash64(question_id), F.lit(groups)).cast("int"))
+    placed = cut(placed.withColumn("__place", (F.row_number().over(
+        Window.partitionBy("__group").orderBy(question_id)) - 1).cast("int")))
+    if scope is not None:
+        seats = (scope.join(placed.select(question_id, "__group", "__place"), question_id)
+                 .groupBy(F.col(scope_key).alias("__k"), "__group").agg(F.collect_set("__place").alias("__seats")))
+        # groups with an unscoped question are passed by all rows; there are few groups
+        open_ = [r[0] for r in placed.where("unscoped").select("__group").distinct().collect()]
+        closed = seats.where(~F.col("__group").isin(open_)) if open_ else seats
+        met = source.join(closed, F.col(scope_key) == F.col("__k"))
+        if open_:
+            every = source.withColumn("__g", F.explode(F.lit(open_)))
+            every = every.join(seats, (F.col(scope_key) == F.col("__k")) & (F.col("__g") == F.col("__group")), "left")
+            met = met.unionByName(every.withColumn("__group", F.col("__g")).drop("__g"))
+        source = met.withColumn("__groups", F.array("__group")).drop("__k", "__group", scope_key)
+    return grid.meet(source, placed, kernel, schema, row_key=row_id, other_key=question_id, groups=groups)
+
+
+class _Scores:
+    """A group of questions; each keeps the best k of the rows that pass."""
+
+    def __init__(self, group: pa.Table, k: int, names: tuple[str, str], digits: int | None) -> None:
+        group = group.sort_by("__place").combine_chunks()
+        (self.question, self.row), self.digits = names, digits
+        self.qids, self.n = np.asarray(group[self.question], dtype=np.int64), group.num_rows
+        self.open = np.asarray(pc.fill_null(group["unscoped"], False)) if "unscoped" in group.column_names else None
+        self.best: dict[str, _Best] = {}
+        if "embedding" in group.column_names:
+            self.q, self.q_ok = to_matrix(group["embedding"])
+            self.best["dense"] = _Best(self.n, k)
+        if "tokens" in group.column_names:
+            self.s = _SparseBlock.build(group["tokens"].combine_chunks(), group["weights"].combine_chunks())
+            self.s_ok = np.asarray(pc.is_valid(group["tokens"]))
+            self.best["sparse"] = _Best(self.n, k)
+
+    def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // self.n)
+        for at in range(0, rows.num_rows, step):
+            batch = rows.slice(at, step)
+            ids = np.asarray(batch.column(self.row), dtype=np.int64)
+            allowed = np.ones((len(ids), self.n), bool)
+            if self.open is not None:
+                allowed &= self.open
+                seats = batch.column("__seats")
+                size = np.asarray(pc.fill_null(pc.list_value_length(seats), 0), dtype=np.int64)
+                allowed[np.repeat(np.arange(len(ids)), size), np.asarray(seats.flatten(), dtype=np.int64)] = True
+            if "dense" in self.best:
+                x, ok = to_matrix(batch.column("embedding"), self.q.shape[1])
+                self._offer("dense", x @ self.q.T, ids, allowed & ok[:, None] & self.q_ok)
+            if "sparse" in self.best:
+                tokens = batch.column("tokens")
+                sims = self.s.scores(tokens, batch.column("weights"), self.n)
+                self._offer("sparse", sims, ids, allowed & np.asarray(pc.is_valid(tokens))[:, None] & self.s_ok)
+        return iter(())
+
+    def _offer(self, branch: str, sims: np.ndarray, ids: np.ndarray, may: np.ndarray) -> None:
+        self.best[branch].offer(sims if self.digits is None else np.round(sims, self.digits), ids, may)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        for branch, found in self.best.items():
             found.compact()
             yield pa.RecordBatch.from_pydict({
-                question_id: p["qids"][found.q], "branch": pa.array([branch] * len(found.q), pa.string()),
-                row_id: found.i, "score": found.s})
+                self.question: self.qids[found.q], "branch": pa.array([branch] * len(found.q), pa.string()),
+                self.row: found.i, "score": found.s})
+
+
+class _Nearest:
+    """The right rows of a group that come nearest to each row passing by."""
+
+    def __init__(self, group: pa.Table, k: int, digits: int | None, earlier: bool, names: tuple[str, str]) -> None:
+        self.k, self.digits, self.earlier, (self.left, self.right) = k, digits, earlier, names
+        group = group.sort_by(self.right)
+        matrix, ok = to_matrix(group["embedding"])
+        self.ids, self.vectors = np.asarray(group[self.right], dtype=np.int64)[ok], matrix[ok]
+
+    def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        take, step = min(self.k, len(self.ids)), max(1, CELLS // max(1, len(self.ids)))
+        for at in range(0, rows.num_rows if take else 0, step):
+            part = rows.slice(at, step)
+            x, usable = to_matrix(part.column("embedding"), self.vectors.shape[1])
+            sims = x[usable] @ self.vectors.T
+            if self.digits is not None:
+                sims = np.round(sims, self.digits)
+            mine = np.asarray(part.column(self.left), dtype=np.int64)[usable]
+            if self.earlier:
+                sims = np.where(self.ids[None, :] <= mine[:, None], sims, -np.inf)
+            # stable sort on ids already ascending keeps the smaller id on ties
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
+            best = np.take_along_axis(sims, order, axis=1).ravel()
+            real = np.isfinite(best)
+            yield pa.RecordBatch.from_pydict({
+                self.left: np.repeat(mine, take)[real], self.right: self.ids[order].ravel()[real], "similarity": best[real]})
 
-    return source.mapInArrow(
-        run, f"{question_id} bigint, branch string, {row_id} bigint, score double")
+    def close(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, *, left_id: str = "left_id",
             right_id: str = "right_id", digits: int | None = None, earlier: bool = False) -> DataFrame:
     """(left_id, right_id, similarity, rnk): the k nearest right rows of each left row.
 
-    Both sides have an id and an ``embedding``. Every left row keeps only its best k
-    per block of right vectors, so the blocks merge in one small top-k. With ``earlier``
-    only right rows whose id is at most the left row's are considered.
+    Both sides have an id and an ``embedding``. Every left row keeps only its best k per
+    group of right vectors, so the groups merge in one small top-k. With ``earlier`` only
+    right rows whose id is at most the left row's are considered.
     """
-    schema = f"{left_id} bigint, {right_id} bigint, similarity double"
-    result: DataFrame | None = None
-    for block in blocks_of(right.select(right_id, "embedding").filter("embedding IS NOT NULL"),
-                           right_id, 4 * BLOCK_ROWS):
-        part = _nearest_block(left.select(left_id, "embedding"), block, k, left_id, right_id, digits, schema, earlier)
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        result = left.sparkSession.createDataFrame([], schema)
-    return top_k(result, [left_id], [F.desc("similarity"), F.asc(right_id)], k, rank="rnk")
-
-
-def _nearest_block(left, block, k, left_id, right_id, digits, schema, earlier) -> DataFrame:
-    block = block.sort_by(right_id)
-    matrix, ok = to_matrix(block["embedding"])
-    sent = left.sparkSession.sparkContext.broadcast(
-        (np.asarray(block[right_id], dtype=np.int64)[ok], matrix[ok]))
-    width = max(1, _CELLS // max(1, int(ok.sum())))
+    rows = left.select(left_id, "embedding").filter("embedding IS NOT NULL")
+    others = right.select(F.col(right_id).cast("bigint").alias(right_id), "embedding").filter("embedding IS NOT NULL")
+    found = grid.meet(rows, others, partial(_Nearest, k=k, digits=digits, earlier=earlier, names=(left_id, right_id)),
+                      f"{left_id} bigint, {right_id} bigint, similarity double",
+                      row_key=left_id, other_key=right_id, groups=grid.groups_of(others.count()))
+    return top_k(found, [left_id], [F.desc("similarity"), F.asc(right_id)], k, rank="rnk")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y = sent.value
-        take = min(k, len(ids))
-        for whole in batches:
-            for at in range(0, whole.num_rows, width):
-                batch = whole.slice(at, width)
-                x, usable = to_matrix(batch.column("embedding"), y.shape[1])
-                sims = x[usable] @ y.T
-                if digits is not None:
-                    sims = np.round(sims, digits)
-                mine = np.asarray(batch.column(left_id), dtype=np.int64)[usable]
-                if earlier:
-                    sims = np.where(ids[None, :] <= mine[:, None], sims, -np.inf)
-                # stable sort on ids already ascending keeps the smaller id on ties
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
-                best = np.take_along_axis(sims, order, axis=1).ravel()
-                real = np.isfinite(best)
-                yield pa.RecordBatch.from_pydict({
-                    left_id: np.repeat(mine, take)[real], right_id: ids[order].ravel()[real],
-                    "similarity": best[real]})
-
-    return left.mapInArrow(run, schema)
+
+class _Band:
+    """Pairs of a row and a vector of the group with low <= cosine < high and a < b."""
+
+    def __init__(self, group: pa.Table, low: float, high: float) -> None:
+        matrix, ok = to_matrix(group["embedding"])
+        self.ids, self.vectors = np.asarray(group["id"], dtype=np.int64)[ok], matrix[ok]
+        self.low, self.high = low, high
+
+    def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for at in range(0, rows.num_rows, step):
+            part = rows.slice(at, step)
+            x, usable = to_matrix(part.column("embedding"), self.vectors.shape[1])
+            mine = np.asarray(part.column("id"), dtype=np.int64)[usable]
+            sims = x[usable] @ self.vectors.T
+            i, j = np.nonzero((sims >= self.low) & (sims < self.high) & (mine[:, None] < self.ids[None, :]))
+            yield pa.RecordBatch.from_pydict({"a": mine[i], "b": self.ids[j], "similarity": sims[i, j]})
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
 
 def similar_pairs(nodes: DataFrame, low: float, high: float) -> DataFrame:
     """(a, b, similarity) with a < b and low <= cosine < high.
 
-    ``nodes``: id, embedding. Blocks of vectors are compared inside the tasks; only the
-    pairs in the band, which are the result, leave them.
+    ``nodes``: id, embedding. Vectors meet on the grid; only the pairs in the band, which are
+    the result, leave the tasks.
     """
-    schema = "a bigint, b bigint, similarity double"
-    result: DataFrame | None = None
     rows = nodes.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("embedding IS NOT NULL")
-    for block in blocks_of(rows, "id", 4 * BLOCK_ROWS):
-        part = _pairs_block(rows, block, low, high, schema)
-        result = part if result is None else result.unionByName(part)
-    return result if result is not None else nodes.sparkSession.createDataFrame([], schema)
-
-
-def _pairs_block(rows, block, low, high, schema) -> DataFrame:
-    matrix, ok = to_matrix(block["embedding"])
-    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(block["id"], dtype=np.int64)[ok], matrix[ok]))
-    step = max(1, _CELLS // max(1, int(ok.sum())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                x, usable = to_matrix(batch.column("embedding"), y.shape[1])
-                mine = np.asarray(batch.column("id"), dtype=np.int64)[usable]
-                sims = x[usable] @ y.T
-                i, j = np.nonzero((sims >= low) & (sims < high) & (mine[:, None] < ids[None, :]))
-                yield pa.RecordBatch.from_pydict({"a": mine[i], "b": ids[j], "similarity": sims[i, j]})
-
-    return rows.mapInArrow(run, schema)
+    return grid.meet(rows, rows, partial(_Band, low=low, high=high), "a bigint, b bigint, similarity double",
+                     row_key="id", other_key="id", groups=grid.groups_of(rows.count()))

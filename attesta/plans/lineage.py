@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application in the storage that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")

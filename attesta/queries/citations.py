@@ -359,13 +359,12 @@ def _(spark, sf):
 
 @query("ct16_messages_with_citations", fx.sql("messages", "sources", body="""
   SELECT m.id, m.role, coalesce(c.list, '') AS citations FROM messages m LEFT JOIN (
-    SELECT message_id, string_agg(sid || ':' || CASE WHEN document_id < 40 THEN 'doc ' || document_id ELSE '' END,
-                                  ',' ORDER BY sid) AS list FROM sources GROUP BY 1) c ON c.message_id = m.id"""))
+    SELECT message_id, string_agg(sid || ':doc ' || document_id, ',' ORDER BY sid) AS list FROM sources GROUP BY 1) c ON c.message_id = m.id"""))
 def _(spark, sf):
     cites = fx.sources(spark, sf).selectExpr("message_id", "sid AS idx", "document_id", "chunk_id",
                                              "page_from AS page_no", "left(text, 10) AS snippet")
     docs = (fx.table(spark, sf, "documents").selectExpr(f"doc_id % {fx.groups(spark, sf)} AS document_id").distinct()
-            .filter("document_id < 40").withColumn("filename", F.expr("concat('doc ', document_id)")))
+            .withColumn("filename", F.expr("concat('doc ', document_id)")))
     out = C.messages_with_citations(fx.messages(spark, sf), cites, docs)
     flat = F.array_join(F.transform("citations", lambda c: F.concat(c["idx"], F.lit(":"), c["filename"])), ",")
     return out.select("id", "role", F.coalesce(flat, F.lit("")).alias("citations"))

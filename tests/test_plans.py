@@ -108,6 +108,23 @@ def test_vector_leaders_equal_the_loop(spark, batch):
     assert {r.id: r.keeper for r in rows if not r.kept} == keeper
 
 
+def test_vector_leaders_along_a_chain_and_in_a_crowd(spark):
+    """Each vector of the chain is close to the next only; half of the rows are one vector."""
+    turn = lambda i: [float(np.cos(i)), float(np.sin(i))]
+    chain = [(i, i, turn(i * 0.02)) for i in range(60)]
+    crowd = [(100 + i, i % 3, turn(3.0)) for i in range(60)]
+    odd = [(300, 0, [0.0, 0.0]), (301, 0, [0.0, 0.0]), (302, 0, [1.0]), (303, 0, None), (304, -1, turn(2.999))]
+    rows = chain + crowd + odd
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    unit = {i: np.float64(np.float32(v)) / np.linalg.norm(np.float64(np.float32(v))) for i, _, v in rows if v and len(v) == 2 and any(v)}
+    kept, keeper = _greedy(order, lambda a, b: a in unit and b in unit and unit[a] @ unit[b] >= np.cos(0.025))
+    nodes = spark.createDataFrame(rows, "id long, ord long, embedding array<float>")
+    got = greedy_vector_leaders(nodes, float(np.cos(0.025)), 8).collect()
+    assert len(got) == len(rows)
+    assert {r.id for r in got if r.kept} == kept
+    assert {r.id: r.keeper for r in got if not r.kept} == keeper
+
+
 def test_islands_split_only_where_nothing_overlaps(spark):
     rows = [(1, 0.0, 10.0), (1, 5.0, 8.0), (1, 9.0, 20.0), (1, 20.0, 25.0), (1, 700.0, 701.0)]
     df = spark.createDataFrame(rows, "k long, a double, b double")

@@ -1,6 +1,7 @@
 """Search kernel, fusion, scopes and reranking against plain computation."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions import vectors as V
 from attesta.operators import retrieval as R
 from attesta.operators import search as S
+from attesta.operators import vector_index as VI
 
 
 def corpus(spark, n=90, seed=0):
@@ -58,14 +60,17 @@ def ranked(df):
 @pytest.mark.parametrize("block", [1024, 2])
 def test_topk_equals_the_plain_search(spark, block, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", block)
-    monkeypatch.setattr(S.blocks_of, "__defaults__", (block,))
+    monkeypatch.setattr(S.grid.groups_of, "__defaults__", (block,))
     rows, df = corpus(spark)
     asked, q = questions(spark)
     got = ranked(S.score_topk(df, q, 7, dense=True, sparse=True, digits=6))
     assert got == plain(rows, asked, 7)
 
 
-def test_scope_restricts_before_ranking(spark):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_scope_restricts_before_ranking(spark, block, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    monkeypatch.setattr(S.grid.groups_of, "__defaults__", (block,))
     rows, df = corpus(spark)
     asked, q = questions(spark)
     pairs = [(i, d) for i in (1, 3) for d in range(7) if (i + d) % 3 == 0]
@@ -75,15 +80,23 @@ def test_scope_restricts_before_ranking(spark):
     assert got == want and not any(k[0] == 5 for k in got)
 
 
-def test_approximate_search_finds_most_and_ranks_alike(spark):
+def test_index_reads_only_the_cells_asked_for(spark, monkeypatch):
     _, df = corpus(spark, 400)
     _, q = questions(spark)
     exact = ranked(S.score_topk(df, q, 10))
-    same = ranked(S.score_topk(df, q, 10, probe_bits=3, probes=8))
-    some = ranked(S.score_topk(df, q, 10, probe_bits=3, probes=2))
-    assert same == exact
-    found = sum(len(set(exact[k]) & set(some[k])) for k in exact)
-    assert 0.4 * 60 <= found < 60
+    index = VI.build_index(df, 8, sample=100)
+    assert index.rows.count() == df.where(F.exists("embedding", lambda x: x != 0)).count()
+    dense = lambda out: ranked(out.withColumn("branch", F.lit("dense")))
+    assert dense(VI.search_index(index, q, 10, 8)) == exact
+    monkeypatch.setattr(VI.grid.groups_of, "__defaults__", (2,))
+    assert dense(VI.search_index(index, q, 10, 8)) == exact
+    some = VI.search_index(index, q, 10, 3)
+    found = sum(len(set(exact[k]) & set(dense(some).get(k, []))) for k in exact)
+    assert found >= 0.9 * 60
+    one = VI.search_index(index, q.where("query_id = 0"), 10, 2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(\d,\d\)", plan)
+    assert VI.search_index(index, q.where("false"), 10, 2).count() == 0
 
 
 def test_nearest_with_and_without_order(spark):
