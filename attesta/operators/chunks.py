@@ -446,7 +446,39 @@ def _window_starts(start, end, closed, window, hi, entry=0):
 
 
 def chunk_transcript(segments: DataFrame, window_s: float = WINDOW_S, block: int = BLOCK) -> DataFrame:
-    """Windows of a transcript: (document_id, ord, text, t_start_ms, t_end_ms, n_segments).
+    """Windows of a transcript: (document_id, ord, text, t_start_ms, t_end_ms, n_segments)."""
+    return window_chunks(transcript_windows(segments, window_s, block))
+
+
+def window_chunks(windows: DataFrame) -> DataFrame:
+    """The chunk of each window: its segments' texts, joined by a space."""
+    return windows.select("document_id", "ord", F.array_join(F.transform("el", lambda e: e["text"]), " ").alias("text"),
+                          F.get("el", F.lit(0))["start_ms"].alias("t_start_ms"),
+                          F.element_at("el", -1)["end_ms"].alias("t_end_ms"),
+                          F.size("el").cast("bigint").alias("n_segments"))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _begins(lengths: pd.Series) -> pd.Series:
+    """Where each text begins when texts of these lengths are joined by one character."""
+    return lengths.map(lambda n: np.concatenate([[0], np.cumsum(np.asarray(n, dtype=np.int64) + 1)[:-1]]))
+
+
+def window_spans(windows: DataFrame) -> DataFrame:
+    """(document_id, ord, pos, text_start, text_end, t_start_ms, t_end_ms): where each segment
+    stands in the text of its window's chunk and when it is spoken. ``pos`` counts from 0."""
+    lengths = F.transform("el", lambda e: F.length(e["text"]))
+    rows = windows.select("document_id", "ord", F.posexplode(F.arrays_zip(
+        _begins(lengths).alias("a"), lengths.alias("n"), F.transform("el", lambda e: e["start_ms"]).alias("t0"),
+        F.transform("el", lambda e: e["end_ms"]).alias("t1"))).alias("pos", "e"))
+    return rows.select("document_id", "ord", F.col("pos").cast("bigint").alias("pos"), F.col("e.a").alias("text_start"),
+                       (F.col("e.a") + F.col("e.n")).alias("text_end"), F.col("e.t0").alias("t_start_ms"),
+                       F.col("e.t1").alias("t_end_ms"))
+
+
+def transcript_windows(segments: DataFrame, window_s: float = WINDOW_S, block: int = BLOCK) -> DataFrame:
+    """(document_id, ord, el): the segments of each window in order, with times and stripped
+    texts; segments without text are left out. Both chunks and their timed spans come from it.
 
     A window closes after ``window_s`` at a sentence end, or at 1.6 times that anyway.
     Ordinary recordings are walked as one array of times. Longer ones are walked in
@@ -472,19 +504,17 @@ def chunk_transcript(segments: DataFrame, window_s: float = WINDOW_S, block: int
     cutup = whole.withColumn("__w", walk(pick("start_ms"), pick("end_ms"), pick("closed")))
     cells = cutup.select("document_id", "el", "__w", F.posexplode("__w").alias("ord", "a"))
     until = F.coalesce(F.get("__w", F.col("ord") + 1), F.size("el"))
-    cells = cells.select("document_id", F.col("ord").cast("bigint").alias("ord"),
-                         F.slice("el", F.col("a") + 1, until - F.col("a")).alias("el"))
-    out = cells.select("document_id", "ord", F.array_join(F.transform("el", lambda e: e["text"]), " ").alias("text"),
-                       F.get("el", F.lit(0))["start_ms"].alias("t_start_ms"),
-                       F.element_at("el", -1)["end_ms"].alias("t_end_ms"),
-                       F.size("el").cast("bigint").alias("n_segments"))
+    kept = lambda el: F.transform(el, lambda e: F.struct(e["start_ms"].alias("start_ms"), e["end_ms"].alias("end_ms"), e["text"].alias("text")))
+    out = cells.select("document_id", F.col("ord").cast("bigint").alias("ord"),
+                       kept(F.slice("el", F.col("a") + 1, until - F.col("a"))).alias("el"))
     if large.isEmpty():
         return out
-    return out.unionByName(_long_recordings(slim.join(large, "document_id", "left_semi"), window, block))
+    long = _long_recordings(slim.join(large, "document_id", "left_semi"), window, block)
+    return out.unionByName(long.withColumn("el", kept("el")))
 
 
 def _long_recordings(slim: DataFrame, window: float, block: int) -> DataFrame:
-    """Windows of recordings too long for one array.
+    """Windows (document_id, ord, el) of recordings too long for one array.
 
     Each block carries the block after it, so every window opened in it can be
     followed to its end; links lead from a segment that may open the first window of
@@ -551,11 +581,7 @@ def _long_recordings(slim: DataFrame, window: float, block: int) -> DataFrame:
     rows = heads.groupBy("document_id", "head").agg(
         F.sort_array(F.collect_list(F.struct("__i", "start_ms", "end_ms", "text"))).alias("el"))
     rows = number_rows(rows, ["document_id"], ["head"], by_position("head"), "__n")
-    return rows.select("document_id", (F.col("__n") - 1).alias("ord"),
-                       F.array_join(F.transform("el", lambda e: e["text"]), " ").alias("text"),
-                       F.get("el", F.lit(0))["start_ms"].alias("t_start_ms"),
-                       F.element_at("el", -1)["end_ms"].alias("t_end_ms"),
-                       F.size("el").cast("bigint").alias("n_segments"))
+    return rows.select("document_id", (F.col("__n") - 1).alias("ord"), "el")
 
 
 def _window_exits(start, end, closed, window, own):

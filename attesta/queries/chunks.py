@@ -140,22 +140,20 @@ def _(spark, sf):
     return C.page_range(fx.lines(spark, sf).selectExpr("document_id", "block_no AS ord", "page_no % 3 AS page_no"))
 
 
-@query("ch5_chunk_transcript", fx.sql("segments", body="""WITH RECURSIVE
-  seg AS (SELECT *, trim(text, E' \\t\\r\\n') AS t, row_number() OVER (PARTITION BY document_id ORDER BY reading_order) AS i
-          FROM segments WHERE trim(text, E' \\t\\r\\n') <> ''),
-  walk AS (SELECT document_id, i, 0::BIGINT AS ord, start_ms AS opened, regexp_matches(t, '([.!?…]|다|요)$') AS closed
-           FROM seg WHERE i = 1
-           UNION ALL
-           SELECT s.document_id, s.i, CASE WHEN new THEN w.ord + 1 ELSE w.ord END,
-                  CASE WHEN new THEN s.start_ms ELSE w.opened END, regexp_matches(s.t, '([.!?…]|다|요)$')
-           FROM walk w JOIN seg s ON s.document_id = w.document_id AND s.i = w.i + 1,
-           LATERAL (SELECT s.end_ms - w.opened > 45000 AND (w.closed OR s.end_ms - w.opened > 72000) AS new))
-  SELECT document_id, ord, string_agg(t, ' ' ORDER BY i) AS text, min(start_ms) AS t_start_ms, max(end_ms) AS t_end_ms,
-         count(*) AS n_segments FROM walk JOIN seg USING (document_id, i) GROUP BY 1, 2"""))
+@query("ch5_chunk_transcript", fx.sql("segments", body=f"""WITH RECURSIVE {fx.WINDOWS_SQL}
+  SELECT document_id, ord, string_agg(t, ' ' ORDER BY pos) AS text, min(start_ms) AS t_start_ms, max(end_ms) AS t_end_ms,
+         count(*) AS n_segments FROM placed GROUP BY 1, 2"""))
 def _(spark, sf):
     return C.chunk_transcript(fx.segments(spark, sf))
 
 
+@query("ch5_transcript_spans", fx.sql("segments", body=f"""WITH RECURSIVE {fx.WINDOWS_SQL}
+  SELECT document_id, ord, pos, a::BIGINT AS text_start, (a + length(t))::BIGINT AS text_end, start_ms AS t_start_ms,
+         end_ms AS t_end_ms FROM placed"""))
+def _(spark, sf):
+    return C.window_spans(C.transcript_windows(fx.segments(spark, sf)))
+
+
 @query("ch6_token_estimate", "SELECT doc_id AS document_id, greatest(1, length(text) // 2)::BIGINT AS token_count FROM documents")
 def _(spark, sf):
     return fx.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"),

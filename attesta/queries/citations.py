@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from attesta.functions import sentences as TX
 from attesta.functions.text import strip_cite_tokens
+from attesta.operators import chunks as CH
 from attesta.operators import citations as C
 from attesta.operators import resolve as R
+from attesta.plans import lineage
 from attesta.queries import fixtures as fx
 from attesta.queries.registry import query
 
@@ -177,12 +179,13 @@ def chunk_sentences(spark, sf):
 
 
 _ALIGNED = """
-  cited AS (SELECT s.*, s.sid AS idx, e.embedding FROM sources s
+  cited AS MATERIALIZED (SELECT s.*, s.sid AS idx, e.embedding FROM sources s
             JOIN embeddings e ON e.vec_id = (s.message_id * 13 + s.sid) % (SELECT count(*) FROM embeddings)),
-  sent AS (SELECT sp.chunk_id, sp.text_start AS s, sp.text_end AS e, l.text AS sentence, em.embedding
-           FROM spans sp JOIN lines l ON l.document_id = sp.chunk_id AND l.line_no = sp.pos
+  sent AS MATERIALIZED (SELECT sp.chunk_id, sp.text_start AS s, sp.text_end AS e, l.text AS sentence, em.embedding
+           FROM (SELECT * FROM spans WHERE chunk_id IN (SELECT chunk_id FROM cited)) sp
+           JOIN lines l ON l.document_id = sp.chunk_id AND l.line_no = sp.pos
            JOIN embeddings em ON em.vec_id = (sp.chunk_id * 31 + sp.pos * 7) % (SELECT count(*) FROM embeddings)),
-  aligned AS (SELECT message_id, idx, chunk_id, s, e, sentence, similarity FROM (
+  aligned AS MATERIALIZED (SELECT message_id, idx, chunk_id, s, e, sentence, similarity FROM (
     SELECT *, row_number() OVER (PARTITION BY message_id, idx ORDER BY similarity DESC, s) AS rn FROM (
       SELECT c.message_id, c.idx, c.chunk_id, t.s, t.e, t.sentence,
              round(list_cosine_similarity(c.embedding::DOUBLE[], t.embedding::DOUBLE[]), 5) AS similarity
@@ -231,18 +234,21 @@ def _(spark, sf):
     return R.merge_same_line(words)
 
 
-_TIMED = """timed AS (SELECT k.*, CASE WHEN pos % 3 > 0 THEN pos * 1000 END AS a,
-                             CASE WHEN pos % 4 > 0 THEN pos * 1000 + 900 END AS b FROM kept k)"""
-
-
-@query("ct9_time_range", fx.sql("spans", "picks", body=f"""WITH {_SPANS_FOR}, {_TIMED}
-  SELECT chunk_id AS message_id, 1::BIGINT AS idx, min(a) FILTER (a IS NOT NULL AND b IS NOT NULL) AS t_start_ms,
-         max(b) FILTER (a IS NOT NULL AND b IS NOT NULL) AS t_end_ms FROM timed GROUP BY 1"""))
+@query("ct9_time_range", fx.sql("segments", body=f"""WITH RECURSIVE {fx.WINDOWS_SQL},
+  whole AS (SELECT document_id, ord, max(a + length(t)) AS n FROM placed GROUP BY 1, 2),
+  hit AS (SELECT p.* FROM placed p JOIN whole w USING (document_id, ord)
+          WHERE (document_id + ord) % 7 = 3 OR (a < n // 2 + 1 AND a + length(t) > n // 3))
+  SELECT document_id AS message_id, ord AS idx, min(start_ms) AS t_start_ms, max(end_ms) AS t_end_ms FROM hit GROUP BY 1, 2"""))
 def _(spark, sf):
-    hits = (_picked(spark, sf)
-            .withColumn("t_start_ms", F.expr("CASE WHEN pos % 3 > 0 THEN pos * 1000 END"))
-            .withColumn("t_end_ms", F.expr("CASE WHEN pos % 4 > 0 THEN pos * 1000 + 900 END")))
-    return R.time_range(hits)
+    """Each window of a recording is cited for the middle of its text, or as a whole."""
+    windows = lineage.cut(CH.transcript_windows(fx.segments(spark, sf)))
+    chunk = lambda df: df.withColumn("chunk_id", F.struct("document_id", "ord"))
+    cites = chunk(CH.window_chunks(windows)).withColumns({"message_id": F.col("document_id"), "idx": F.col("ord")})
+    n = F.length("text")
+    picks = cites.filter("(document_id + ord) % 7 <> 3").select(
+        "message_id", "idx", F.floor(n / 3).alias("s"), (F.floor(n / 2) + 1).alias("e"))
+    spans = chunk(CH.window_spans(windows)).select("chunk_id", "pos", "text_start", "text_end", "t_start_ms", "t_end_ms")
+    return R.time_range(R.spans_for(cites.select("message_id", "idx", "chunk_id"), picks, spans))
 
 
 _SNIPPET = """

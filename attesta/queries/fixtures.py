@@ -406,3 +406,19 @@ def spans(spark, sf):
 def picks(spark, sf):
     at = "doc_id % 50 + CASE WHEN doc_id % 10 = 0 THEN 100000 ELSE 0 END"
     return table(spark, sf, "documents").selectExpr("doc_id AS chunk_id", f"{at} AS s", f"{at} + 200 AS e")
+
+
+#: windows of recordings, segment by segment, after WITH RECURSIVE
+WINDOWS_SQL = """
+  seg AS (SELECT *, trim(text, E' \\t\\r\\n') AS t, row_number() OVER (PARTITION BY document_id ORDER BY reading_order) AS i
+          FROM segments WHERE trim(text, E' \\t\\r\\n') <> ''),
+  walk AS (SELECT document_id, i, 0::BIGINT AS ord, start_ms AS opened, regexp_matches(t, '([.!?…]|다|요)$') AS closed
+           FROM seg WHERE i = 1
+           UNION ALL
+           SELECT s.document_id, s.i, CASE WHEN new THEN w.ord + 1 ELSE w.ord END,
+                  CASE WHEN new THEN s.start_ms ELSE w.opened END, regexp_matches(s.t, '([.!?…]|다|요)$')
+           FROM walk w JOIN seg s ON s.document_id = w.document_id AND s.i = w.i + 1,
+           LATERAL (SELECT s.end_ms - w.opened > 45000 AND (w.closed OR s.end_ms - w.opened > 72000) AS new)),
+  placed AS (SELECT document_id, ord, row_number() OVER w - 1 AS pos, t, start_ms, end_ms,
+                    sum(length(t) + 1) OVER w - length(t) - 1 AS a
+             FROM walk JOIN seg USING (document_id, i) WINDOW w AS (PARTITION BY document_id, ord ORDER BY i))"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.sentences import sentence_offsets
 from attesta.operators import chunks as C
+from attesta.plans.lineage import cut
 
 ELEMENTS = "document_id long, reading_order long, page_no long, kind string, level long, text string"
 
@@ -177,10 +178,18 @@ def test_windows_equal_the_loop(spark, block):
             4: recording(4, 300, 900, overlap=300)}
     rows = [(d, *r) for d, rs in docs.items() for r in rs] + [(2, 999, 0, 0, "  ")]
     df = spark.createDataFrame(rows, "document_id long, reading_order long, start_ms long, end_ms long, text string")
-    got = {}
-    for r in C.chunk_transcript(df, 4.5, block=block).orderBy("document_id", "ord").collect():
+    windows = cut(C.transcript_windows(df, 4.5, block=block))
+    got, texts = {}, {}
+    for r in C.window_chunks(windows).orderBy("document_id", "ord").collect():
         got.setdefault(r.document_id, []).append((r.text, r.t_start_ms, r.t_end_ms, r.n_segments))
+        texts[r.document_id, r.ord] = r.text
     assert got == {d: plain_windows(rs, 4500) for d, rs in docs.items()}
+    spans = C.window_spans(windows).orderBy("document_id", "ord", "pos").collect()
+    said = {d: [] for d in docs}
+    for r in spans:
+        said[r.document_id].append((r.t_start_ms, r.t_end_ms, texts[r.document_id, r.ord][r.text_start:r.text_end]))
+    assert said == {d: [x[1:] for x in rs] for d, rs in docs.items()}
+    assert [r.pos for r in spans if (r.document_id, r.ord) == (1, 2)] == list(range(got[1][2][3]))
 
 
 # ------------------------------------------------------------------------ oversize
