@@ -90,6 +90,38 @@ def _(spark, sf):
             .join(n, "message_id"))
 
 
+def numbered_events(m):
+    """The events of ``turn_events``, numbered from 0, from assistant messages (also a stream)."""
+    event = lambda name, data: f"named_struct('event', '{name}', 'data', to_json({data}))"
+    end = (f"IF(message_id % 7 = 0, {event('error', "named_struct('message', 'lost')")}, "
+           f"{event('done', "named_struct('rejected', array(message_id % 4), 'run_id', concat('run ', message_id))")})")
+    revision = event("revision", "named_struct('text', concat('revised ', message_id), 'citations', "
+                                 "array(named_struct('idx', 2, 'sid', 9)))")
+    none = "cast(array() AS array<struct<event:string,data:string>>)"
+    events = f"""concat(array({event('step', "named_struct('ord', 1, 'node', 'plan', 'label', concat('l', message_id))")}),
+        flatten(transform(parts, (t, i) -> concat(array({event('token', "named_struct('text', t)")}),
+          IF(i = 0, array({event('citation', "named_struct('idx', 1, 'sid', message_id % 5)")}), {none}),
+          IF(message_id % 3 = 0 AND i = least(2, size(parts) - 1), array({revision}), {none})))), array({end}))"""
+    return m.filter("role = 'assistant'").selectExpr(
+        "conv_id * 1000 + turn AS message_id", "split(text, '\\n', -1) AS parts").selectExpr(
+        "message_id", f"posexplode({events}) AS (seq, e)").selectExpr(
+        "message_id", "cast(seq AS bigint) AS seq", "e.event AS event", "e.data AS data")
+
+
+@query("st2_stream_turns", f"""WITH {_TURNS}
+  SELECT message_id, content, status, error, rejected, n_citations,
+         CASE WHEN status = 'complete' THEN 'run ' || message_id END AS run_id, 1::BIGINT AS n_steps FROM turns""")
+def _(spark, sf):
+    folder = work_dir(spark, "turns")
+    rows = U.stream_turns(numbered_events(stream_of(spark, sf, "conversations")), 0, 0)
+    U.persist_turns(rows, f"{folder}/tables", f"{folder}/state").awaitTermination()
+    read = lambda name: spark.read.parquet(f"{folder}/tables/{name}")
+    count = lambda name, as_: read(name).groupBy("message_id").agg(F.count("*").alias(as_))
+    return (read("messages").drop("batch").withColumn("rejected", F.array_join(F.col("rejected").cast("array<string>"), ","))
+            .join(count("citations", "n_citations"), "message_id").join(count("steps", "n_steps"), "message_id")
+            .join(read("runs").select("message_id", "run_id"), "message_id", "left"))
+
+
 def _progress(events):
     return events.selectExpr("user_id % 500 AS document_id", "cast(ts AS timestamp) AS ts", "event_type AS status",
                              "event_id AS done", "event_id + 10 AS total")

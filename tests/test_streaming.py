@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,21 +64,107 @@ def test_stream_over_many_batches_in_wrong_order_equals_the_batch_parse(spark, t
     assert got == {r.message_id: (r.body, r.cited, r.rejected) for r in parsed.collect()}
 
 
-EVENTS = [(1, 0, "token", '{"text": "가"}'), (1, 1, "token", '{"text": "나"}'), (1, 2, "revision", '{"text": "다"}'),
-          (1, 3, "token", '{"text": "라"}'), (1, 4, "done", '{"rejected": [9]}'), (2, 0, "token", '{"text": "x"}'),
-          (2, 1, "error", '{"message": "lost"}'), (3, 0, "token", '{"text": "unfinished"}')]
+EVENTS = [(1, 0, "token", '{"text": "가"}'), (1, 1, "citation", '{"idx": 1, "sid": 4}'), (1, 2, "token", '{"text": "나"}'),
+          (1, 3, "revision", '{"text": "다", "citations": [{"idx": 2, "sid": 5}]}'), (1, 4, "token", '{"text": "라"}'),
+          (1, 5, "done", '{"rejected": [9], "run_id": "r1"}'), (2, 0, "step", '{"ord": 1, "node": "plan", "label": "p"}'),
+          (2, 1, "token", '{"text": "x"}'), (2, 2, "error", '{"message": "lost"}'), (3, 0, "token", '{"text": "unfinished"}'),
+          (4, 0, "token", "not json"), (4, 1, "revision", "{}"), (4, 2, "done", None)]
+EVENT = "message_id long, seq long, event string, data string"
 
 
-def test_turns_fold_alike_in_batch_and_stream(spark, tmp_path):
-    schema = "message_id long, seq long, event string, data string"
-    df = spark.createDataFrame(EVENTS, schema)
-    batch = {r.message_id: (r.content, r.status, r.error, r.rejected) for r in U.fold_turn(df)[0].collect()}
+@pytest.mark.parametrize("seed", range(2))
+def test_turns_fold_alike_in_batch_and_stream(spark, tmp_path, seed):
+    df = spark.createDataFrame(EVENTS, EVENT)
+    messages, cited, steps = U.fold_turn(df)
+    batch = {r.message_id: (r.content, r.status, r.error, r.rejected) for r in messages.collect()}
     assert batch == {1: ("다라", "complete", None, [9]), 2: ("x", "failed", "lost", []),
-                     3: ("unfinished", "complete", None, [])}
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = drain(U.stream_turns(stream), "test-turns").collect()
-    assert {r.message_id: (r.content, r.status) for r in out} == {1: ("다라", "complete"), 2: ("x", "failed")}
+                     3: ("unfinished", "complete", None, []), 4: ("", "complete", None, [])}
+    # any order, and every third event once more in a later batch
+    rng = random.Random(seed)
+    rows = EVENTS + EVENTS[::3]
+    rng.shuffle(rows)
+    for n in range(5):
+        spark.createDataFrame(rows[n::5], EVENT).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = (spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(str(tmp_path / "in")))
+    U.persist_turns(U.stream_turns(stream, 0, 0), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name)).drop("batch")
+    got = {r.message_id: (r.content, r.status, r.error, r.rejected) for r in read("messages").collect()}
+    assert got == {m: t for m, t in batch.items() if m != 3} and read("messages").count() == 3
+    assert sorted(map(tuple, read("citations").collect())) == sorted(map(tuple, cited.collect()))
+    assert sorted(map(tuple, read("steps").collect())) == sorted(map(tuple, steps.collect()))
+    assert [tuple(r) for r in read("runs").collect()] == [("r1", 1, "complete", None, [9])]
+
+
+class _Store:
+    """The state variables of one key, kept in dictionaries."""
+
+    def __init__(self):
+        self.value, self.map, self.timers = None, {}, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return _Map(self.map)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Map:
+    def __init__(self, held):
+        self.held = held
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def clear(self):
+        self.held.clear()
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_an_idle_turn_fails_once_and_its_tombstone_goes():
+    store, turn = _Store(), U.TurnProcessor(100, 1000)
+    turn.init(store)
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["seq", "event", "data"])])
+    feed = lambda at, *rows: list(turn.handleInputRows((7,), frame(*rows), _Clock(at)))
+    assert feed(0, (0, "token", '{"text": "a"}'), (3, "citation", '{"idx": 1, "sid": 2}')) == []
+    assert store.timers == [100] and len(store.map) == 1
+    (out,) = turn.handleExpiredTimer((7,), _Clock(120), None)
+    assert out[["kind", "content", "status", "error", "sid"]].astype(object).where(out.notna(), None).values.tolist() == [
+        ["citation", None, None, None, 2], ["message", "a", "failed", "interrupted", None]]
+    assert feed(200, (1, "token", '{"text": "late"}')) == [] and not store.map
+    assert store.timers[-1] == 1200
+    assert list(turn.handleExpiredTimer((7,), _Clock(1200), None)) == [] and store.value is None
 
 
 def test_sessions_close_after_the_watermark(spark, tmp_path):
