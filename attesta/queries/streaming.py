@@ -134,6 +134,17 @@ def _(spark, sf):
     return L.document_progress(_progress(fx.table(spark, sf, "events"))).drop("ts")
 
 
+@query("st3_stream_progress", """
+  SELECT user_id % 500 AS document_id, arg_max(event_type, ts) AS status, arg_max(event_id, ts) AS done,
+         arg_max(event_id + 10, ts) AS total FROM events GROUP BY 1""")
+def _(spark, sf):
+    """The last that the stream said of each document."""
+    events = _progress(stream_of(spark, sf, "events"))
+    said = drain(L.stream_progress(events), "progress")
+    last = said.groupBy("document_id").agg(F.max_by(F.struct("status", "done", "total"), F.struct("ms", "done")).alias("l"))
+    return last.select("document_id", "l.status", "l.done", "l.total")
+
+
 def _beats(spark, sf):
     return fx.beats(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -158,6 +169,18 @@ def _(spark, sf):
             .withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
 
 
+@query("st4_stream_presence", fx.sql("beats", body="""
+  WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens FROM beats
+             WINDOW w AS (PARTITION BY channel, user_id ORDER BY ts)),
+  s AS (SELECT *, sum(opens) OVER (PARTITION BY channel, user_id ORDER BY ts) AS n FROM f),
+  stay AS (SELECT channel, user_id, min(ts) AS a, max(ts) + INTERVAL 1 DAY AS b FROM s GROUP BY channel, user_id, n)
+  SELECT channel, user_id, 'joined' AS event, epoch_us(a) // 1000 AS ms FROM stay
+  UNION ALL SELECT channel, user_id, 'left', epoch_us(b) // 1000 FROM stay WHERE b < (SELECT max(ts) FROM beats)"""))
+def _(spark, sf):
+    beats = stream_of(spark, sf, "events").selectExpr("event_type AS channel", "user_id", "cast(ts AS timestamp) AS ts")
+    return drain(L.stream_presence(beats, 86_400_000), "presence")
+
+
 @query("st5_route_events", """
   SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'documents' ELSE 'channel:' || (user_id % 9) END AS key,
          event_type AS event, '{"id":' || event_id || '}' AS data FROM events

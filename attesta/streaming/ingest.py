@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from attesta.operators.topics import MERGE_THRESHOLD, merge_similar_topics
 from attesta.plans.lineage import cut
-from attesta.sources.files import classify_source, dedupe_by_hash, size_filter, split_rejected, with_hash
+from attesta.sources.files import classify_source, size_filter, split_rejected, with_hash
 from attesta.sources.ledger import outstanding_stages
+from attesta.streaming.runtime import carry_code, use_rocksdb
 
 CATALOG = ("file_id bigint, filename string, source_kind string, size_bytes bigint, sha256 string, "
            "document_id bigint, status string, batch bigint")
 
 
-def _path_exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+REFUSED = ["file_id", "filename", "mime", "size_bytes", "arrival", "reason"]
+
+
+def _listed(spark, pattern: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return [f.getPath().toString() for f in found or ()]
+
+
+def _base(spark, path: str) -> int:
+    """The last batch that a finished compaction has taken in, or -1."""
+    done = _listed(spark, f"{path}/base-*/_SUCCESS")
+    return max((int(f.split("/base-")[-1].split("/")[0]) for f in done), default=-1)
 
 
 def read_catalog(spark, path: str) -> DataFrame:
-    if not _path_exists(spark, path):
-        return spark.createDataFrame([], CATALOG)
-    return spark.read.schema(CATALOG).parquet(path)
+    """The newest compacted base and the batches since."""
+    parts, base = [], _base(spark, path)
+    if base >= 0:
+        parts.append(spark.read.schema(CATALOG).parquet(f"{path}/base-{base}"))
+    if _listed(spark, f"{path}/batch=*"):
+        later = spark.read.schema(CATALOG).option("basePath", path).parquet(f"{path}/batch=*")
+        parts.append(later.filter(F.col("batch") > base))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], CATALOG)
+
+
+def compact_catalog(spark, path: str, files: int = 1) -> None:
+    """Write all rows up to the last batch but one, which may still be run again, as a new
+    base of ``files`` files. Readers use it once it is complete; older bases and the
+    folders of its batches may then be removed."""
+    batches = sorted(int(f.split("batch=")[-1]) for f in _listed(spark, f"{path}/batch=*"))
+    if len(batches) > 1 and batches[-2] > _base(spark, path):
+        whole = read_catalog(spark, path).filter(F.col("batch") <= batches[-2])
+        whole.repartition(files).write.mode("overwrite").parquet(f"{path}/base-{batches[-2]}")
 
 
 def rejects_path(catalog_path: str) -> str:
@@ -33,40 +61,65 @@ def rejects_path(catalog_path: str) -> str:
     return f"{catalog_path.rstrip('/')}-rejects"
 
 
-def ingest_batch(catalog_path: str, max_mb: float = 512) -> Callable[[DataFrame, int], None]:
-    """Body of a ``foreachBatch``: new documents of a batch go to the catalog.
+class FirstFile(StatefulProcessor):
+    """The document of one content hash: the first file that brings it."""
 
-    Each batch owns one partition and sees only earlier ones, so a replayed batch
-    writes the same rows to the same place. Files of an unsupported kind or beyond
-    ``max_mb`` go to ``rejects_path(catalog_path)`` with the reason.
-    """
+    def init(self, handle) -> None:
+        self.owner = handle.getValueState("owner", "document_id long")
 
-    def run(files: DataFrame, batch: int) -> None:
-        spark = files.sparkSession
-        fits, large = size_filter(files, max_mb)
-        accepted, unknown = split_rejected(classify_source(fits))
-        refused = ["file_id", "filename", "mime", "size_bytes", "arrival", "reason"]
-        (large.select(refused).unionByName(unknown.select(refused)).withColumn("batch", F.lit(batch).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
-         .parquet(rejects_path(catalog_path)))
-        hashed = with_hash(accepted).select("file_id", "filename", "source_kind", "size_bytes", "sha256", "arrival")
-        earlier = read_catalog(spark, catalog_path).filter(F.col("batch") < batch).select("sha256", "document_id")
-        new = dedupe_by_hash(hashed, earlier).filter("is_new")
-        (new.select("file_id", "filename", "source_kind", "size_bytes", "sha256", "document_id",
-                    F.lit("pending").alias("status"), F.lit(batch).cast("bigint").alias("batch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
-         .parquet(catalog_path))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.owner.exists():
+            for _ in rows:
+                pass
+            return
+        first = pd.concat([f.nsmallest(1, ["arrival", "file_id"]) for f in rows if len(f)]).nsmallest(1, ["arrival", "file_id"])
+        self.owner.update((int(first["file_id"].iloc[0]),))
+        yield first[["file_id", "filename", "source_kind", "size_bytes", "sha256"]]
 
-    return run
+    def close(self) -> None:
+        pass
+
+
+def new_documents(files: DataFrame) -> DataFrame:
+    """Files of a stream whose content no earlier file had (file_id, filename, source_kind,
+    size_bytes, sha256). ``files``: these and arrival.
+
+    The owner of a hash is looked up in the state store, so what a batch reads follows the
+    batch and not the catalog; of equal files in a batch the first by (arrival, file_id) wins.
+    """
+    use_rocksdb(files.sparkSession)
+    carry_code(__name__)
+    narrow = files.select("file_id", "filename", "source_kind", "size_bytes", "sha256", "arrival")
+    return narrow.groupBy("sha256").transformWithStateInPandas(
+        FirstFile(), "file_id long, filename string, source_kind string, size_bytes long, sha256 string", "append", "None")
 
 
 def incremental_ingest(files: DataFrame, catalog_path: str, checkpoint: str, max_mb: float = 512,
                        **trigger) -> StreamingQuery:
     """Classify, limit, hash and de-duplicate files as they arrive.
 
-    ``files`` (streaming): file_id, filename, mime, size_bytes, content, arrival.
+    ``files`` (streaming): file_id, filename, mime, size_bytes, content, arrival. New
+    documents of a batch go to its partition of the catalog, files of an unsupported kind or
+    beyond ``max_mb`` with the reason to that of ``rejects_path(catalog_path)``; a batch that
+    is run again finds the state it began with and overwrites its own rows.
     """
-    return (files.writeStream.foreachBatch(ingest_batch(catalog_path, max_mb))
+    fits, large = size_filter(files, max_mb)
+    accepted, unknown = split_rejected(classify_source(fits))
+    new = new_documents(with_hash(accepted)).select(
+        F.struct("file_id", "filename", "source_kind", "size_bytes", "sha256").alias("new"))
+    refused = large.select(REFUSED).unionByName(unknown.select(REFUSED)).select(F.struct(*REFUSED).alias("refused"))
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        number = F.lit(batch).cast("bigint").alias("batch")
+        out = {catalog_path: rows.filter("new IS NOT NULL").select(
+                   "new.*", F.col("new.file_id").alias("document_id"), F.lit("pending").alias("status"), number),
+               rejects_path(catalog_path): rows.filter("refused IS NOT NULL").select("refused.*", number)}
+        for path, table in out.items():
+            (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+        rows.unpersist()
+
+    return (new.unionByName(refused, allowMissingColumns=True).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 

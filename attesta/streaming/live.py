@@ -1,11 +1,23 @@
-"""Progress, presence and event routing: the same code on tables and on streams."""
+"""Progress, presence and event routing, on tables and on streams.
+
+State of a stream is bounded by who is there: a viewer or document that has been silent for
+its time to live is dropped by an event-time timer, which for viewers says so.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from attesta.streaming.runtime import carry_code, use_rocksdb
 
 PRESENCE_TTL = "30 seconds"  # fixed value
+PRESENCE_TTL_MS = 30_000     # the same
+PROGRESS_TTL_MS = 86_400_000
 ENVELOPE = "event string, data string"
 
 
@@ -51,3 +63,102 @@ def route_events(messages: DataFrame, keys: list[str]) -> DataFrame:
 
 def channel_key(channel: Column) -> Column:
     return F.concat(F.lit("channel:"), channel.cast("string"))
+
+
+class _Expiring(StatefulProcessor):
+    """A key's state with one event-time timer, moved on whenever the key is heard of."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def keep_until(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+class PresenceProcessor(_Expiring):
+    """One viewer of one channel: the time of the last beat."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = int(self.state.get()[0]) if self.state.exists() else None
+        out = []
+        for ms in sorted(int(ms) for frame in rows for ms in frame["ms"]):
+            if last is None or ms - last >= self.ttl_ms:
+                if last is not None:
+                    out.append(("left", last + self.ttl_ms))
+                out.append(("joined", ms))
+            last = ms if last is None else max(last, ms)
+        self.state.update((last,))
+        self.keep_until(last + self.ttl_ms)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = int(self.state.get()[0])
+        self.state.clear()
+        yield self._frame(key, [("left", last + self.ttl_ms)])
+
+    @staticmethod
+    def _frame(key, events) -> pd.DataFrame:
+        return pd.DataFrame([(str(key[0]), int(key[1]), *e) for e in events], columns=["channel", "user_id", "event", "ms"])
+
+
+def stream_presence(beats: DataFrame, ttl_ms: int = PRESENCE_TTL_MS, lateness: str = "0 seconds") -> DataFrame:
+    """(channel, user_id, event, ms) with event ``joined`` or ``left``, from a stream of beats
+    (channel, user_id, ts).
+
+    A viewer has left ``ttl_ms`` after the last beat, as soon as the watermark passes that
+    time; from then on the stream holds nothing about them.
+    """
+    use_rocksdb(beats.sparkSession)
+    carry_code(__name__)
+    timed = beats.select("channel", "user_id", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", lateness)
+    return timed.groupBy("channel", "user_id").transformWithStateInPandas(
+        PresenceProcessor(ttl_ms), "channel string, user_id long, event string, ms long", "append", "EventTime")
+
+
+class ProgressProcessor(_Expiring):
+    """The latest news of one document."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("latest", "ms long, done long, status string, total long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.state.get()) if self.state.exists() else None
+        best = held
+        for frame in rows:
+            for row in frame[["ms", "done", "status", "total"]].itertuples(index=False, name=None):
+                if best is None or row[:2] > best[:2]:
+                    best = row
+        if best != held:
+            ms, done, status, total = best
+            self.state.update((int(ms), int(done), status, int(total)))
+            self.keep_until(int(ms) + self.ttl_ms)
+            yield pd.DataFrame([(int(key[0]), int(ms), status, int(done), int(total))],
+                               columns=["document_id", "ms", "status", "done", "total"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["document_id", "ms", "status", "done", "total"])
+
+
+def stream_progress(events: DataFrame, ttl_ms: int = PROGRESS_TTL_MS, lateness: str = "1 minute") -> DataFrame:
+    """(document_id, ms, status, done, total) whenever a document's latest news changes.
+
+    ``events`` (streaming): document_id, ts, status, done, total. Later news win, among equal
+    times the larger ``done``; repeated and older events say nothing. A document is forgotten
+    once the watermark is ``ttl_ms`` past its latest news.
+    """
+    use_rocksdb(events.sparkSession)
+    carry_code(__name__)
+    timed = events.select("document_id", "ts", F.unix_millis("ts").alias("ms"), "status", "done", "total")
+    return timed.withWatermark("ts", lateness).groupBy("document_id").transformWithStateInPandas(
+        ProgressProcessor(ttl_ms), "document_id long, ms long, status string, done long, total long", "append", "EventTime")

@@ -72,7 +72,7 @@ class MarkerProcessor(StatefulProcessor):
         nxt, held, cited, offered, waiting = self.state.get()
         return int(nxt), held, list(cited), list(offered), int(waiting)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         nxt, held, cited, offered, waiting = self._load()
         here: dict[int, tuple[str, bool]] = {}
         for frame in rows:
@@ -84,9 +84,9 @@ class MarkerProcessor(StatefulProcessor):
         if self.idle_ms and self.state.exists():
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, *self._load(), {}, flush=True)
 
     def _advance(self, key, nxt, held, cited, offered, waiting, here, flush):

@@ -78,7 +78,7 @@ class TurnProcessor(StatefulProcessor):
         nxt, content, waiting, ended = self.state.get()
         return int(nxt), content, int(waiting), bool(ended)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         nxt, content, waiting, ended = self._load()
         here = {}
         for frame in rows:
@@ -102,9 +102,9 @@ class TurnProcessor(StatefulProcessor):
         if wait:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + wait)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         nxt, content, waiting, ended = self._load()
         if not ended:
             # what has come is stored in its order, over the gaps, and the turn has failed
@@ -116,7 +116,7 @@ class TurnProcessor(StatefulProcessor):
             self.early.clear()
             self.state.update((nxt, "", 0, True))
             if self.keep_ms:
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.keep_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
             yield pd.DataFrame(out, columns=COLUMNS)
         else:
             self.state.clear()

@@ -159,12 +159,22 @@ def test_an_idle_turn_fails_once_and_its_tombstone_goes():
     feed = lambda at, *rows: list(turn.handleInputRows((7,), frame(*rows), _Clock(at)))
     assert feed(0, (0, "token", '{"text": "a"}'), (3, "citation", '{"idx": 1, "sid": 2}')) == []
     assert store.timers == [100] and len(store.map) == 1
-    (out,) = turn.handleExpiredTimer((7,), _Clock(120), None)
+    (out,) = turn.handleExpiredTimer(key=(7,), timerValues=_Clock(120), expiredTimerInfo=None)
     assert out[["kind", "content", "status", "error", "sid"]].astype(object).where(out.notna(), None).values.tolist() == [
         ["citation", None, None, None, 2], ["message", "a", "failed", "interrupted", None]]
     assert feed(200, (1, "token", '{"text": "late"}')) == [] and not store.map
     assert store.timers[-1] == 1200
-    assert list(turn.handleExpiredTimer((7,), _Clock(1200), None)) == [] and store.value is None
+    assert list(turn.handleExpiredTimer(key=(7,), timerValues=_Clock(1200), expiredTimerInfo=None)) == [] and store.value is None
+
+
+def test_a_silent_answer_is_flushed_by_its_timer():
+    store, answer = _Store(), M.MarkerProcessor(100)
+    answer.init(store)
+    rows = pd.DataFrame([(0, "a[S1", False, [1]), (2, "c", False, [1])], columns=["seq", "delta", "final", "offered"])
+    (out,) = answer.handleInputRows((7,), iter([rows]), _Clock(0))
+    assert out["text"].tolist() == ["a"] and store.timers == [100]
+    (out,) = answer.handleExpiredTimer(key=(7,), timerValues=_Clock(100), expiredTimerInfo=None)
+    assert out["text"].tolist() == ["[S1c"] and store.value is None
 
 
 def test_sessions_close_after_the_watermark(spark, tmp_path):
@@ -177,14 +187,70 @@ def test_sessions_close_after_the_watermark(spark, tmp_path):
     assert sorted(r.beats for r in out.collect()) == [2, 3]
 
 
-def test_ingest_is_idempotent_over_batches_and_replays(spark, tmp_path):
+def _batches(spark, path, rows, schema):
+    """A stream of one file a batch, its name in order of time."""
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, "s long, " + schema).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.parquet(
+            f"{path}/{n}")
+    shape = spark.read.parquet(f"{path}/0").schema
+    return (spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path)))
+
+
+def test_viewers_come_and_go_and_state_falls(spark, tmp_path):
+    beats = [[(0, "c", 1), (10, "c", 1), (5, "c", 2)], [(25, "c", 1), (26, "d", 1), (24, "c", 1)],
+             [(300, "c", 2)], [(310, "c", 2), (301, "c", 3), (400, "c", 3)], [(900, "e", 9)]]
+    stream = _batches(spark, tmp_path / "in", beats, "channel string, user_id long")
+    query = (L.stream_presence(stream, 30_000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = sorted((r.channel, r.user_id, r.ms // 1000 - 1_000_000, r.event) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("c", 1, 0, "joined"), ("c", 1, 55, "left"), ("c", 2, 5, "joined"), ("c", 2, 35, "left"),
+                   ("c", 2, 300, "joined"), ("c", 2, 340, "left"), ("c", 3, 301, "joined"), ("c", 3, 331, "left"),
+                   ("c", 3, 400, "joined"), ("c", 3, 430, "left"), ("d", 1, 26, "joined"), ("d", 1, 56, "left"),
+                   ("e", 9, 900, "joined")]
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) > held[-1] and held[-1] <= 2  # the last viewer and their timer
+
+
+def test_progress_keeps_the_latest_and_forgets_quiet_documents(spark, tmp_path):
+    news = [[(0, 1, "queued", 0, 9), (5, 1, "busy", 3, 9), (4, 2, "queued", 0, 5)], [(3, 1, "old", 1, 9), (5, 1, "busy", 4, 9)],
+            [(5, 1, "busy", 4, 9), (6, 2, "done", 5, 5)], [(9000, 3, "queued", 0, 1)]]
+    stream = _batches(spark, tmp_path / "in", news, "document_id long, status string, done long, total long")
+    query = (L.stream_progress(stream, 60_000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    said = {(r.document_id, r.ms // 1000 - 1_000_000, r.status, r.done) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert said == {(1, 5, "busy", 3), (2, 4, "queued", 0), (1, 5, "busy", 4), (2, 6, "done", 5), (3, 9000, "queued", 0)}
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) > held[-1] and held[-1] <= 2
+
+
+def test_ingest_is_idempotent_over_batches_restarts_and_replays(spark, tmp_path):
     schema = "file_id long, filename string, mime string, size_bytes long, content string, arrival long"
-    first = [(1, "a.pdf", None, 3, "aaa", 1), (2, "b.txt", None, 3, "aaa", 2), (3, "c.exe.unknown", None, 1, "z", 3)]
-    later = [(4, "d.md", None, 3, "aaa", 4), (5, "e.md", None, 3, "bbb", 5), (6, "f.md", None, 9 << 20, "huge", 6)]
-    body = I.ingest_batch(str(tmp_path / "catalog"), max_mb=1)
-    for batch, rows in ((0, first), (1, later), (1, later), (0, first)):
-        body(spark.createDataFrame(rows, schema), batch)
-    got = I.read_catalog(spark, str(tmp_path / "catalog")).orderBy("document_id").collect()
-    assert [(r.document_id, r.source_kind, r.batch) for r in got] == [(1, "pdf", 0), (5, "text", 1)]
-    refused = spark.read.parquet(I.rejects_path(str(tmp_path / "catalog"))).orderBy("file_id").collect()
+    first = [(1, "a.pdf", None, 3, "aaa", 2), (2, "b.txt", None, 3, "aaa", 1), (3, "c.exe.unknown", None, 1, "z", 3)]
+    later = [(4, "d.md", None, 3, "aaa", 0), (5, "e.md", None, 3, "bbb", 5), (6, "f.md", None, 9 << 20, "huge", 6)]
+    last = [(7, "g.md", None, 3, "bbb", 7), (8, "h.md", None, 3, "ccc", 8)]
+    catalog, state = str(tmp_path / "catalog"), tmp_path / "state"
+
+    def arrive(n, rows):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        files = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+                 .parquet(str(tmp_path / "in")))
+        I.incremental_ingest(files, catalog, str(state), max_mb=1).awaitTermination()
+        return [(r.document_id, r.source_kind, r.batch) for r in I.read_catalog(spark, catalog).orderBy("document_id").collect()]
+
+    assert arrive(0, first) == [(2, "text", 0)]
+    assert arrive(1, later) == [(2, "text", 0), (5, "text", 1)]
+    # the last batch was written but not committed: it runs again, over the state before it
+    for name in ("1", ".1.crc"):
+        (state / "commits" / name).unlink(missing_ok=True)
+    assert arrive(1, None) == [(2, "text", 0), (5, "text", 1)]
+    assert arrive(2, last) == [(2, "text", 0), (5, "text", 1), (8, "text", 2)]
+    refused = spark.read.parquet(I.rejects_path(catalog)).orderBy("file_id").collect()
     assert [(r.file_id, r.reason, r.batch) for r in refused] == [(3, "unsupported file type", 0), (6, "too large", 1)]
+    whole = I.read_catalog(spark, catalog).orderBy("document_id").collect()
+    I.compact_catalog(spark, catalog)
+    assert I._base(spark, catalog) == 1 and I.read_catalog(spark, catalog).orderBy("document_id").collect() == whole
+    I.compact_catalog(spark, catalog)
+    assert arrive(3, [(9, "i.md", None, 3, "ccc", 9), (10, "j.md", None, 3, "ddd", 10)])[-1] == (10, "text", 3)
