@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.operators import graphs as G
 from attesta.operators.graphs import greedy_leaders, greedy_vector_leaders
 from attesta.plans.fold import islands
 from attesta.plans.jumps import ends, follow, reachable, subtree_sizes
@@ -93,6 +94,23 @@ def test_greedy_leaders_equal_the_loop(spark, seed):
     assert {r.id: r.keeper for r in rows if not r.kept} == keeper
 
 
+def test_a_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    """Alternating fates along 20,000 nodes, a comb of side nodes, and a diamond."""
+    n, rounds, cut = 20_000, [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: rounds.append(1) or cut(df))
+    chain = spark.range(1, n).selectExpr("id - 1 AS a", "id AS b")
+    comb = spark.range(0, n, 10).selectExpr("id AS a", f"id + {n} AS b")
+    diamond = spark.createDataFrame([(n - 1, 2 * n + 1), (n - 1, 2 * n + 2), (2 * n + 1, 2 * n + 3), (2 * n + 2, 2 * n + 3),
+                                     (2 * n + 3, 2 * n + 4)], "a long, b long")
+    nodes = spark.range(n).union(comb.select("b")).union(diamond.select("b")).distinct().selectExpr("id", "id AS ord")
+    rows = greedy_leaders(nodes, chain.union(comb).union(diamond))
+    kept = rows.filter("kept")
+    assert kept.filter(f"id < {n}").count() == n // 2 and kept.filter(f"id < {n} AND id % 2 = 1").isEmpty()
+    assert kept.filter(f"id >= {n} AND id < {2 * n}").isEmpty()  # every side node hangs on a kept one
+    assert {r.id - 2 * n for r in kept.filter(f"id > {2 * n}").collect()} == {1, 2, 4}
+    assert rows.count() == n + n // 10 + 4 and len(rounds) < 50
+
+
 @pytest.mark.parametrize("batch", [3, 1000])
 def test_vector_leaders_equal_the_loop(spark, batch):
     rng = np.random.default_rng(3)
