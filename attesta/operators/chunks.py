@@ -34,8 +34,10 @@ WINDOW_S = 45
 WINDOW_SLACK = 1.6
 CLOSING = (".", "!", "?", "…", "다", "요")
 DEFAULT_LEVEL = 3
+NO_CHUNKS = "no chunks produced (document appears to contain no text)"
 
 BLOCK = 4096
+SPAN_BAND = 4096
 TEXT, HEADING, TABLE, PIECE, NEXT_PIECE = range(5)
 
 
@@ -100,11 +102,12 @@ def split_oversize(elements: DataFrame, limit: int) -> DataFrame:
     Adds ``code``, ``cut_start``, ``cut_end`` and ``piece``; only too long texts visit
     Python.
     """
-    ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+    ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
+                                       T.StructField("t", T.StringType())]))
 
     @F.pandas_udf(ranges)
     def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: pack_sentences(s, limit))
+        return text.map(lambda s: [(a, b, s[a:b]) for a, b in pack_sentences(s, limit)])
 
     plain = ~F.col("kind").isin("heading", "table")
     long = plain & (F.length("text") > limit)
@@ -112,11 +115,11 @@ def split_oversize(elements: DataFrame, limit: int) -> DataFrame:
         "*", F.when(F.col("kind") == "heading", HEADING).when(F.col("kind") == "table", TABLE)
         .otherwise(TEXT).alias("code"),
         F.lit(0).alias("cut_start"), F.length("text").alias("cut_end"), F.lit(0).alias("piece"))
-    cutup = (elements.filter(long).select("*", F.posexplode(pieces("text")).alias("piece", "__r"))
+    # the text itself is left behind before its pieces are dealt out
+    cutup = (elements.filter(long).withColumn("text", pieces("text")).select("*", F.posexplode("text").alias("piece", "__r"))
              .withColumn("code", F.when(F.col("piece") == 0, PIECE).otherwise(NEXT_PIECE))
              .withColumn("cut_start", F.col("__r.a")).withColumn("cut_end", F.col("__r.b"))
-             .withColumn("text", F.substring(F.col("text"), F.col("cut_start") + 1,
-                                             F.col("cut_end") - F.col("cut_start"))).drop("__r"))
+             .withColumn("text", F.col("__r.t")).drop("__r"))
     return whole.unionByName(cutup)
 
 
@@ -352,6 +355,14 @@ def _large_blocks(parts, row, limit, carry, block, ahead, behind) -> DataFrame:
                          F.array((F.col("__s") % 2).cast("int"), at).alias("entry"), "open")
 
 
+def chunk_outcomes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, stage, error) of every document's chunking, for ``record_stage``: a
+    document that gave no chunk with text has failed, which holds up its later stages."""
+    got = drop_blank_chunks(chunks).select("document_id").distinct().withColumn("__got", F.lit(True))
+    return documents.select("document_id").join(got, "document_id", "left").select(
+        "document_id", F.lit("chunk").alias("stage"), F.when(F.col("__got").isNull(), NO_CHUNKS).alias("error"))
+
+
 def drop_blank_chunks(chunks: DataFrame) -> DataFrame:
     """Drop chunks without text; ``ord`` keeps its gaps."""
     return chunks.filter(~is_blank("text"))
@@ -368,12 +379,22 @@ def rebase_spans(members: DataFrame, spans: DataFrame, elements: DataFrame) -> D
     box = ["x0", "y0", "x1", "y1"]
     own = spans.select(*keys, F.col("text_start").alias("__s"), F.col("text_end").alias("__e"), "page_no", *box)
     m = members.drop("page_no")
+    whole = (m.filter("NOT is_piece").join(own, keys)
+             .withColumns({"text_start": F.col("__s") + F.col("offset"), "text_end": F.col("__e") + F.col("offset")}))
+    # pieces and spans of one element meet by stretches of its text, and a pair counts in
+    # the stretch where both have begun: no element, however long, is one key
+    band = lambda at: F.floor(at / SPAN_BAND)
+    bands = lambda a, b: F.explode(F.sequence(band(a), band(F.greatest(a, b - 1)))).alias("__band")
+    pieces = m.filter("is_piece").select("*", bands(F.col("cut_start"), F.col("cut_end")))
+    spread = own.join(m.filter("is_piece").select(*keys).distinct(), keys, "left_semi").select(
+        "*", bands(F.col("__s"), F.col("__e")))
     touching = (F.col("__e") > F.col("cut_start")) & (F.col("__s") < F.col("cut_end"))
+    once = F.col("__band") == F.greatest(band(F.col("cut_start")), band(F.col("__s")))
     low = F.greatest(F.lit(0), F.col("__s") - F.col("cut_start"))
     high = F.least(F.col("cut_end"), F.col("__e")) - F.col("cut_start")
-    lined = (m.join(own, keys).filter(~F.col("is_piece") | touching)
-             .withColumn("text_start", F.when(F.col("is_piece"), low).otherwise(F.col("__s")) + F.col("offset"))
-             .withColumn("text_end", F.when(F.col("is_piece"), high).otherwise(F.col("__e")) + F.col("offset")))
+    clipped = (pieces.join(spread, [*keys, "__band"]).filter(touching & once).drop("__band")
+               .withColumns({"text_start": low + F.col("offset"), "text_end": high + F.col("offset")}))
+    lined = whole.unionByName(clipped)
     bare = m.join(lined.select("document_id", "ord", "reading_order").distinct(),
                   ["document_id", "ord", "reading_order"], "left_anti")
     boxed = (bare.join(elements.filter("x0 IS NOT NULL").select(*keys, "page_no", *box), keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.operators import catalog as C
+from attesta.operators import chunks as K
 from attesta.queries import fixtures as fx
 from attesta.queries.registry import query
 from attesta.sources import files as S
@@ -159,6 +160,26 @@ def _(spark, sf):
     return L.record_stage(old, new)
 
 
+@query("io10_failed_chunking", """
+  SELECT doc_id AS document_id, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, 1::BIGINT AS attempts,
+         CASE WHEN bad THEN 'no chunks produced (document appears to contain no text)' END AS error,
+         CASE WHEN bad THEN 'chunk' ELSE 'embed' END AS next_stage
+  FROM (SELECT doc_id, doc_id % 10 IN (4, 7) OR coalesce(trim(text, E' \\t\\r\\n'), '') = '' AS bad FROM documents)""")
+def _(spark, sf):
+    """Some documents give only a blank chunk and some none: their chunking has failed."""
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    chunks = docs.filter("document_id % 10 <> 7").withColumn(
+        "text", F.expr("CASE WHEN document_id % 10 = 4 THEN ' \\n' ELSE text END"))
+    time = F.lit(None).cast("bigint")
+    earlier = docs.select("document_id", F.explode(F.array(F.lit("convert"), F.lit("extract"))).alias("stage")).select(
+        "document_id", "stage", F.lit("done").alias("status"), F.lit(1).cast("bigint").alias("attempts"),
+        F.lit(None).cast("string").alias("error"), time.alias("started_at"), time.alias("finished_at"))
+    results = K.chunk_outcomes(docs, chunks).withColumns({"started_at": time, "finished_at": time})
+    jobs = L.record_stage(earlier, results)
+    after = L.outstanding_stages(docs, jobs).filter("is_next").select("document_id", F.col("stage").alias("next_stage"))
+    return (jobs.filter("stage = 'chunk'").select("document_id", "status", "attempts", "error").join(after, "document_id"))
+
+
 _CATALOG_SQL = """
   catalog AS (SELECT doc_id AS document_id, 'File_' || (doc_id % 97) || '.pdf' AS filename,
                      CASE doc_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'ready' END AS status,

@@ -148,6 +148,28 @@ def test_blank_chunks_leave_gaps_in_ord(spark):
     assert [r.ord for r in C.chunk_elements(df)[0].collect()] == [1]
 
 
+def test_pieces_of_one_long_element_take_their_spans(spark):
+    """One element with most pieces and spans; spans may be empty, cross stretches or cover all."""
+    rng = random.Random(8)
+    size = 40_000
+    edges = sorted({0, size, 4096, 8192, *rng.sample(range(size), 150)})
+    pieces = [(1, i, 0, a, b, 100 * i, True) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    spans = [(1, 0, a, min(size, a + rng.choice([0, 1, 30, 9000])), i) for i, a in enumerate(rng.sample(range(size), 400))]
+    spans += [(1, 0, 0, size, 1000), (1, 5, 3, 9, 1001), (2, 0, 1, 2, 1002)]
+    members = pieces + [(1, 900, 5, 0, 50, 7, False), (2, 0, 0, 0, 50, 0, False), (3, 0, 0, 0, 10, 0, True)]
+    want = set()
+    for doc, ord_, order, a, b, offset, piece in members:
+        hits = [(s, e, n) for d, o, s, e, n in spans if (d, o) == (doc, order) and (not piece or (e > a and s < b))]
+        want |= {(doc, ord_, (max(0, s - a) if piece else s) + offset, (min(b, e) - a if piece else e) + offset, n) for s, e, n in hits}
+    m = spark.createDataFrame([(*x, 1) for x in members], "document_id long, ord long, reading_order long, cut_start long, "
+                              "cut_end long, offset long, is_piece boolean, page_no long")
+    sp = spark.createDataFrame([(*x, 0.0, 0.0, 0.0, 0.0) for x in spans], "document_id long, reading_order long, text_start long, "
+                               "text_end long, page_no long, x0 double, y0 double, x1 double, y1 double")
+    none = spark.createDataFrame([], "document_id long, reading_order long, page_no long, x0 double, y0 double, x1 double, y1 double")
+    got = [(r.document_id, r.ord, r.text_start, r.text_end, r.page_no) for r in C.rebase_spans(m, sp, none).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 # --------------------------------------------------------------------- transcripts
 
 def plain_windows(segments, window):
