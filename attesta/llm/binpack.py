@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.llm.scratch import stored
-from attesta.llm.tokens import encoder, slices
+from attesta.llm.tokens import Encoder, slices
 
 #: rows of counts per length and input part that are broadcast; more are shuffled
 OFFSET_ROWS = 500_000
@@ -29,30 +29,40 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        own = encoder(tokenizer, end_id)
+        own = Encoder(tokenizer, end_id)
         seen = np.zeros(size + 1, np.int64)
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for name, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                n = len(ids) // 4
-                start, piece = 0, 0
-                while start < n:
-                    length = (n - start) % size or size
-                    rows.append((name, piece, start, length, ids[4 * start:4 * (start + length)], part, int(seen[length])))
-                    seen[length] += 1
-                    start, piece = start + length, piece + 1
-            yield _rows(rows)
-        own.forget()
+            row = 0
+            for ids, at in own.ids(batch.column(1)):
+                n = len(at) - 1
+                yield _cut(batch.column(0).slice(row, n), ids, at, size, part, seen)
+                row += n
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids binary, part int, nth long")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                      names=["doc_id", "piece", "start", "length", "ids", "part", "nth"])
+def _cut(names: pa.Array, ids: np.ndarray, at: np.ndarray, size: int, part: int, seen: np.ndarray) -> pa.RecordBatch:
+    """The pieces of a run of documents; ``seen`` counts the task's pieces by length."""
+    n = np.diff(at)
+    pieces = -(-n // size)
+    row = np.repeat(np.arange(len(n)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = n - (pieces - 1) * size
+    start = np.where(piece == 0, 0, first[row] + (piece - 1) * size)
+    length = np.where(piece == 0, first[row], size)
+    order = np.argsort(length, kind="stable")
+    runs, begin, count = np.unique(length[order], return_index=True, return_counts=True)
+    nth = np.empty(len(row), np.int64)
+    nth[order] = np.arange(len(row)) - np.repeat(begin, count) + seen[length[order]]
+    seen[runs] += count
+    data = pa.py_buffer(ids.astype("<u4"))
+    ends = np.append(at[row] + start, at[-1]) * 4  # pieces follow one another
+    binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), data])
+    return pa.RecordBatch.from_arrays(
+        [names.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), binary,
+         pa.array(np.full(len(row), part, np.int32)), pa.array(nth)],
+        names=["doc_id", "piece", "start", "length", "ids", "part", "nth"])
 
 
 def fullest(left: dict[int, int], size: int) -> list[tuple[int, int]]:

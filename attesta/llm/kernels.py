@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 MASK = (1 << 64) - 1
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 BLOCK = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
@@ -53,6 +54,19 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Give freed memory back to the machine: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``texts`` of runs of whole rows with at most ``limit`` bytes each, or one longer row."""
     data, at = texts(column)
@@ -61,6 +75,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, n
         hi = max(int(np.searchsorted(at, at[lo] + limit, "right")) - 1, lo + 1)
         yield data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
         lo = hi
+    release()
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.llm.scratch import stored
-from attesta.llm.tokens import encoder, slices
+from attesta.llm.tokens import Encoder, slices
 
 HEAD, FOOT, WIDTH = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<B")
 INDEX = "doc_id long, part int, file string, offset long, length long, first long, n_tokens long"
@@ -80,7 +80,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        own = encoder(tokenizer, end_id)
+        own = Encoder(tokenizer, end_id)
         fs, place = _open(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec")
         uri = f"{folder}/{place.rsplit('/', 1)[1]}"
         out, offset, first = None, 0, 0
@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
                 fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(place)
             at, sizes, firsts, counts = [], [], [], []
-            for ids in own.encode(batch.column(1).to_pylist()):
+            for ids in own.encode(batch.column(1)):
                 record = frame(serialise(ids))
                 out.write(record)
                 at.append(offset)
@@ -103,7 +103,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
                 [batch.column(0), pa.array([part] * n, pa.int32()), pa.array([uri] * n, pa.string()),
                  *(pa.array(x, pa.int64()) for x in (at, sizes, firsts, counts))],
                 names=["doc_id", "part", "file", "offset", "length", "first", "n_tokens"])
-        own.forget()
         if out is not None:
             out.close()
 

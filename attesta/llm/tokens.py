@@ -3,152 +3,154 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
-from string import ascii_letters
 
+import numpy as np
 import pyarrow as pa
 
-#: pieces remembered per worker process and tokenizer, in each of two generations, and the
-#: longest of them
-MEMO, LONG = 300_000, 64
-#: characters encoded together, and pieces joined into one string for the tokenizer
-ROUND, JOINED = 1 << 20, 256
-#: a character that no piece in a joined string has
-MARK = "\x01"
-#: ASCII letters, and a mark of punctuation that may follow
-WORD = re.compile(r"([A-Za-z]+)([.,;:!?]?)")
-#: a space before something that is white space neither to Unicode nor to Python
-CUT = re.compile(r" (?=[^\s\x1c-\x1f])")
+from attesta.llm.kernels import chunks
+
+#: bytes of text encoded together, pieces remembered, and code points of words of letters
+CHUNK, MEMO, LATIN = 4 << 20, 400_000, "İ"
+
+_VISIBLE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+_VISIBLE[0x21:0x7F] = _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK[list(b".,;:!?")] = True
+#: bytes that may follow a space at a cut: not white space, nor what such a character begins with
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def cut_places(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where texts are cut into pieces, all beginnings of texts and the end included.
+
+    Cuts are before a space that something visible follows, between an ASCII letter and a
+    mark of punctuation, and around a line feed between visible ASCII characters.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[:-2] |= (data[:-1] == 0x20) & _SOLID[data[1:]]
+    edge[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    breaks = np.flatnonzero((data[1:-1] == 0x0A) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]) + 1
+    edge[breaks] = edge[breaks + 1] = edge[at] = True
+    return np.flatnonzero(edge)
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
-
-    A text is cut at every space that precedes a visible character. Both kinds of tokenizer
-    used here split there in any case, before any merge is applied, so the ids of a text
-    are those of its pieces in turn, each with its space and encoded by the tokenizer
-    itself. Pieces recur, so their ids are remembered: those used since the last change of
-    generation and those of the generation before. A new piece of ASCII letters is one word to
-    the tokenizer, so its model alone is asked; other new pieces are joined with a mark
-    between them, which saves most of the cost of a call. Null and empty texts have no ids but the
-    end id, if there is one.
+    """Ids of texts, as the tokenizer gives them without special tokens added.
+
+    Both kinds of tokenizer used here split at every cut (see ``cut_places``) before any
+    merge is applied, so the ids of a text are those of its pieces in turn. Pieces of a chunk
+    of texts are numbered in one pass over their bytes; only new ones are encoded, words of
+    Latin letters by the tokenizer's model alone, and all ids are then gathered at once from
+    one flat array. Texts that name a special token are encoded whole. Null and empty texts
+    have no ids but the end id, if there is one.
     """
 
     def __init__(self, path: str, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens are ordinary text in a corpus
-        self.tokenizer.encode_special_tokens = True
-        self.end = b"" if end_id is None else array("I", [end_id]).tobytes()
-        self.mark = array("I", self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids)
-        self.young: dict[str, bytes] = {}  # by piece, without the space before it
-        self.old: dict[str, bytes] = {}
-        self.lower, self.lead = self._words_of_letters()
-        self.marks = dict(zip(".,;:!?", (x.tobytes() for x in self._ids(list(".,;:!?"))), strict=True))
-
-    def _words_of_letters(self) -> tuple[bool, str | None]:
-        """How a word of letters after a space reaches the tokenizer's model: whether in
-        lower case, and with what before it; None if not as one word."""
-        own = self.tokenizer
-        given = " aZ" if own.normalizer is None else own.normalizer.normalize_str(" aZ")
-        made = [t for t, _ in own.pre_tokenizer.pre_tokenize_str(given)] if own.pre_tokenizer else []
-        if len(made) != 1 or made[0][-2:] not in ("aZ", "az"):
-            return False, None
-        lower, lead = made[0].endswith("az"), made[0][:-2]
-        letters = [f"{a}{b}" for a in ascii_letters for b in ascii_letters] + list(ascii_letters)
-        whole = [x.ids for x in own.encode_batch_fast([f" {w}" for w in letters], add_special_tokens=False)]
-        same = all([t.id for t in own.model.tokenize(lead + (w.lower() if lower else w))] == ids
-                   for w, ids in zip(letters, whole, strict=True))
-        return lower, lead if same else None
-
-    def _word(self, word: str) -> bytes:
-        """The ids of letters after a space."""
-        ids = self.young.get(word)
-        if ids is None:
-            text = self.lead + (word.lower() if self.lower else word)
-            ids = self.young[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-        return ids
-
-    def _ids(self, texts: list[str]) -> list[array]:
-        return [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        if self.lead is not None:
-            rest = []
-            for p in pieces:
-                if found := WORD.fullmatch(p):
-                    mark = found[2]
-                    self.young[p] = self._word(found[1]) + (self.marks[mark] if mark else b"")
-                else:
-                    rest.append(p)
-            pieces = rest
-        alone = [p for p in pieces if MARK in p]
-        self.young.update((p, x.tobytes()) for p, x in zip(alone, self._ids([f" {p}" for p in alone]), strict=True))
-        plain = [p for p in pieces if MARK not in p] if alone else pieces
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        joined = self._ids([" " + f" {MARK} ".join(g) for g in groups])
-        width, last = len(self.mark), self.mark[-1]
-        for group, ids in zip(groups, joined, strict=True):
-            own, at, data = [], 0, ids.tobytes()
-            for _ in range(len(group) - 1):
-                end = ids.index(last, at)
-                while ids[max(at, end + 1 - width):end + 1] != self.mark:
-                    end = ids.index(last, end + 1)
-                own.append(data[4 * at:4 * (end + 1 - width)])
-                at = end + 1
-            own.append(data[4 * at:])
-            self.young.update(zip(group, own, strict=True))
-
-    def _round(self, texts: list[str]) -> Iterator[bytes]:
-        heads, rests = [], []
-        for text in texts:
-            head, *rest = CUT.split(text)
-            heads.append(head)
-            rests.append(rest)
-        fresh = set(chain.from_iterable(rests)).difference(self.young)
-        again = fresh.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in again)
-        fresh = list(fresh - again)
-        self._learn(fresh)
-        for first, rest in zip(self._ids(heads), rests, strict=True):
-            yield b"".join([first.tobytes(), *map(self.young.__getitem__, rest), self.end])
-        for piece in fresh:
-            if len(piece) > LONG:
-                del self.young[piece]
-        if len(self.young) > MEMO:
-            self.young, self.old = {}, self.young
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = np.array([] if end_id is None else [end_id], np.uint32)
+        self.forget()
+        self.letters = False
+        self.visible = self._byte_letters()
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.letters = self._knows_letters()
 
     def forget(self) -> None:
-        """Keep the recent pieces only: the process may go on to other work."""
-        self.old = {}
+        """Drop the memo: a worker process goes on to other work."""
+        self.known: dict[str, int] = {}
+        self.flat, self.begin = array("I"), array("q", [0])
+
+    def _byte_letters(self) -> dict[int, str]:
+        """The characters by which byte-level vocabularies name bytes: themselves where they
+        are printable in Latin-1, and those from 256 on for the others in turn."""
+        named = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        return {**{b: chr(b) for b in named}, **{b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(named)))}}
+
+    def _words(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The ids of words of letters, with or without a space before them."""
+        tokenize, space = self.tokenizer.model.tokenize, "" if self.lower else self.visible[0x20]
+        for p in pieces:
+            if self.lower:
+                p = p.lower()
+            if not p.isascii():
+                p = p.encode().decode("latin-1").translate(self.visible).replace(self.visible[0x20], " ")
+            yield [t.id for t in tokenize(space + p[1:] if p[0] == " " else p)]
+
+    def _knows_letters(self) -> bool:
+        """Whether words of Latin letters reach the model as ``_word`` hands them over."""
+        alone = [w for c in range(0x41, ord(LATIN)) if chr(c).isalpha() for w in (chr(c), f" {chr(c)}", f" a{chr(c)}Z")]
+        return list(self._words(alone)) == [x.ids for x in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are encoded."""
+        if len(self.known) > MEMO:
+            self.forget()
+        numbers = list(map(self.known.get, pieces))
+        new = [p for p, n in zip(pieces, numbers) if n is None]
+        if not new:
+            return np.array(numbers, np.int64)
+        plain = [self.letters and (p[1:] if p[:1] == " " else p).isalpha() and (p.isascii() or max(p) < LATIN) for p in new]
+        others = [p for p, w in zip(new, plain) if not w]
+        ids = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        words = self._words([p for p, w in zip(new, plain) if w])
+        flat, at = self.flat, len(self.flat)
+        for w in plain:
+            own = next(words) if w else next(ids).ids
+            flat.extend(own)
+            at += len(own)
+            self.begin.append(at)
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, cuts = len(at) - 1, cut_places(data, at)
+        cut = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = cut.dictionary_encode()
+        piece = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        begin = np.frombuffer(self.begin, np.int64)
+        sizes = (begin[1:] - begin[:-1])[piece]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        own = upto[np.searchsorted(cuts, at)]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(begin[piece] - upto[:-1], sizes) + np.arange(upto[-1])]
+        if not len(self.end):
+            return ids, own
+        offsets = own + np.arange(rows + 1)
+        out = np.full(offsets[-1], self.end[0], np.uint32)
+        ends = np.zeros(len(out), bool)
+        ends[offsets[1:] - 1] = True
+        out[~ends] = ids
+        return out, offsets
+
+    def ids(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per run of rows their ids, one after the other, and the rows' offsets in these."""
+        for data, at in chunks(column, CHUNK):
+            whole = data.tobytes()
+            if not any(s in whole for s in self.special):
+                yield self._encode(data, at)
+                continue
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                if any(s in whole[lo:hi] for s in self.special):
+                    ids = self.tokenizer.encode(whole[lo:hi].decode(), add_special_tokens=False).ids
+                    found = np.concatenate([np.array(ids, np.uint32), self.end])
+                    yield found, np.array([0, len(found)])
+                else:
+                    yield self._encode(data[lo:hi], np.array([0, hi - lo]))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        held, size = [], 0
-        for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= ROUND:
-                yield from self._round(held)
-                held, size = [], 0
-        yield from self._round(held)
-
-
-_LOADED: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, end_id: int | None) -> Encoder:
-    """One encoder per process; tasks that reuse the process share its recent pieces."""
-    if (path, end_id) not in _LOADED:
-        _LOADED[path, end_id] = Encoder(path, end_id)
-    return _LOADED[path, end_id]
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for ids, at in self.ids(pa.array(list(texts), pa.string())):
+            data = ids.astype("<u4").tobytes()
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                yield data[4 * lo:4 * hi]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller pieces, so that few texts are Python strings at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller pieces, so that few texts are encoded at a time."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)

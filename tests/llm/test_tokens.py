@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from attesta.llm import records
@@ -16,21 +17,31 @@ from attesta.llm.tokens import Encoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {f: Encoder(public_tokenizers.path(f), 2) for f in FILES}
+UNTOUCHED = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
 
 
 def plain(file, text):
-    ids = ENCODERS[file].tokenizer.encode(text or "", add_special_tokens=False).ids
+    ids = UNTOUCHED[file].encode(text or "", add_special_tokens=False).ids
     return np.array([*ids, 2], "<u4").tobytes()
 
 
 @pytest.mark.parametrize("file", FILES)
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.text(st.sampled_from("ab 'sΣé́\n\t\x01\x1c\x85  日1.,<|endoftext|>"), max_size=60), max_size=4))
+@given(texts=st.lists(st.lists(st.sampled_from([
+    *"ab 'sΣéÉİßǅ́\n\t\x01\x1c\x85\u3000\u2028  日1.,;!?-<|>", "<|endoftext|>", "<|startoftext|>", "'s", "Word", "\r\n", "Ǆ"]),
+    max_size=60).map("".join), max_size=4))
 def test_pieces_encode_like_whole_texts(file, texts):
     assert list(ENCODERS[file].encode(texts)) == [plain(file, t) for t in texts]
 
 
-def test_memo_changes_generation(monkeypatch):
+@pytest.mark.parametrize("file", FILES)
+def test_special_tokens_in_a_text_are_what_the_library_makes_of_them(file):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", None, "x<|endoftext|><|endoftext|>", "plain, words.\nNext", ""]
+    assert list(ENCODERS[file].encode(texts)) == [plain(file, t) for t in texts]
+    assert all(e.letters for e in ENCODERS.values())
+
+
+def test_memo_starts_anew(monkeypatch):
     monkeypatch.setattr("attesta.llm.tokens.MEMO", 3)
     own = Encoder(public_tokenizers.path(FILES[0]), 2)
     texts = ["one two three four five", "two nine ten", "one eleven", "q" * 200 + " " + "r" * 200]
