@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pyarrow as pa
 MASK = (1 << 64) - 1
 CHUNK = 1 << 20
 BLOCK = 1 << 17
+LONG_SPAN = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
 
@@ -82,7 +84,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of data[start:end] for spans in ascending order that don't overlap.
 
     Prefix sums of a polynomial modulo 2**64 are taken block by block, so memory beyond the
-    text itself does not depend on its length.
+    text itself does not depend on its length. Such a polynomial gives some pairs of regular
+    strings of 1,024 letters and more one value, whatever its base, so spans longer than
+    ``LONG_SPAN`` bytes are hashed by BLAKE2.
     """
     n = len(data)
     first, last = np.zeros(len(starts), np.uint64), np.zeros(len(ends), np.uint64)
@@ -106,7 +110,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         inverse = inverse * int(BACKS[len(block)]) & MASK
     first[np.searchsorted(starts, n):] = np.uint64(carry)
     last[np.searchsorted(ends, n):] = np.uint64(carry)
-    return mix((last - first) * back + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    found = mix((last - first) * back + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(ends - starts > LONG_SPAN):
+        found[i] = int.from_bytes(blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return found
 
 
 def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
