@@ -10,6 +10,7 @@ from attesta.operators import search as S
 from attesta.operators import vector_index as VI
 from attesta.plans.lineage import cut
 from attesta.queries import fixtures as fx
+from attesta.queries.checksum import CRC_STEPS, crc_of
 from attesta.queries.registry import query
 
 DIGITS = 5
@@ -81,9 +82,19 @@ def with_ctes(*ctes, body, extra=()):
 
 # ------------------------------------------------------------------------ vectors
 
-@query("ve1_embed_batches")
+@query("ve1_embed_batches", f"""WITH {CRC_STEPS},
+  items AS (SELECT -item_id - 1 AS item_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents),
+  said AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM items),
+  hashed AS (SELECT w, {crc_of("w")} AS h FROM (SELECT DISTINCT w FROM said), crc_step),
+  side AS (SELECT item_id, h % 64 AS d, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS v
+           FROM said JOIN hashed USING (w) GROUP BY 1, 2),
+  norms AS (SELECT item_id, max(CASE WHEN v <> 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS norm FROM side GROUP BY 1),
+  sizes AS (SELECT item_id, count(DISTINCT h % 250002) AS n FROM said JOIN hashed USING (w) GROUP BY 1)
+  SELECT item_id, 64 AS dim, coalesce(norm, 0.0) AS norm, coalesce(n, 0)::INTEGER AS n_tokens
+  FROM (SELECT item_id FROM items)
+       LEFT JOIN norms USING (item_id) LEFT JOIN sizes USING (item_id)""")
 def _(spark, sf):
-    out = V.embed_batches(fx.table(spark, sf, "benchmark").unionByName(
+    out = V.embed_batches(fx.table(spark, sf, "benchmark").selectExpr("-item_id - 1 AS item_id", "text").unionByName(
         fx.table(spark, sf, "documents").selectExpr("doc_id AS item_id", "text")))
     return out.select("item_id", F.size("embedding").alias("dim"),
                       F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0),
@@ -240,20 +251,21 @@ def _(spark, sf):
             .select(*_HIT_COLUMNS, "n_chars"))
 
 
-_RERANK = """scored AS (
-      SELECT h.query_id, h.chunk_id, h.hit_rank,
+def rerank_ctes(hits="hits", scored="scored", reranked="reranked"):
+    return f"""{scored} AS (
+      SELECT h.query_id, h.chunk_id, h.document_id, h.hit_rank,
              n::DOUBLE / greatest(1, m) AS rerank_score
-      FROM hits h JOIN (
+      FROM {hits} h JOIN (
         SELECT h.query_id, h.chunk_id, count(t.token) AS n
-        FROM hits h LEFT JOIN query_tokens qt ON qt.query_id = h.query_id
+        FROM {hits} h LEFT JOIN query_tokens qt ON qt.query_id = h.query_id
              LEFT JOIN tokens t ON t.chunk_id = h.chunk_id AND t.token = qt.token GROUP BY ALL)
         USING (query_id, chunk_id)
       JOIN (SELECT query_id, count(*) AS m FROM query_tokens GROUP BY ALL) USING (query_id)),
-    reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY rerank_score DESC, hit_rank) AS rerank_rank FROM scored) WHERE rerank_rank <= 10)"""
+    {reranked} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY rerank_score DESC, hit_rank) AS rerank_rank FROM {scored}) WHERE rerank_rank <= 10)"""
 
 
-@query("rt7_rerank", with_ctes(*_HYBRID, _RERANK, body="""
+@query("rt7_rerank", with_ctes(*_HYBRID, rerank_ctes(), body="""
   SELECT query_id, chunk_id, hit_rank, round(rerank_score, 6) AS rerank_score, rerank_rank FROM reranked"""))
 def _(spark, sf):
     out = R.rerank(search_hits(spark, sf), fx.queries(spark, sf))
@@ -333,18 +345,20 @@ _DEAD = IN_SCOPE.replace("AND s.document_id = c.document_id",
     dense_cte(scope=_DEAD), sparse_cte(scope=_DEAD), fused_cte(), hits_cte(),
     dense_cte("dense_all"), sparse_cte("sparse_all"), fused_cte("fused_all", "dense_all", "sparse_all"),
     hits_cte("hits_all", "fused_all"),
-    body="""SELECT query_id, chunk_id, hit_rank, out_of_scope FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY hit_rank) AS n FROM (
-        SELECT query_id, chunk_id, document_id, hit_rank, false AS out_of_scope FROM hits
-        UNION ALL
-        SELECT query_id, chunk_id, document_id, hit_rank, true FROM hits_all
-        WHERE query_id IN (SELECT query_id FROM scope) AND query_id NOT IN (SELECT query_id FROM hits)))
+    """hits_wide AS (SELECT * FROM hits_all WHERE query_id IN (SELECT query_id FROM scope)
+                  AND query_id NOT IN (SELECT query_id FROM hits))""",
+    rerank_ctes(), rerank_ctes("hits_wide", "scored_wide", "reranked_wide"),
+    body="""SELECT query_id, chunk_id, hit_rank, rerank_rank, out_of_scope FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rerank_rank) AS n FROM (
+        SELECT *, false AS out_of_scope FROM reranked UNION ALL SELECT *, true FROM reranked_wide))
       WHERE n <= CASE WHEN out_of_scope THEN 2 ELSE 4 END"""))
 def _(spark, sf):
+    """Both searches' hits are reranked before the cap."""
     q, c, s = asked(spark, sf), corpus(spark, sf), _dead_scope(spark, sf)
     hits = R.hybrid_search(q, c, scope=s, digits=DIGITS)
-    return (R.escalate(hits, q, s, c, digits=DIGITS)
-            .select("query_id", "chunk_id", F.col("hit_rank").cast("bigint").alias("hit_rank"), "out_of_scope"))
+    out = R.escalate(hits, q, s, c, digits=DIGITS, scorer=R.overlap_scorer)
+    return out.select("query_id", "chunk_id", F.col("hit_rank").cast("bigint").alias("hit_rank"),
+                      F.col("rerank_rank").cast("bigint").alias("rerank_rank"), "out_of_scope")
 
 
 @query("rt12_retry_rounds")
