@@ -6,12 +6,19 @@ Boxes are (x0, y0, x1, y1) in points, origin top-left. Pages are keyed by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions.text import is_blank, lstrip, round_tenths, rstrip, strip
 from attesta.operators.graphs import greedy_leaders
-from attesta.plans.fold import annotate_sorted, islands
+from attesta.plans.fold import islands, together
 from attesta.plans.lineage import cut
 from attesta.plans.quantile import exact_median
 from attesta.plans.scan import by_position, number_rows, previous_row, running
@@ -30,6 +37,7 @@ PAGE = ["document_id", "page_no"]
 BLOCK = [*PAGE, "block_no"]
 BOX = ["x0", "y0", "x1", "y1"]
 BAND = 64.0
+PAGE_ROWS = 20_000  # fragments of a page that one task takes as they are
 
 
 # --------------------------------------------------------------------------- pages
@@ -289,19 +297,111 @@ class _Rows:
         return found
 
 
-def merge_visual_lines(fragments: DataFrame) -> DataFrame:
+def _reach(key: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest end among the earlier rows of a row's key; -inf for its first."""
+    order = np.argsort(end, kind="stable")
+    rank = np.empty(len(end), np.int64)
+    rank[order] = np.arange(len(end))
+    highest = np.maximum.accumulate(rank + key * len(end)) - key * len(end)
+    out = np.full(len(end), -np.inf)
+    same = key[1:] == key[:-1]
+    out[1:][same] = end[order][highest[:-1][same]]
+    return out
+
+
+def _visual_rows(first: np.ndarray, y0: np.ndarray, y1: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The visual row of each fragment, numbered through. ``first`` marks where a stretch
+    begins that touches nothing before it.
+
+    Most stretches are one row: every fragment overlaps enough with the box of those before
+    it, which is checked for all at once. Only the others are gone through one by one."""
+    starts = np.flatnonzero(first)
+    size = np.diff(np.append(starts, len(first)))
+    top = np.repeat(y0[starts], size)
+    low = np.minimum(reach - top, y1 - y0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        fits = first | ((low > 0) & ((np.minimum(reach, y1) - np.maximum(top, y0)) / low > SAME_ROW))
+    one = np.logical_and.reduceat(fits, starts)
+    made, own = np.ones(len(starts), np.int64), np.zeros(len(first), np.int64)
+    for i in np.flatnonzero(~one):
+        a, z = starts[i], starts[i] + size[i]
+        own[a:z] = _Rows().rows(y0[a:z].tolist(), y1[a:z].tolist())
+        made[i] = own[a:z].max() + 1
+    return own + np.repeat(np.cumsum(made) - made, size)
+
+
+def _lines_of(part: pa.RecordBatch, keys: list[str], row: np.ndarray) -> pa.RecordBatch:
+    """The finished line of each row: texts from left to right, box and mean confidence."""
+    value = {c: np.asarray(part.column(c), dtype=np.float64) for c in BOX}
+    order = np.lexsort((value["y0"], value["x0"], row))
+    r, x, y = row[order], value["x0"][order], value["y0"][order]
+    tied = np.flatnonzero((r[1:] == r[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1]))
+    if len(tied):  # of fragments in one place the lesser text comes first
+        raw = part.column("text").take(pa.array(order)).to_pylist()
+        for run in np.split(tied, np.flatnonzero(np.diff(tied) > 1) + 1):
+            a, z = run[0], run[-1] + 2
+            order[a:z] = order[a:z][sorted(range(z - a), key=lambda i: raw[a + i] or "")]
+    begin = np.flatnonzero(np.diff(r, prepend=-1))
+    said = part.column("__said").take(pa.array(order))
+    full = np.asarray(pc.fill_null(pc.not_equal(said, ""), False))
+    at = np.append(np.concatenate([[0], np.cumsum(full)])[begin], full.sum()).astype(np.int32)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), said.filter(pa.array(full))), " ")
+    known = np.asarray(pc.is_valid(part.column("conf")))[order]
+    conf = np.asarray(pc.fill_null(part.column("conf"), 0.0), dtype=np.float64)[order]
+    n = np.add.reduceat(known, begin, dtype=np.int64)
+    mean = np.divide(np.add.reduceat(conf, begin), n, where=n > 0, out=np.zeros(len(begin)))
+    head = part.take(pa.array(order[begin]))
+    box = [np.minimum.reduceat(value[c][order], begin) for c in BOX[:2]] + [np.maximum.reduceat(value[c][order], begin) for c in BOX[2:]]
+    return pa.RecordBatch.from_arrays([*(head.column(k) for k in keys), text, *map(pa.array, box), pa.array(mean, mask=n == 0)],
+                                      names=[*keys, "text", *BOX, "conf"])
+
+
+def merge_visual_lines(fragments: DataFrame, block: int = PAGE_ROWS) -> DataFrame:
     """Join the fragments of one visual line: (page, text, box, conf).
 
     Which row takes a fragment depends on order, but only among fragments that touch
-    vertically: pages are cut into such islands, each streamed through the running
-    boxes of its open rows. The rows are then put together by ordinary grouping.
+    vertically. A page's fragments are shuffled to one task, sorted, and leave it as finished
+    lines, one stretch of touching fragments after the other. Pages of more than ``block``
+    fragments are cut into such stretches first, which then spread over tasks.
     """
-    cutup = islands(fragments.select(*PAGE, "text", *BOX, "conf"), PAGE, "y0", "y1")
-    placed = annotate_sorted(cutup, [*PAGE, "island"], ["y0", "x0", "y1", "x1"], ["y0", "y1"], _Rows, "row")
-    pieces = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("x0", "y0", "text"))),
-                                  lambda f: strip(f["text"])), lambda t: t != "")
-    return placed.groupBy(*PAGE, "island", "row").agg(
-        F.array_join(pieces, " ").alias("text"), *union_box(), F.avg("conf").alias("conf")).drop("island", "row")
+    slim = fragments.select(*PAGE, "text", *[F.col(c).cast("double").alias(c) for c in BOX], "conf")
+    slim = slim.withColumn("__said", strip("text"))
+    large = slim.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block).select(*PAGE)
+    large = cut(large)
+    if large.isEmpty():
+        return _merged(slim, PAGE)
+    few = slim.join(large, PAGE, "left_anti")
+    cutup = islands(slim.join(large, PAGE, "left_semi"), PAGE, "y0", "y1")
+    return _merged(few, PAGE).unionByName(_merged(cutup, [*PAGE, "island"]).drop("island"))
+
+
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None:
+                return
+            key = np.zeros(held.num_rows, np.int64)
+            for k in keys:
+                c = held.column(k)
+                key[1:] |= np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), True))
+            key = np.cumsum(key)
+            y0, y1 = (np.asarray(held.column(c), dtype=np.float64) for c in ("y0", "y1"))
+            reach = _reach(key, y1)
+            first = (np.diff(key, prepend=-1) != 0) | (y0 >= reach)
+            # the last stretch may go on in the next batch
+            done = len(key) if batch is None else int(np.flatnonzero(first)[-1])
+            if done:
+                whole = held.slice(0, done)
+                yield _lines_of(whole, keys, _visual_rows(first[:done], y0[:done], y1[:done], reach[:done]))
+            held = held.slice(done)
+
+    out = T.StructType([*rows.select(*keys, "text", *BOX).schema.fields, T.StructField("conf", T.DoubleType())])
+    return (rows.transform(together, keys).sortWithinPartitions(*keys, "y0", "x0", "y1", "x1").mapInArrow(run, out))
 
 
 def ocr_heading(text: Column, height: Column, body: Column, n_lines: Column | int = 1) -> Column:

@@ -16,10 +16,13 @@ _UP = """up AS (
 _PATH = "path AS (SELECT c.channel_id, k.id, k.depth FROM channels c JOIN chain k ON k.target = c.active_leaf_id)"
 
 
-@query("mt1_ancestors", fx.sql("messages", body=f"WITH RECURSIVE {_UP} SELECT target, id, depth FROM chain"))
+@query("mt1_ancestors", fx.sql("messages", body=f"""WITH RECURSIVE {_UP}
+  SELECT target, id, depth FROM chain WHERE target NOT IN (SELECT parent_id FROM messages WHERE parent_id IS NOT NULL)"""))
 def _(spark, sf):
+    """The whole branch of every message that nobody has answered."""
     m = fx.messages(spark, sf)
-    return T.ancestors(m, m.select(F.col("id").alias("target")))
+    last = m.join(m.select(F.col("parent_id").alias("id")), "id", "left_anti")
+    return T.ancestors(m, last.select(F.col("id").alias("target")))
 
 
 @query("mt2_active_path", fx.sql("messages", "channels", body=f"""WITH RECURSIVE {_UP}, {_PATH}

@@ -55,7 +55,8 @@ def plain_rows(frags):
                   for row in rows)
 
 
-def test_visual_lines_equal_the_loop(spark):
+@pytest.mark.parametrize("block,batch", [(20_000, 10_000), (50, 10_000), (20_000, 7)])
+def test_visual_lines_equal_the_loop(spark, block, batch):
     rng = random.Random(11)
     frags = []
     for i in range(400):
@@ -63,10 +64,25 @@ def test_visual_lines_equal_the_loop(spark):
         frags.append((x, y, x + 20, y + rng.uniform(4, 25), f"w{i}"))
     df = spark.createDataFrame([(1, 1, t, x0, y0, x1, y1, 0.9) for x0, y0, x1, y1, t in frags],
                                "document_id long, page_no long, text string, x0 double, y0 double, x1 double, y1 double, conf double")
-    got = sorted((r.text, r.y0, r.y1) for r in L.merge_visual_lines(df).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted((r.text, r.y0, r.y1) for r in L.merge_visual_lines(df, block).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == plain_rows(frags)
 
 
+def test_visual_lines_of_neat_rows_blanks_and_ties(spark):
+    frags = [(1, 1, " b ", 5.0, 0.0, 9.0, 10.0, 0.5), (1, 1, "a", 5.0, 0.0, 9.0, 10.0, None), (1, 1, "  ", 0.0, 1.0, 4.0, 11.0, 0.7),
+             (1, 1, "flat", 0.0, 3.0, 4.0, 3.0, 0.1), (1, 1, "next", 1.0, 20.0, 4.0, 30.0, 1.0), (1, 2, "page", 0.0, 5.0, 1.0, 15.0, None),
+             (2, 1, None, 0.0, 5.0, 1.0, 15.0, 0.4)]
+    df = spark.createDataFrame(frags, "document_id long, page_no long, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    got = sorted((r.document_id, r.page_no, r.text, r.x0, r.y0, r.x1, r.y1, r.conf and round(r.conf, 9)) for r in L.merge_visual_lines(df).collect())
+    assert got == [(1, 1, "b a", 0.0, 0.0, 9.0, 11.0, 0.6), (1, 1, "flat", 0.0, 3.0, 4.0, 3.0, 0.1), (1, 1, "next", 1.0, 20.0, 4.0, 30.0, 1.0),
+                   (1, 2, "page", 0.0, 5.0, 1.0, 15.0, None), (2, 1, "", 0.0, 5.0, 1.0, 15.0, 0.4)]
+    assert L.merge_visual_lines(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text,height,want", [
     ("제3조 (대금지급 조건)", 10.0, True), (" 제 12 조（해지）", 10.0, True), ("제3항 (대금)", 10.0, False),
     ("Title", 11.5, True), ("Title", 11.0, False), ("제3조 (" + "가" * 130, 10.0, False)])
