@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator_and_the_pipeline():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(QUERIES) <= set(names) and len(P.STAGES) == 5
 
@@ -73,3 +73,26 @@ def test_a_text_with_many_copies_is_left_once(spark, tmp_path):
     packed = P.STAGES[-1][1](spark, docs, sf)
     ids = [r.doc_id for r in packed.collect()]
     assert 1000 in ids and not set(range(1001, 1050)) & set(ids)
+
+
+CLASHING = ["score", "evidence", "n_lines", "n_dropped", "n_words", "n_hit", "items", "spans", "component_id", "lines", "label"]
+
+
+def test_columns_of_any_name_keep_their_values(spark, tmp_path):
+    tables(spark, tmp_path)
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").drop("n_chars").withColumns(
+        {c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in CLASHING})
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        assert docs.where(" OR ".join(f"NOT ({c} <=> concat('{c}', coalesce(doc_id, -1)))" for c in CLASHING)).isEmpty()
+
+
+def test_no_documents(spark, tmp_path):
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for name, stage in P.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
