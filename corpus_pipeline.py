@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,28 +20,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOXIC = 0.3
 END, SEQUENCE = 2, 1024
+KEPT = ["doc_id", "text"]
 
 
-def recounted(docs: DataFrame) -> DataFrame:
-    """n_chars as the text now is; null texts keep what they have."""
-    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+def held(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct: a stage's own columns, whatever
+    they are called, then meet none of the documents'."""
+    rest = [c for c in docs.columns if c not in KEPT]
+    return docs.select(*KEPT, F.struct(*rest, F.lit(None).cast("int").alias("__none")).alias("__row"))
+
+
+def freed(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, with the text as it now is. n_chars counts it, where
+    there is such a column; null texts keep what they have."""
+    out = found.select(*[F.col(c) if c in KEPT else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below ``TOXIC``; null texts are scored as empty."""
+    """Documents whose toxicity score is below ``TOXIC``. Null texts are scored as empty ones;
+    equal texts have equal scores, so repeated rows stay or go together; no documents, or
+    none with a label, give a score of 0 and all stay."""
     model = toxicity.fit(docs, toxic_labels(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+    return freed(toxicity.score(held(docs), model).where(F.col("score") < TOXIC), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that ten documents or more have in common. Documents with
-    the same lines count once: which of the copies stays is decided by the next stage."""
-    return recounted(drop_common_lines(docs, least=10, copies_once=True).select(docs.columns))
+    the same lines count once: which of the copies stays is decided by the next stage. Null
+    stays null; a text all of whose lines are common stays as an empty one."""
+    return freed(drop_common_lines(held(docs), least=10, copies_once=True), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of documents linked by a Jaccard similarity of 0.8 or more on
-    5-word shingles, the one with the smallest id; documents without words all stay."""
+    5-word shingles, the one with the smallest id, or every row of it that repeats that id
+    and text; documents without words, null texts among them, and rows without an id that
+    are linked with nothing all stay."""
     found = near_duplicates(docs, width=5, percent=80)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
@@ -51,12 +67,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of phrases of the benchmark."""
-    return recounted(remove_leaks(docs, table(spark, sf_dir, "benchmark"), window=10))
+    """All documents, without the words of phrases of the benchmark. Null and empty texts stay
+    as they are; an empty benchmark changes nothing."""
+    return freed(remove_leaks(held(docs), table(spark, sf_dir, "benchmark"), window=10), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, their token ids, and their places in sequences."""
+    """Every document's pieces, their token ids, and their places in sequences. Null and empty
+    texts make one piece of one token; repeated rows are packed as often as they come."""
+    import public_tokenizers  # only this stage needs its files
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END, SEQUENCE)
 
 
