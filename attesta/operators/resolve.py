@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import clip, strip
@@ -18,6 +18,7 @@ MIN_SIMILARITY = 0.55
 SNIPPET_CHARS = 400
 SAME_LINE = 0.6
 
+GROUP_RECTS = 20_000  # rectangles of a citation on a page that one task takes as they are
 CLAIM_ROWS = 20_000  # claims carry a vector each, so fewer of them are small
 
 CITE = ["message_id", "idx"]
@@ -77,26 +78,38 @@ class _Lines:
         return found
 
 
-def merge_same_line(rects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def merge_same_line(rects: DataFrame, keys: list[str] | None = None, block: int = GROUP_RECTS) -> DataFrame:
     """Join rectangles that lie on one line of text: (keys, page_no, x0, y0, x1, y1).
 
-    A page is cut into islands of vertically touching rectangles first; only inside
-    one does the order matter.
+    A citation's rectangles on a page stream through the running box of the current line.
+    Groups of more than ``block`` are cut into islands of vertically touching rectangles
+    first, which spread over tasks; only inside one does the order matter.
     """
     keys = [*(keys or CITE), "page_no"]
     order = ["y0", "x0", "x1", "y1"]
-    cutup = islands(rects.select(*keys, *order), keys, "y0", "y1")
-    lines = annotate_sorted(cutup, [*keys, "island"], order, ["y0", "y1"], _Lines, "line")
-    return lines.groupBy(*keys, "island", "line").agg(
+    slim = rects.select(*keys, *order)
+    large = cut(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block).select(*keys))
+    if large.isEmpty():
+        return _lines(slim, keys, keys)
+    cutup = islands(slim.join(large, keys, "left_semi"), keys, "y0", "y1")
+    return _lines(slim.join(large, keys, "left_anti"), keys, keys).unionByName(_lines(cutup, [*keys, "island"], keys))
+
+
+def _lines(rects: DataFrame, groups: list[str], keys: list[str]) -> DataFrame:
+    placed = annotate_sorted(rects, groups, ["y0", "x0", "x1", "y1"], ["y0", "y1"], _Lines, "line")
+    return placed.groupBy(*groups, "line").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
-        F.max("y1").alias("y1")).drop("island", "line")
+        F.max("y1").alias("y1")).select(*keys, "x0", "y0", "x1", "y1")
+
+
+def _times(start: str, end: str) -> list[Column]:
+    timed = F.col("t_start_ms").isNotNull() & F.col("t_end_ms").isNotNull()
+    return [F.min(F.when(timed, F.col("t_start_ms"))).alias(start), F.max(F.when(timed, F.col("t_end_ms"))).alias(end)]
 
 
 def time_range(hits: DataFrame) -> DataFrame:
     """(message_id, idx, t_start_ms, t_end_ms) over spans that have both times."""
-    timed = F.col("t_start_ms").isNotNull() & F.col("t_end_ms").isNotNull()
-    return hits.groupBy(*CITE).agg(F.min(F.when(timed, F.col("t_start_ms"))).alias("t_start_ms"),
-                                   F.max(F.when(timed, F.col("t_end_ms"))).alias("t_end_ms"))
+    return hits.groupBy(*CITE).agg(*_times("t_start_ms", "t_end_ms"))
 
 
 def snippet(citations: DataFrame, picks: DataFrame) -> DataFrame:
@@ -118,9 +131,10 @@ def resolve_citations(citations: DataFrame, sentences: DataFrame, spans: DataFra
     hits = cut(spans_for(citations, picks, spans))
     boxed = hits.filter("page_no IS NOT NULL AND x0 IS NOT NULL")
     rects = merge_same_line(boxed)
-    first_page = boxed.groupBy(*CITE).agg(F.min("page_no").alias("page_no"))
-    times = time_range(hits).withColumnRenamed("t_start_ms", "__a").withColumnRenamed("t_end_ms", "__b")
-    out = (snippet(citations, picks).join(first_page, CITE, "left").join(times, CITE, "left")
+    # page and times of a citation are one aggregate over its spans
+    has_box = F.col("page_no").isNotNull() & F.col("x0").isNotNull()
+    found = hits.groupBy(*CITE).agg(F.min(F.when(has_box, F.col("page_no"))).alias("page_no"), *_times("__a", "__b"))
+    out = (snippet(citations, picks).join(found, CITE, "left")
            .withColumn("page_no", F.coalesce("page_no", "page_from"))
            .withColumn("t_start_ms", F.coalesce("__a", "t_start_ms"))
            .withColumn("t_end_ms", F.coalesce("__b", "t_end_ms"))
