@@ -361,7 +361,56 @@ def _(spark, sf):
                       F.col("rerank_rank").cast("bigint").alias("rerank_rank"), "out_of_scope")
 
 
-@query("rt12_retry_rounds")
+def _search_sql(name, act, scoped):
+    """Hits of the questions of ``act`` (query_id; src: whose words are asked), reranked."""
+    inside = "" if not scoped else """AND (a.unscoped OR EXISTS (SELECT 1 FROM scope s WHERE s.query_id = a.query_id
+        AND a.query_id % 7 <> 2 AND s.document_id = c.document_id))"""
+    ranked = "SELECT query_id, chunk_id, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rnk FROM"
+    return [f"""dense_{name} AS ({ranked} (
+        SELECT a.query_id, c.chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 5) AS score
+        FROM {act} a JOIN queries q ON q.query_id = a.src, chunks c
+        WHERE c.embedding IS NOT NULL AND c.status = 'ready' {inside})) WHERE rnk <= 100)""",
+            f"""sparse_{name} AS ({ranked} (
+        SELECT a.query_id, c.chunk_id, coalesce(p.score, 0.0) AS score
+        FROM {act} a CROSS JOIN chunks c LEFT JOIN (
+          SELECT a.query_id, t.chunk_id, sum(qt.w * t.w) AS score
+          FROM {act} a JOIN query_tokens qt ON qt.query_id = a.src JOIN tokens t USING (token) GROUP BY ALL) p
+          ON p.query_id = a.query_id AND p.chunk_id = c.chunk_id
+        WHERE c.status = 'ready' AND c.chunk_id % 19 > 0 {inside})) WHERE rnk <= 100)""",
+            fused_cte(f"fused_{name}", f"dense_{name}", f"sparse_{name}"), hits_cte(f"hits_{name}", f"fused_{name}", 10),
+            f"words_{name} AS (SELECT a.query_id, qt.token FROM {act} a JOIN query_tokens qt ON qt.query_id = a.src)",
+            rerank_ctes(f"hits_{name}", f"scored_{name}", f"best_{name}").replace("query_tokens", f"words_{name}")]
+
+
+def _round_sql(n):
+    """One round: the scoped search, the widened one where that found nothing, and who goes on."""
+    return [*_search_sql(n, f"act{n}", True),
+            f"""lost{n} AS (SELECT * FROM act{n} WHERE query_id IN (SELECT query_id FROM scope)
+                   AND query_id NOT IN (SELECT query_id FROM hits_{n}))""",
+            *_search_sql(f"w{n}", f"lost{n}", False),
+            f"""found{n} AS (SELECT *, {n} AS round FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rerank_rank) AS nth FROM (
+          SELECT *, false AS wide FROM best_{n} UNION ALL SELECT *, true FROM best_w{n}))
+        WHERE nth <= CASE WHEN wide THEN 2 ELSE 4 END)""",
+            f"""act{n + 1} AS (SELECT query_id, CASE WHEN stuck THEN src ELSE nsrc END AS src, unscoped OR widen AS unscoped,
+                      was_wide OR widen AS widened FROM (
+        SELECT *, stuck AND has_scope AND NOT unscoped AND NOT was_wide AS widen FROM (
+          SELECT a.*, n.query_id AS nsrc, a.widened OR f.w AS was_wide, trim(n.text) IN ('', o.text) AS stuck,
+                 a.query_id IN (SELECT query_id FROM scope) AS has_scope
+          FROM act{n} a JOIN (SELECT query_id, bool_or(wide) AS w FROM found{n} GROUP BY 1) f USING (query_id)
+               JOIN queries o ON o.query_id = a.src
+               JOIN queries n ON n.query_id = a.query_id + CASE (a.query_id + {n}) % 3 WHEN 1 THEN 1 WHEN 2 THEN 0 END))
+        WHERE NOT stuck OR widen)"""]
+
+
+@query("rt12_retry_rounds", with_ctes(
+    "act1 AS (SELECT q.query_id, q.query_id AS src, f.unscoped, false AS widened FROM queries q JOIN scope_flags f USING (query_id))",
+    *_round_sql(1), *_round_sql(2), *_round_sql(3),
+    "every AS (SELECT * FROM found1 UNION ALL SELECT * FROM found2 UNION ALL SELECT * FROM found3)",
+    body="""SELECT query_id, round::BIGINT AS round, chunk_id, document_id, rerank_rank,
+      query_id IN (SELECT query_id FROM scope) AND NOT EXISTS (SELECT 1 FROM scope s WHERE s.query_id = e.query_id
+        AND e.query_id % 7 <> 2 AND s.document_id = e.document_id) AS out_of_scope
+    FROM every e JOIN (SELECT query_id, max(round) AS round FROM every GROUP BY 1) USING (query_id, round)"""))
 def _(spark, sf):
     """Judgements: a third sufficient; else the next question's text, itself, or blank.
     Every round reranks its hits before the cap."""
