@@ -167,10 +167,10 @@ def test_interleaving_equals_taking_turns(spark):
 
 
 def test_sparse_text_form(spark):
-    df = spark.sql("""SELECT * FROM VALUES (1, map('5', 0.5D, '1', 0.25D)), (2, map('3', 0.75D)),
-        (3, map('7', 1234567.0D, '2', 0.0D)) t(id, w)""")
+    df = spark.sql("""SELECT * FROM VALUES (1, map('40', 2.125D, '11', 0.0625D)), (2, map('0', 3.0D)),
+        (3, map('8', 98765432.0D, '6', 0.0D, '19', -1.0D)) t(id, w)""")
     got = [r[0] for r in df.orderBy("id").select(V.sparsevec_text(V.normalise_sparse("w"), 100)).collect()]
-    assert got == ["{2:0.25,6:0.5}/100", "{4:0.75}/100", "{8:1.23457e+06}/100"]
+    assert got == ["{12:0.0625,41:2.125}/100", "{1:3}/100", "{9:9.87654e+07}/100"]
     empty = spark.sql("SELECT map_from_arrays(array(), array()) w").select(F.col("w").cast("map<int,double>").alias("w"))
     assert empty.select(V.sparsevec_text("w", 250002)).first()[0] == "{}/250002"
 
