@@ -65,9 +65,9 @@ def test_shards_differ_by_one_row_at_most(docs_of, odd):
 def test_one_more_shard_moves_few_rows(docs_of):
     docs = docs_of([(i, "") for i in range(4000)]).select("doc_id")
     a, b = ({r.doc_id: r.shard for r in ring_of(docs, n)[0]} for n in (24, 25))
-    # the plain ring moves a 25th; overflow from near-full shards adds to it, dealing anew moves 24/25
+    # the plain ring moves a 25th; overflow from near-full shards adds half as much, dealing anew moves 24/25
     moved = sum(a[i] != b[i] for i in a)
-    assert moved < 0.5 * len(a), moved
+    assert len(a) // 25 <= moved < 0.1 * len(a), moved
 
 
 def test_few_rows_and_none(docs_of):
