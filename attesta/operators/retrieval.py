@@ -138,6 +138,19 @@ def rerank(hits: DataFrame, questions: DataFrame, scorer: Scorer = overlap_score
                  [F.desc_nulls_last("rerank_score"), F.asc("hit_rank")], k, rank="rerank_rank")
 
 
+def search(questions: DataFrame, chunks: DataFrame, scope: DataFrame | None = None, k: int = SEARCH_TOP_K, *,
+           scorer: Scorer | None = None, digits: int | None = None,
+           columns: tuple[str, ...] = ("document_id", "text")) -> DataFrame:
+    """Direct search, without rounds or caps: the k hits of every question, in the order of
+    ``hit_rank``, or with ``scorer`` reranked and in the order of ``rerank_rank``.
+
+    ``scope`` comes from ``topic_scope`` or lists documents; ``questions`` then say by
+    ``unscoped`` who sees everything. ``columns`` needs the text for a scorer.
+    """
+    hits = hybrid_search(questions, chunks, k, scope=scope, columns=columns, digits=digits)
+    return hits if scorer is None else rerank(hits, questions, scorer, k)
+
+
 def dedupe_cap(hits: DataFrame, max_per_document: int | None = None, *,
                order: str = "hit_rank", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """First occurrence of each chunk, then at most n chunks per document, in order."""

@@ -251,7 +251,7 @@ def _(spark, sf):
             .select(*_HIT_COLUMNS, "n_chars"))
 
 
-def rerank_ctes(hits="hits", scored="scored", reranked="reranked"):
+def rerank_ctes(hits="hits", scored="scored", reranked="reranked", k=10):
     return f"""{scored} AS (
       SELECT h.query_id, h.chunk_id, h.document_id, h.hit_rank,
              n::DOUBLE / greatest(1, m) AS rerank_score
@@ -262,7 +262,7 @@ def rerank_ctes(hits="hits", scored="scored", reranked="reranked"):
         USING (query_id, chunk_id)
       JOIN (SELECT query_id, count(*) AS m FROM query_tokens GROUP BY ALL) USING (query_id)),
     {reranked} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY rerank_score DESC, hit_rank) AS rerank_rank FROM {scored}) WHERE rerank_rank <= 10)"""
+        ORDER BY rerank_score DESC, hit_rank) AS rerank_rank FROM {scored}) WHERE rerank_rank <= {k})"""
 
 
 @query("rt7_rerank", with_ctes(*_HYBRID, rerank_ctes(), body="""
@@ -319,18 +319,32 @@ _BY_TOPIC = """AND (EXISTS (SELECT 1 FROM combined s WHERE s.query_id = q.query_
                     OR (q.query_id % 3 = 0 AND (q.query_id % 4 = 0 OR q.query_id % 5 = 0)))"""
 
 
+def _direct(spark, sf, scorer):
+    """A question with neither documents nor topics is unscoped."""
+    q = asked(spark, sf, False).withColumn(
+        "unscoped", F.expr("query_id % 3 = 0 AND (query_id % 4 = 0 OR query_id % 5 = 0)"))
+    return R.search(q, corpus(spark, sf), _topic_scope(spark, sf), scorer=scorer, digits=DIGITS)
+
+
 @query("rt10_search", with_ctes(
     _TOPIC_SCOPE, dense_cte(k=100, scope=_BY_TOPIC), sparse_cte(k=100, scope=_BY_TOPIC), fused_cte(),
     hits_cte(k=20), extra=("doc_topics",), body="SELECT query_id, chunk_id, document_id, score, hit_rank FROM hits"))
 def _(spark, sf):
-    """Direct search; a question with neither documents nor topics is unscoped."""
-    q = asked(spark, sf, False).withColumn(
-        "unscoped", F.expr("query_id % 3 = 0 AND (query_id % 4 = 0 OR query_id % 5 = 0)"))
-    out = R.hybrid_search(q, corpus(spark, sf), R.SEARCH_TOP_K, scope=_topic_scope(spark, sf), digits=DIGITS)
+    out = _direct(spark, sf, None)
     return out.select("query_id", "chunk_id", "document_id", "score",
                       F.col("hit_rank").cast("bigint").alias("hit_rank"))
 
 
+@query("rt10_search_reranked", with_ctes(
+    _TOPIC_SCOPE, dense_cte(k=100, scope=_BY_TOPIC), sparse_cte(k=100, scope=_BY_TOPIC), fused_cte(),
+    hits_cte(k=20), rerank_ctes(k=20), extra=("doc_topics",),
+    body="SELECT query_id, chunk_id, document_id, hit_rank, round(rerank_score, 6) AS rerank_score, rerank_rank FROM reranked"))
+def _(spark, sf):
+    out = _direct(spark, sf, R.overlap_scorer)
+    return out.select("query_id", "chunk_id", "document_id", F.col("hit_rank").cast("bigint").alias("hit_rank"),
+                      F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("bigint").alias("rerank_rank"))
+
+
 def _dead_scope(spark, sf):
     """Every seventh question names only documents that do not exist."""
     return fx.scope(spark, sf).withColumn(
