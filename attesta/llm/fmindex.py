@@ -183,12 +183,25 @@ FOUND = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
 
-def _search(phrases: Phrases):
-    """A column function: texts and spans found before, to FOUND with these joined in.
-    Each shard of an Arrow batch has an index of its own."""
+CLEANED = T.StructType([*FOUND.fields, T.StructField("kept", T.StringType())])
+
+
+def _without(data: bytes, spans: list[dict]) -> str:
+    """A text without byte ranges, which begin and end between characters."""
+    at, kept = 0, []
+    for cut in spans:
+        kept.append(data[at:cut["start"]])
+        at = cut["end"]
+    return b"".join([*kept, data[at:]]).decode("utf-8")
+
+
+def _search(phrases: Phrases, clean: bool = False):
+    """A column function: texts and spans found before, to FOUND with these joined in, and
+    if ``clean`` with the text without its spans, where it has any. Each shard of an Arrow
+    batch has an index of its own."""
     kinds = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    @F.arrow_udf(FOUND)
+    @F.arrow_udf(CLEANED if clean else FOUND)
     def search(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, old_spans, old_items in parts:
             out, row = [], 0
@@ -211,8 +224,11 @@ def _search(phrases: Phrases):
                     out.append({"n_words": int(hi - lo), "n_hit": int(own.sum()), "items": sorted(named),
                                 "spans": [{"start": int(starts[a] - at[i]), "end": int(ends[b] - at[i])}
                                           for a, b in zip(opened, closed, strict=True)]})
-            yield pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
-                                           ("items", pa.list_(pa.string())), ("spans", pa.list_(kinds))]))
+                    if clean:
+                        spans = out[-1]["spans"]
+                        out[-1]["kept"] = _without(data[at[i]:at[i + 1]].tobytes(), spans) if spans else None
+            fields = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(kinds))]
+            yield pa.array(out, pa.struct([*fields, *([("kept", pa.string())] if clean else [])]))
 
     return search
 
@@ -234,6 +250,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     ``block_bytes``; each further block is another pass, which adds to the spans found.
     """
     docs = docs.drop("n_words", "n_hit", "items", "spans")
+    found = _found(docs, benchmark, window, text_col, item_col, item_text, block_bytes, False)
+    return found.select(*docs.columns, *(F.col(f"__found.{c}").alias(c) for c in FOUND.names))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str,
+           block_bytes: int, clean: bool) -> DataFrame:
     named = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -241,33 +263,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     found = docs.withColumn("__found", F.lit(None).cast(FOUND))
     for block in range(blocks):
         items = named.where(at == block).collect()
-        search = _search(Phrases([r["id"] for r in items], [r["text"] for r in items], window))
+        last = block + 1 == blocks
+        search = _search(Phrases([r["id"] for r in items], [r["text"] for r in items], window), clean and last)
         found = found.withColumn("__found", search(F.col(text_col), F.col("__found.spans"), F.col("__found.items")))
-        if block + 1 < blocks:
+        if not last:
             found = stored(found, "leaks")
-    return found.select(*docs.columns, *(F.col(f"__found.{c}").alias(c) for c in FOUND.names))
+    return found
 
 
-@F.arrow_udf(T.StringType())
-def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts without byte ranges, which begin and end between characters."""
-    out = []
-    for t, s in zip(text, spans, strict=True):
-        cuts = s.as_py()
-        if not cuts or not t.is_valid:
-            out.append(t.as_py())
-            continue
-        data, at, kept = t.as_py().encode(), 0, []
-        for cut in cuts:
-            kept.append(data[at:cut["start"]])
-            at = cut["end"]
-        out.append(b"".join([*kept, data[at:]]).decode("utf-8"))
-    return pa.array(out, pa.string())
-
-
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the spans of ``find_leaks`` taken out of the text; other texts as they are."""
-    found = find_leaks(docs, benchmark, text_col=text_col, **options)
-    cut = F.when(F.col("n_hit") > 0, without_spans(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
-    kept = [c for c in docs.columns if c not in FOUND.names]
-    return found.withColumn(text_col, cut).select(*kept)
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
+                 item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with the spans of ``find_leaks`` taken out of the text; other texts as they are.
+    Texts visit Python once, for search and cut alike."""
+    found = _found(docs, benchmark, window, text_col, item_col, item_text, block_bytes, True)
+    return found.withColumn(text_col, F.coalesce(F.col("__found.kept"), F.col(text_col))).select(*docs.columns)
