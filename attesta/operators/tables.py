@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.citations import locator
+from attesta.plans.lineage import cut
 
 # How a calculation is reported to the model.
 RESULT_TITLE = "[표 계산 결과 — {}]"
@@ -23,23 +24,24 @@ def query_table(cells: DataFrame, requests: DataFrame) -> DataFrame:
     """
     asked = requests.select("query_id", "table_id", "row", "col", "row_header", "col_header")
     own = cells.select("table_id", "r", "c", "text")
+    place = lambda axis, at: F.struct(F.lit(axis).alias("axis"), at.cast("bigint").alias("at"))
+    # the rows and columns whose headers are asked for, found once
     heads = own.filter("r = 0 OR c = 0").join(asked.filter("row_header IS NOT NULL OR col_header IS NOT NULL"), "table_id")
-    rows = heads.filter(F.col("c") == 0).filter(F.contains("text", "row_header")).select("query_id", "r").distinct()
-    cols = heads.filter(F.col("r") == 0).filter(F.contains("text", "col_header")).select("query_id", "c").distinct()
+    marks = cut(heads.select("query_id", F.explode(F.array_compact(F.array(
+        F.when((F.col("c") == 0) & F.contains("text", "row_header"), place("r", F.col("r"))),
+        F.when((F.col("r") == 0) & F.contains("text", "col_header"), place("c", F.col("c")))))).alias("m"))
+        .select("query_id", "m.*").distinct())
     # a request meets the row or the column it asks for, and a whole table only if it asks for that
-    by_row = asked.filter("row IS NOT NULL").withColumn("r", F.col("row").cast("bigint"))
-    by_col = asked.filter("row IS NULL AND col IS NOT NULL").withColumn("c", F.col("col").cast("bigint"))
-    open_ = asked.filter("row IS NULL AND col IS NULL")
-    by_row = by_row.unionByName(open_.filter("row_header IS NOT NULL").join(rows, "query_id").select(by_row.columns))
-    by_col = by_col.unionByName(open_.filter("row_header IS NULL AND col_header IS NOT NULL").join(cols, "query_id")
-                                .select(by_col.columns))
-    whole = open_.filter("row_header IS NULL AND col_header IS NULL")
-    out = [*asked.columns, "r", "c", "text"]
-    hit = (by_row.join(own, ["table_id", "r"]).select(out)
-           .unionByName(by_col.join(own, ["table_id", "c"]).select(out))
-           .unionByName(whole.join(own, "table_id").select(out))
-           .filter(F.col("col").isNull() | (F.col("c") == F.col("col"))))
-    rows, cols = rows.withColumn("__r", F.lit(True)), cols.withColumn("__c", F.lit(True))
+    axis = (F.when(F.expr("row IS NOT NULL OR row_header IS NOT NULL"), "r")
+            .when(F.expr("col IS NOT NULL OR col_header IS NOT NULL"), "c").otherwise("t"))
+    wanted = asked.withColumn("axis", axis).withColumn("at", F.expr(
+        "CASE axis WHEN 'r' THEN cast(row AS bigint) WHEN 'c' THEN cast(col AS bigint) ELSE 0L END"))
+    named = wanted.filter("at IS NULL").drop("at").join(marks, ["query_id", "axis"])
+    spread = own.select("*", F.inline(F.array(place("r", F.col("r")), place("c", F.col("c")), place("t", F.lit(0)))))
+    hit = (wanted.filter("at IS NOT NULL").unionByName(named).join(spread, ["table_id", "axis", "at"])
+           .filter("col IS NULL OR c = col").drop("axis", "at"))
+    rows = marks.filter("axis = 'r'").select("query_id", F.col("at").alias("r"), F.lit(True).alias("__r"))
+    cols = marks.filter("axis = 'c'").select("query_id", F.col("at").alias("c"), F.lit(True).alias("__c"))
     return (hit.join(rows, ["query_id", "r"], "left").join(cols, ["query_id", "c"], "left")
             .filter((F.col("row_header").isNull() | F.col("__r")) & (F.col("col_header").isNull() | F.col("__c")))
             .select("query_id", "table_id", "r", "c", F.coalesce("text", F.lit("")).alias("text")))
