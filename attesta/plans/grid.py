@@ -80,5 +80,5 @@ def meet(rows: DataFrame, others: DataFrame, kernel: Callable[[pa.Table], Cell],
         if now is not None:
             yield from now.close()
 
-    # cells beyond the number of partitions share one, one after the other
-    return both.repartition(cells, "__cell").sortWithinPartitions("__cell", "__side").mapInArrow(walk, schema)
+    # the cell is the partition
+    return both.repartitionById(parts * groups, F.col("__cell")).sortWithinPartitions("__cell", "__side").mapInArrow(walk, schema)
