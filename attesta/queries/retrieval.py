@@ -8,7 +8,6 @@ from attesta.functions import vectors as V
 from attesta.operators import retrieval as R
 from attesta.operators import search as S
 from attesta.operators import vector_index as VI
-from attesta.plans.lineage import cut
 from attesta.queries import fixtures as fx
 from attesta.queries.checksum import CRC_STEPS, crc_of
 from attesta.queries.registry import query
