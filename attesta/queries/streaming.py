@@ -16,10 +16,10 @@ from attesta.streaming.runtime import drain, work_dir
 
 
 def stream_of(spark, sf, name):
-    """A table as a stream of its files."""
+    """A table as a stream of its files: one file, or a folder of parts. The path is a pattern,
+    since a stream's plain path has to be a folder."""
     schema = fx.table(spark, sf, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("recursiveFileLookup", "true").parquet(sf))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf}/{name}[.]parquet")
 
 
 def deltas(answers, sources):
