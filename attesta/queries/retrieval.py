@@ -347,7 +347,7 @@ def _(spark, sf):
 def _dead_scope(spark, sf):
     """Every seventh question names only documents that do not exist."""
     return fx.scope(spark, sf).withColumn(
-        "document_id", F.expr("CASE WHEN query_id % 7 = 2 THEN document_id + 1000 ELSE document_id END"))
+        "document_id", F.expr("CASE WHEN query_id % 7 = 2 THEN -1 - document_id ELSE document_id END"))
 
 
 _DEAD = IN_SCOPE.replace("AND s.document_id = c.document_id",

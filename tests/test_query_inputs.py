@@ -34,3 +34,13 @@ def test_a_short_text_is_cut_inside_its_string(spark, tmp_path):
     pq.write_table(conversations(TALK), tmp_path / "conversations.parquet")
     rows = entry.queries()["ev1_lenient_json"](spark, str(tmp_path)).filter("turn = 2").collect()
     assert sorted((r.conv_id, r.answer, r.role, r.quarantined) for r in rows) == [(1, None, "user", False), (2, None, "user", False)]
+
+
+def test_dead_scopes_name_no_document(spark, tmp_path):
+    """Also when there are more than 1,000 documents."""
+    pq.write_table(pa.table({"item_id": [1, 2], "text": ["a", "b"]}), tmp_path / "benchmark.parquet")
+    pq.write_table(pa.table({"doc_id": range(30_000)}), tmp_path / "documents.parquet")
+    scope = R._dead_scope(spark, str(tmp_path))
+    known = fx.table(spark, str(tmp_path), "documents").selectExpr(f"doc_id % {fx.groups(spark, str(tmp_path))} AS document_id")
+    met = scope.join(known, "document_id", "left_semi").select("query_id").distinct().collect()
+    assert scope.filter("query_id = 2").count() == 300 and [r.query_id for r in met] == [1]
