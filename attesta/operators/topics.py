@@ -33,8 +33,8 @@ def live(topics: DataFrame) -> DataFrame:
 def document_view(chunks: DataFrame) -> DataFrame:
     """(document_id, view): the opening of a document and a spread of samples.
 
-    Only chunks that start inside the opening and the few sampled ones are gathered,
-    so a document of any length contributes a bounded group.
+    Only chunks that start inside the opening, or within the gap behind it, and the few
+    sampled ones are gathered, so a document of any length contributes a bounded group.
     """
     gap = 2
     placed = running(chunks.select("document_id", "ord", "text"), ["document_id"], ["ord"], by_position("ord"),
@@ -44,7 +44,7 @@ def document_view(chunks: DataFrame) -> DataFrame:
     i, start = F.col("__n") - 1, F.col("__end") - F.length("text") - gap
     step = F.greatest(F.lit(1), F.floor(F.col("__all") / 4))
     rows = (placed.join(total, "document_id")
-            .withColumn("__head", start < HEAD_CHARS)
+            .withColumn("__head", start < HEAD_CHARS + gap)
             .withColumn("__pick", (F.col("__all") > 4) & (i >= step) & (i % step == 0))
             .filter("__head OR __pick"))
     both = rows.groupBy("document_id").agg(

@@ -36,6 +36,12 @@ def test_a_short_text_is_cut_inside_its_string(spark, tmp_path):
     assert sorted((r.conv_id, r.answer, r.role, r.quarantined) for r in rows) == [(1, None, "user", False), (2, None, "user", False)]
 
 
+def test_the_opening_ends_inside_a_gap(spark):
+    for over, tail in ((0, "\n\n"), (1, "\n"), (2, "")):
+        chunks = spark.createDataFrame([(1, 0, "a" * (HEAD_CHARS - 2 + over)), (1, 1, "b")], "document_id long, ord long, text string")
+        assert document_view(chunks).first().view == ("a" * (HEAD_CHARS - 2 + over) + tail)
+
+
 def test_dead_scopes_name_no_document(spark, tmp_path):
     """Also when there are more than 1,000 documents."""
     pq.write_table(pa.table({"item_id": [1, 2], "text": ["a", "b"]}), tmp_path / "benchmark.parquet")
