@@ -50,3 +50,9 @@ def test_dead_scopes_name_no_document(spark, tmp_path):
     known = fx.table(spark, str(tmp_path), "documents").selectExpr(f"doc_id % {fx.groups(spark, str(tmp_path))} AS document_id")
     met = scope.join(known, "document_id", "left_semi").select("query_id").distinct().collect()
     assert scope.filter("query_id = 2").count() == 300 and [r.query_id for r in met] == [1]
+
+
+def test_every_message_has_its_ancestors(spark, tmp_path):
+    pq.write_table(conversations(TALK), tmp_path / "conversations.parquet")
+    rows = entry.queries()["mt1_ancestors"](spark, str(tmp_path)).filter("target < 2000").collect()
+    assert sorted(map(tuple, rows)) == [(1000, 1000, 0), (1001, 1000, 0), (1001, 1001, 1), (1002, 1000, 0), (1002, 1001, 1), (1002, 1002, 2)]
