@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.search import CELLS, to_matrix
+from attesta.operators.search import CELLS, to_matrix, vector_groups
 from attesta.plans import grid
 from attesta.plans.lineage import cut
 
@@ -126,11 +126,15 @@ def _claims(rows: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
     """(id, keeper, similarity): rows with an earlier close leader, and the earliest such."""
     found = grid.meet(rows, leaders, partial(_Claims, threshold=threshold),
                       "id bigint, keeper_ord double, keeper bigint, similarity double",
-                      row_key="id", other_key="id", groups=grid.groups_of(leaders.count()))
+                      row_key="id", other_key="id", groups=vector_groups(leaders))
     best = found.groupBy("id").agg(F.min(F.struct("keeper_ord", "keeper", "similarity")).alias("__b"))
     return best.select("id", "__b.keeper", "__b.similarity")
 
 
+#: nodes settled in one task at most, and the share of the rest that their leaders should cover
+SETTLED, COVERED = 4096, 1 / 8
+
+
 def _settled(first: DataFrame, threshold: float) -> DataFrame:
     """The leaders among a bounded number of nodes, one after the other in one task."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +157,12 @@ def greedy_vector_leaders(nodes: DataFrame, threshold: float, batch: int = grid.
     shorter than the longest conflict with nothing. The keeper is the
     earliest kept neighbour.
 
-    Equal vectors are folded first, so a group of copies is one node. In each round every
-    node without an earlier undecided neighbour is kept, all at once, and what the kept ones
-    cover is dropped. Nodes wait for one another only along chains of close vectors; the
-    first ``batch`` undecided nodes are settled in one task besides, so even one long chain
-    takes no more than a round per ``batch``. Comparisons run on the grid: neither vectors
-    nor pairs reach the driver, and no pairs are stored.
+    Equal vectors are folded first, so a group of copies is one node. In each round the first
+    undecided nodes, ``batch`` and then twice as many up to ``SETTLED``, are settled in one
+    task, and what the kept ones cover is dropped. Where they cover little, every node without
+    an earlier undecided neighbour is kept as well, all at once; nodes wait for one another
+    only along chains of close vectors, so only this compares all with all. Comparisons run on
+    the grid: neither vectors nor pairs reach the driver, and no pairs are stored.
     """
     base = cut(nodes.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("double").alias("ord"), "embedding"))
     longest = base.agg(F.max(F.size("embedding"))).first()[0] or 0
@@ -166,20 +170,24 @@ def greedy_vector_leaders(nodes: DataFrame, threshold: float, batch: int = grid.
     groups = (base.where(usable).groupBy("embedding").agg(F.min(F.struct("ord", "id")).alias("__f"))
               .select("__f.id", "__f.ord", "embedding"))
     classes = cut(groups)
-    left, found = classes, []
-    while True:
-        n = left.count()
+    left, found, n = classes, [], classes.count()
+    uncovered = lambda rows, leaders: cut(rows.join(
+        _claims(rows, leaders, threshold).select("id"), "id", "left_anti"))
+    while n:
         if n <= batch:
-            if n:
-                found.append(cut(_settled(left, threshold)))
+            found.append(cut(_settled(left, threshold)))
             break
         first = cut(left.orderBy("ord", "id").limit(batch))
-        waiting = _claims(left, left, threshold).select("id")
-        free = left.join(first.select("id").unionByName(waiting), "id", "left_anti")
-        leaders = cut(_settled(first, threshold).unionByName(free))
+        leaders = cut(_settled(first, threshold))
         found.append(leaders)
-        rest = cut(left.join(leaders.select("id"), "id", "left_anti"))
-        left = cut(rest.join(_claims(rest, leaders, threshold).select("id"), "id", "left_anti"))
+        left = uncovered(cut(left.join(first.select("id"), "id", "left_anti")), leaders)
+        rest, n = n - batch, left.count()
+        if batch >= SETTLED and n > (1 - COVERED) * rest:
+            free = uncovered(left, left)
+            found.append(free)
+            left = uncovered(cut(left.join(free.select("id"), "id", "left_anti")), free)
+            n = left.count()
+        batch = max(batch, min(2 * batch, SETTLED))
     spark = nodes.sparkSession
     leaders = cut(reduce(DataFrame.unionByName, found)) if found else spark.createDataFrame([], classes.schema)
     covered = _claims(classes.join(leaders.select("id"), "id", "left_anti"), leaders, threshold)

@@ -26,6 +26,14 @@ from attesta.plans.topk import top_k
 
 BLOCK_ROWS = 1024
 CELLS = 1 << 22  # scores held at once per task
+GROUP_BYTES = 1 << 25  # a group of vectors, in double, that others stream past
+
+
+def vector_groups(vectors: DataFrame) -> int:
+    """How many groups a table of vectors (``embedding``) is dealt into. Every row that streams
+    past travels once per group, so a group is as large as a task holds with ease."""
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return grid.groups_of(n, max(grid.GROUP_ROWS, GROUP_BYTES // (8 * max(1, dim or 0))))
 
 
 def to_matrix(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +282,9 @@ class _Nearest:
             mine = np.asarray(part.column(self.left), dtype=np.int64)[usable]
             if self.earlier:
                 sims = np.where(self.ids[None, :] <= mine[:, None], sims, -np.inf)
-            # stable sort on ids already ascending keeps the smaller id on ties
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
+            # of ties the smaller id, as ids ascend: the first maximum, or a stable sort
+            order = (sims.argmax(axis=1)[:, None] if take == 1 else
+                     np.argsort(-sims, axis=1, kind="stable")[:, :take])
             best = np.take_along_axis(sims, order, axis=1).ravel()
             real = np.isfinite(best)
             yield pa.RecordBatch.from_pydict({
@@ -297,7 +306,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, *, left_id: str = "le
     others = right.select(F.col(right_id).cast("bigint").alias(right_id), "embedding").filter("embedding IS NOT NULL")
     found = grid.meet(rows, others, partial(_Nearest, k=k, digits=digits, earlier=earlier, names=(left_id, right_id)),
                       f"{left_id} bigint, {right_id} bigint, similarity double",
-                      row_key=left_id, other_key=right_id, groups=grid.groups_of(others.count()))
+                      row_key=left_id, other_key=right_id, groups=vector_groups(others))
     return top_k(found, [left_id], [F.desc("similarity"), F.asc(right_id)], k, rank="rnk")
 
 
@@ -307,6 +316,7 @@ class _Band:
     def __init__(self, group: pa.Table, low: float, high: float) -> None:
         matrix, ok = to_matrix(group["embedding"])
         self.ids, self.vectors = np.asarray(group["id"], dtype=np.int64)[ok], matrix[ok]
+        self.weights = np.asarray(group["weight"], dtype=np.int64)[ok]
         self.low, self.high = low, high
 
     def meet(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -314,21 +324,25 @@ class _Band:
         for at in range(0, rows.num_rows, step):
             part = rows.slice(at, step)
             x, usable = to_matrix(part.column("embedding"), self.vectors.shape[1])
-            mine = np.asarray(part.column("id"), dtype=np.int64)[usable]
+            mine, weight = (np.asarray(part.column(c), dtype=np.int64)[usable] for c in ("id", "weight"))
             sims = x[usable] @ self.vectors.T
             i, j = np.nonzero((sims >= self.low) & (sims < self.high) & (mine[:, None] < self.ids[None, :]))
-            yield pa.RecordBatch.from_pydict({"a": mine[i], "b": self.ids[j], "similarity": sims[i, j]})
+            yield pa.RecordBatch.from_pydict({"a": mine[i], "b": self.ids[j], "similarity": sims[i, j],
+                                              "a_weight": weight[i], "b_weight": self.weights[j]})
 
     def close(self) -> Iterator[pa.RecordBatch]:
         return iter(())
 
 
 def similar_pairs(nodes: DataFrame, low: float, high: float) -> DataFrame:
-    """(a, b, similarity) with a < b and low <= cosine < high.
+    """(a, b, similarity, a_weight, b_weight) with a < b and low <= cosine < high.
 
-    ``nodes``: id, embedding. Vectors meet on the grid; only the pairs in the band, which are
-    the result, leave the tasks.
+    ``nodes``: id, embedding and perhaps weight (a number, else 0), which comes with the pairs
+    so that they need no join afterwards. Vectors meet on the grid; only the pairs in the
+    band, which are the result, leave the tasks.
     """
-    rows = nodes.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("embedding IS NOT NULL")
-    return grid.meet(rows, rows, partial(_Band, low=low, high=high), "a bigint, b bigint, similarity double",
-                     row_key="id", other_key="id", groups=grid.groups_of(rows.count()))
+    weight = F.col("weight").cast("bigint") if "weight" in nodes.columns else F.lit(0).cast("bigint")
+    rows = nodes.select(F.col("id").cast("bigint").alias("id"), "embedding", weight.alias("weight")).filter("embedding IS NOT NULL")
+    return grid.meet(rows, rows, partial(_Band, low=low, high=high),
+                     "a bigint, b bigint, similarity double, a_weight bigint, b_weight bigint",
+                     row_key="id", other_key="id", groups=vector_groups(rows))

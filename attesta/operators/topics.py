@@ -81,9 +81,11 @@ def resolve_topics(proposals: DataFrame, topics: DataFrame, threshold: float = M
     """
     proposals = cut(proposals.select("id", "document_id", "pos", "name", "embedding"))
     old = live(topics).filter("embedding IS NOT NULL").select("id", "embedding")
-    known = nearest(proposals.withColumnRenamed("id", "left_id"),
-                    old.withColumnRenamed("id", "right_id")).drop("rnk").toDF("id", "known", "known_sim")
-    known = cut(known.filter(F.col("known_sim") >= threshold))
+    # equal vectors have the same nearest topic, so one of them is compared
+    alike = cut(proposals.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("left_id")))
+    known = nearest(alike, old.withColumnRenamed("id", "right_id")).drop("rnk").toDF("left_id", "known", "known_sim")
+    known = alike.join(known.filter(F.col("known_sim") >= threshold), "left_id")
+    known = cut(proposals.select("id", "embedding").join(known, "embedding").select("id", "known", "known_sim"))
     fresh = proposals.join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("ord"), "embedding")
     leaders = cut(greedy_vector_leaders(fresh, threshold, batch).filter("kept").select("id"))
     founded = proposals.join(leaders, "id", "left_semi")
@@ -149,13 +151,11 @@ def merge_plan(topics: DataFrame, threshold: float = MERGE_THRESHOLD, batch: int
 def merge_candidates(topics: DataFrame, low: float = SUGGEST_THRESHOLD, high: float = MERGE_THRESHOLD) -> DataFrame:
     """(keep, drop, similarity): pairs worth a look, the topic with more documents kept."""
     nodes = live(topics).filter("embedding IS NOT NULL")
-    pairs = similar_pairs(nodes, low, high)
-    count = nodes.select("id", F.coalesce("doc_count", F.lit(0)).alias("n"))
-    both = pairs.join(count.toDF("a", "na"), "a").join(count.toDF("b", "nb"), "b")
-    first = F.col("na") >= F.col("nb")
-    return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"),
-                       F.when(first, F.col("b")).otherwise(F.col("a")).alias("drop"),
-                       F.round("similarity", 4).alias("similarity"))
+    pairs = similar_pairs(nodes.withColumn("weight", F.coalesce("doc_count", F.lit(0))), low, high)
+    first = F.col("a_weight") >= F.col("b_weight")
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"),
+                        F.when(first, F.col("b")).otherwise(F.col("a")).alias("drop"),
+                        F.round("similarity", 4).alias("similarity"))
 
 
 def merge_topics(document_topics: DataFrame, pairs: DataFrame, source: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attesta.functions.json_repair import lenient_json, repair
 from attesta.functions.text import parse_number, slugify
 from attesta.operators import evaluation as E
+from attesta.operators import graphs, search
 from attesta.operators import tables as TB
 from attesta.operators import topics as T
 
@@ -159,3 +160,37 @@ def test_gold_cases_are_read_and_scored(spark, tmp_path):
     docs = spark.createDataFrame([("crane.pdf", "ready"), ("tide.pdf", "failed")], "filename string, status string")
     assert [r.filename for r in E.missing_gold_documents(gold, docs).collect()] == ["tide.pdf"]
     assert tuple(E.pass_rate(E.score_cases(gold, results, cites)).first()) == (1, 3)
+
+
+def test_vectors_travel_in_few_groups(spark, monkeypatch):
+    """A row visits every group, so groups are as large as a task holds; counts come along."""
+    ids = spark.range(5000).selectExpr("id", "array_repeat(cast(id AS float), 64) AS embedding")
+    assert search.vector_groups(ids) == 1
+    monkeypatch.setattr(search, "GROUP_BYTES", 1)
+    assert search.vector_groups(ids) == 10
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1500, 3))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    sims = unit @ unit.T
+    rows = [(i, v[i].tolist(), i * 7 % 5, None) for i in range(len(v))]
+    topics = spark.createDataFrame(rows, "id long, embedding array<double>, doc_count long, merged_into_id long")
+    a, b = np.nonzero(np.triu((sims >= 0.9) & (sims < 0.92), 1))
+    want = sorted((int(i), int(j)) if i * 7 % 5 >= j * 7 % 5 else (int(j), int(i)) for i, j in zip(a, b))
+    plan = T.merge_candidates(topics, 0.9, 0.92)
+    assert sorted((r.keep, r.drop) for r in plan.collect()) == want
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("threshold,covered", [(0.5, 1 / 8), (0.999, 1 / 8), (0.9, 1.0), (0.9, -1.0)])
+def test_leaders_are_those_of_a_walk_in_order(spark, monkeypatch, threshold, covered):
+    monkeypatch.setattr(graphs, "SETTLED", 8)
+    monkeypatch.setattr(graphs, "COVERED", covered)
+    v = np.random.default_rng(4).normal(size=(90, 3))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    kept = []
+    for i in range(len(v)):
+        if not kept or (unit[kept] @ unit[i]).max() < threshold:
+            kept.append(i)
+    nodes = spark.createDataFrame([(i, i, v[i].tolist()) for i in range(len(v))], "id long, ord long, embedding array<double>")
+    out = graphs.greedy_vector_leaders(nodes, threshold, 4)
+    assert sorted(r.id for r in out.filter("kept").collect()) == kept
