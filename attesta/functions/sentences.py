@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.functions.memory import by_steps
 from attesta.functions.text import strip
 
 # What ends a sentence, and what a full stop does not end.
@@ -54,9 +55,16 @@ def sentence_offsets(text: str | None) -> list[tuple[int, int]]:
     return found
 
 
-@F.pandas_udf(SENTENCES)
-def _sentences(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: [(a, b, s[a:b]) for a, b in sentence_offsets(s)])
+ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+
+
+def cut_text(text: str | None) -> list[tuple[int, int, str]]:
+    return [(a, b, text[a:b]) for a, b in sentence_offsets(text)]
+
+
+@F.arrow_udf(SENTENCES)
+def _sentences(text: pa.Array) -> pa.Array:
+    return by_steps(text, cut_text, ARROW)
 
 
 def sentences(text: Column | str) -> Column:
