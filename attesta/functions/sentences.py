@@ -64,7 +64,7 @@ def cut_text(text: str | None) -> list[tuple[int, int, str]]:
 
 @F.arrow_udf(SENTENCES)
 def _sentences(text: pa.Array) -> pa.Array:
-    return by_steps(text, cut_text, ARROW)
+    return by_steps(cut_text, ARROW, text)
 
 
 def sentences(text: Column | str) -> Column:

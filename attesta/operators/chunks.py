@@ -14,11 +14,13 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.functions.memory import by_steps
 from attesta.functions.sentences import sentence_offsets
 from attesta.functions.text import is_blank, strip, token_estimate
 from attesta.plans.fold import fold_sorted
@@ -105,9 +107,11 @@ def split_oversize(elements: DataFrame, limit: int) -> DataFrame:
     ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
                                        T.StructField("t", T.StringType())]))
 
-    @F.pandas_udf(ranges)
-    def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: [(a, b, s[a:b]) for a, b in pack_sentences(s, limit)])
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("t", pa.string())]))
+
+    @F.arrow_udf(ranges)
+    def pieces(text: pa.Array) -> pa.Array:
+        return by_steps(lambda s: [(a, b, s[a:b]) for a, b in pack_sentences(s, limit)], kind, text)
 
     plain = ~F.col("kind").isin("heading", "table")
     long = plain & (F.length("text") > limit)
@@ -156,11 +160,12 @@ def _walker(limit: int, overlap: int, compat: bool):
         T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
         T.StructField("heads", T.ArrayType(T.IntegerType()))]))
 
-    @F.pandas_udf(out)
-    def walk(code: pd.Series, size: pd.Series, level: pd.Series, own: pd.Series, entry: pd.Series,
-             heads: pd.Series) -> pd.Series:
-        return pd.Series([_chunks_of(np.asarray(c), np.asarray(s), lv, o, e, h, limit, overlap, compat)
-                          for c, s, lv, o, e, h in zip(code, size, level, own, entry, heads)])
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("heads", pa.list_(pa.int32()))]))
+
+    @F.arrow_udf(out)
+    def walk(code: pa.Array, size: pa.Array, level: pa.Array, own: pa.Array, entry: pa.Array, heads: pa.Array) -> pa.Array:
+        return by_steps(lambda c, s, lv, o, e, h: _chunks_of(np.asarray(c), np.asarray(s), lv, o, e, h, limit, overlap, compat),
+                        kind, code, size, level, own, entry, heads)
 
     return walk
 
