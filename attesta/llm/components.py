@@ -16,8 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     are stored tables. Smallest labels are combined before every shuffle; a node with very
     many edges is left to the splitting of skewed joins.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .where("a <> b").distinct(), "edges")
+    # both directions of one row: edges worked out twice need not be the same edges
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.where("a <> b").select(F.inline(ways)).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(
         F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:

@@ -254,7 +254,8 @@ def similar(values: np.ndarray, begin: np.ndarray, percent: int, side: np.ndarra
 
 
 def _linked(percent: int):
-    """Rows (unit, side, node, set), sorted by unit, to the links (a, b) within units."""
+    """Rows (unit, side, node, set), sorted by unit, side and node, to the links (a, b) within
+    units. Which of the links that join the same sets are given depends on the order of rows."""
     def solve(rows: list) -> pa.RecordBatch:
         node = np.array([r[0] for r in rows])
         begin = np.concatenate([[0], np.cumsum([len(r[2]) // 8 for r in rows])])
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = keyed.join(members, (F.col("text_hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("own")))
     held = stored(found.select("label", "block", "node", _set_column(width)(F.col("text")).alias("set")), "node-sets")
     units = _units(held.dropDuplicates(["node"]) if _repeats(held) else held, large, percent)
-    ordered = units.select("unit", "side", "node", "set").repartition(F.col("unit")).sortWithinPartitions("unit")
+    ordered = units.select("unit", "side", "node", "set").repartition(F.col("unit")).sortWithinPartitions("unit", "side", "node")
     joined = components(ordered.mapInArrow(_linked(percent), "a long, b long"))
     named = joined.join(ids.select("node", "id"), "node")
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -114,3 +114,18 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {**{i: 100 for i in range(100, 161)}, 7: 7, **{500 + i: 7 for i in range(50)}, 8: 8, 9: 8}
     assert got == want
+
+
+def test_components_of_edges_that_differ_by_evaluation(spark):
+    """Links of a group come in the order its rows arrive from other machines: any tree over
+    the group, and not the same one when they are worked out again."""
+    def tree(batches):
+        for batch in batches:
+            for base in batch.column(0).to_pylist():
+                order = random.SystemRandom().sample(range(40), 40)
+                pairs = [(base * 100 + order[i], base * 100 + order[i + 1]) for i in range(39)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs]) for k in (0, 1)], names=["a", "b"])
+    edges = spark.range(8).mapInArrow(tree, "a long, b long")
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert got == {base * 100 + i: base * 100 for base in range(8) for i in range(40)}
+
