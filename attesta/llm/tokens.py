@@ -53,16 +53,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
-        self.forget()
+        self.known: dict[str, int] = {}
+        self.flat, self.begin = array("I"), array("q", [0])
         self.letters = False
         self.visible = self._byte_letters()
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.letters = self._knows_letters()
 
-    def forget(self) -> None:
-        """Drop the memo: a worker process goes on to other work."""
-        self.known: dict[str, int] = {}
-        self.flat, self.begin = array("I"), array("q", [0])
+    def _keep(self, pieces: list[str]) -> None:
+        """Drop what these pieces don't use from the memo."""
+        used = [p for p in pieces if p in self.known]
+        at = np.array([self.known[p] for p in used], np.int64)
+        begin = np.frombuffer(self.begin, np.int64)
+        sizes = (begin[1:] - begin[:-1])[at] if len(at) else at
+        upto = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = np.frombuffer(self.flat, np.uint32)[np.repeat(begin[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        self.known = dict(zip(used, range(len(used))))
+        self.flat, self.begin = array("I", flat.tobytes()), array("q", upto.tobytes())
 
     def _byte_letters(self) -> dict[int, str]:
         """The characters by which byte-level vocabularies name bytes: themselves where they
@@ -88,7 +95,7 @@ class Encoder:
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of distinct pieces; new ones are encoded."""
         if len(self.known) > MEMO:
-            self.forget()
+            self._keep(pieces)
         numbers = list(map(self.known.get, pieces))
         new = [p for p, n in zip(pieces, numbers) if n is None]
         if not new:
@@ -149,6 +156,18 @@ class Encoder:
                 yield data[4 * lo:4 * hi]
 
 
+_OWN: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int | None = None) -> Encoder:
+    """This process's encoder. Its memo stays for the worker's next tasks, whose texts have
+    most of their words in common with those before."""
+    if (path, end_id) not in _OWN:
+        _OWN.clear()
+        _OWN[path, end_id] = Encoder(path, end_id)
+    return _OWN[path, end_id]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Batches in smaller pieces, so that few texts are encoded at a time."""
     for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from attesta.llm import records
 from attesta.llm.binpack import bins, intervals, pack
 from attesta.llm.scratch import new_path
-from attesta.llm.tokens import Encoder
+from attesta.llm.tokens import Encoder, encoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {f: Encoder(public_tokenizers.path(f), 2) for f in FILES}
@@ -50,6 +50,24 @@ def test_memo_starts_anew(monkeypatch):
         assert list(own.encode([t])) == [plain(FILES[0], t)]
 
 
+def test_full_memo_keeps_the_pieces_in_use(monkeypatch):
+    monkeypatch.setattr("attesta.llm.tokens.MEMO", 3)
+    own, texts, asked = Encoder(public_tokenizers.path(FILES[0]), 2), ["one two three four five"], []
+    want = [plain(FILES[0], t) for t in texts]
+    assert list(own.encode(texts)) == want
+    words = own._words
+    monkeypatch.setattr(own, "_words", lambda pieces: asked.extend(pieces) or words(pieces))
+    assert list(own.encode(texts)) == want and not asked
+    assert list(own.encode(["six two"])) == [plain(FILES[0], "six two")] and asked == ["six"]
+    assert set(own.known) == {"six", " two"}
+
+
+def test_encoder_stays_with_its_process():
+    path = public_tokenizers.path(FILES[0])
+    assert encoder(path, 2) is encoder(path, 2)
+    assert encoder(path, 3).end.tolist() == [3]
+
+
 def test_bins_use_every_piece_and_fit():
     rng = random.Random(3)
     for _ in range(20):
