@@ -15,15 +15,53 @@ RESULT_TITLE = "[표 계산 결과 — {}]"
 LOOKUP, CALCULATION, CONCLUSION = "조회: ", "계산: ", "결론: "
 
 
-def query_table(cells: DataFrame, requests: DataFrame) -> DataFrame:
+TABLE_CELLS = 4096  # cells, and requests, of a table that meet each other as they are
+
+
+def query_table(cells: DataFrame, requests: DataFrame, block: int = TABLE_CELLS) -> DataFrame:
     """(query_id, table_id, r, c, text) for all requests at once.
 
     ``requests``: query_id, table_id and any of row, col, row_header, col_header (null:
     not asked). A header is looked for in column 0 or row 0; one that matches nothing
     selects nothing.
+
+    A table of at most ``block`` cells and requests is shuffled once, as one row that its
+    requests meet. In larger ones a request meets only the rows or columns it asks for.
     """
     asked = requests.select("query_id", "table_id", "row", "col", "row_header", "col_header")
     own = cells.select("table_id", "r", "c", "text")
+    large = cut(_above(own, block).unionByName(_above(asked, block)).distinct())
+    if large.isEmpty():
+        return _in_tables(own, asked)
+    few = [df.join(large, "table_id", "left_anti") for df in (own, asked)]
+    many = [df.join(large, "table_id", "left_semi") for df in (own, asked)]
+    return _in_tables(*few).unionByName(_on_axes(*many))
+
+
+def _above(rows: DataFrame, block: int) -> DataFrame:
+    counts = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("__n"))
+    return counts.filter(F.col("__n") > block).select("table_id")
+
+
+def _in_tables(own: DataFrame, asked: DataFrame) -> DataFrame:
+    tables = own.groupBy("table_id").agg(F.collect_list(F.struct("r", "c", "text")).alias("__cells"))
+
+    def named(axis: str, other: str, header: str) -> Column:
+        """Places on an axis whose header holds the text asked for."""
+        hit = F.filter("__cells", lambda x: (x[other] == 0) & F.contains(x["text"], F.col(header)))
+        return F.when(F.col(header).isNotNull(), F.transform(hit, lambda x: x[axis]))
+
+    met = (asked.join(tables, "table_id").withColumn("__rows", named("r", "c", "row_header"))
+           .withColumn("__cols", named("c", "r", "col_header")))
+    hit = F.filter("__cells", lambda x: (
+        (F.col("row").isNull() | (x["r"] == F.col("row"))) & (F.col("col").isNull() | (x["c"] == F.col("col")))
+        & (F.col("row_header").isNull() | F.array_contains("__rows", x["r"]))
+        & (F.col("col_header").isNull() | F.array_contains("__cols", x["c"]))))
+    return (met.select("query_id", "table_id", F.inline(hit))
+            .select("query_id", "table_id", "r", "c", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def _on_axes(own: DataFrame, asked: DataFrame) -> DataFrame:
     place = lambda axis, at: F.struct(F.lit(axis).alias("axis"), at.cast("bigint").alias("at"))
     # the rows and columns whose headers are asked for, found once
     heads = own.filter("r = 0 OR c = 0").join(asked.filter("row_header IS NOT NULL OR col_header IS NOT NULL"), "table_id")

@@ -89,6 +89,20 @@ def test_cell_lookup(spark, request_, want):
     assert {(r.r, r.c) for r in TB.query_table(cells, req).collect()} == want
 
 
+def test_small_tables_meet_their_requests_in_one_shuffle(spark):
+    cells = spark.createDataFrame([(t, r, c, None if r == c == 2 else f"{'head' if r == 0 or c == 0 else 'x'} {r}{c}")
+                                   for t, n in ((1, 3), (2, 9)) for r in range(n) for c in range(3)],
+                                  "table_id long, r long, c long, text string")
+    asked = [(row, col, rh, ch) for row in (None, 1) for col in (None, 2) for rh in (None, "1", "no") for ch in (None, "head 0")]
+    req = spark.createDataFrame([(100 * t + i, t, *a) for t in (1, 2, 3) for i, a in enumerate(asked)],
+                                "query_id long, table_id long, row long, col long, row_header string, col_header string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = TB.query_table(cells, req)
+    want = rows(whole)
+    assert len(want) > 100 and rows(TB.query_table(cells, req, block=0)) == want == rows(TB.query_table(cells, req, block=25))
+    assert "hashpartitioning(query_id" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("text,number", [("about 98,007 crates", 98007.0), ("٣٫ no, ٤٢", 3.0), ("가격 １２３원", 123.0), ("7.25 m", 7.25),
                                          ("none", None), (None, None), ("from -8 up", -8.0), ("1٢.５", 12.5)])
 def test_numbers(spark, text, number):
