@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -17,6 +19,7 @@ from attesta.streaming.runtime import carry_code, use_rocksdb
 
 PRESENCE_TTL = "30 seconds"  # fixed value
 PRESENCE_TTL_MS = 30_000     # the same
+PRESENCE_GROUPS = 256        # keys that hold the viewers of a stream
 PROGRESS_TTL_MS = 86_400_000
 ENVELOPE = "event string, data string"
 
@@ -80,47 +83,95 @@ class _Expiring(StatefulProcessor):
         pass
 
 
+def _stays(found: pd.DataFrame, ttl_ms: int) -> pd.DataFrame:
+    """Joins the (channel, user_id, start, end, held) of a viewer that are closer than the time
+    to live; sorted by viewer and time. Spans may overlap and come in any order."""
+    by = found.sort_values(["channel", "user_id", "start"], kind="stable", ignore_index=True)
+    first = ~by.duplicated(["channel", "user_id"]).to_numpy()
+    reach = by.groupby(np.cumsum(first))["end"].cummax().to_numpy()
+    start = by["start"].to_numpy()
+    opens = first.copy()
+    opens[1:] |= start[1:] - reach[:-1] >= ttl_ms
+    at = np.flatnonzero(opens)
+    end = np.maximum.reduceat(by["end"].to_numpy(), at)
+    held = np.logical_or.reduceat(by["held"].to_numpy(), at)
+    return by.iloc[at].assign(end=end, held=held).reset_index(drop=True)
+
+
 class PresenceProcessor(_Expiring):
-    """One viewer of one channel: the time of the last beat."""
+    """A group of viewers: the last beat of everyone who is there, as one value, and one timer
+    for the first of them to be missed."""
+
+    HELD = pa.schema([("channel", pa.string()), ("user_id", pa.int64()), ("end", pa.int64())])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("last", "ms long")
+        self.state = handle.getValueState("viewers", "timer long, held binary")
+
+    def load(self) -> tuple[int | None, pd.DataFrame | None]:
+        if not self.state.exists():
+            return None, None
+        timer, held = self.state.get()
+        return timer, pa.ipc.read_record_batch(pa.py_buffer(bytes(held)), self.HELD).to_pandas()
+
+    def keep(self, timer: int | None, there: pd.DataFrame) -> None:
+        """An earlier timer is left as it is: when it is due, the next one is set."""
+        due = int(there["end"].min()) + self.ttl_ms
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        held = pa.RecordBatch.from_pandas(there, self.HELD, preserve_index=False)
+        self.state.update((timer, held.serialize().to_pybytes()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = int(self.state.get()[0]) if self.state.exists() else None
-        out = []
-        for ms in sorted(int(ms) for frame in rows for ms in frame["ms"]):
-            if last is None or ms - last >= self.ttl_ms:
-                if last is not None:
-                    out.append(("left", last + self.ttl_ms))
-                out.append(("joined", ms))
-            last = ms if last is None else max(last, ms)
-        self.state.update((last,))
-        self.keep_until(last + self.ttl_ms)
-        yield self._frame(key, out)
+        timer, there = self.load()
+        found = [] if there is None else [there.assign(start=there["end"], held=True)]
+        for frame in rows:  # beats become stays at once, and stays are joined before they pile up
+            beats = pd.DataFrame({"channel": frame["channel"], "user_id": frame["user_id"], "start": frame["ms"],
+                                  "end": frame["ms"], "held": False})
+            found.append(_stays(beats, self.ttl_ms))
+            if len(found) > 64:
+                found = [_stays(pd.concat(found, ignore_index=True), self.ttl_ms)]
+        stays = _stays(pd.concat(found, ignore_index=True), self.ttl_ms)
+        last = ~stays.duplicated(["channel", "user_id"], keep="last")
+        self.keep(timer, stays[last])
+        yield pd.concat([self._left(stays[~last]), self._said(stays[~stays["held"]], "joined", "start")], ignore_index=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = int(self.state.get()[0])
-        self.state.clear()
-        yield self._frame(key, [("left", last + self.ttl_ms)])
+        _, there = self.load()
+        if there is None:
+            yield pd.DataFrame([], columns=["channel", "user_id", "event", "ms"])
+            return
+        gone = there["end"] + self.ttl_ms < timerValues.getCurrentWatermarkInMs()
+        if gone.all():
+            self.state.clear()
+        else:
+            self.keep(None, there[~gone])
+        yield self._left(there[gone])
+
+    def _left(self, stays: pd.DataFrame) -> pd.DataFrame:
+        return self._said(stays.assign(gone=stays["end"] + self.ttl_ms), "left", "gone")
 
     @staticmethod
-    def _frame(key, events) -> pd.DataFrame:
-        return pd.DataFrame([(str(key[0]), int(key[1]), *e) for e in events], columns=["channel", "user_id", "event", "ms"])
+    def _said(stays: pd.DataFrame, event: str, at: str) -> pd.DataFrame:
+        return stays[["channel", "user_id", at]].rename(columns={at: "ms"}).assign(event=event)[["channel", "user_id", "event", "ms"]]
 
 
-def stream_presence(beats: DataFrame, ttl_ms: int = PRESENCE_TTL_MS, lateness: str = "0 seconds") -> DataFrame:
+def stream_presence(beats: DataFrame, ttl_ms: int = PRESENCE_TTL_MS, lateness: str = "0 seconds",
+                    groups: int = PRESENCE_GROUPS) -> DataFrame:
     """(channel, user_id, event, ms) with event ``joined`` or ``left``, from a stream of beats
     (channel, user_id, ts).
 
     A viewer has left ``ttl_ms`` after the last beat, as soon as the watermark passes that
-    time; from then on the stream holds nothing about them.
+    time; from then on the stream holds nothing about them. Viewers share the state of
+    ``groups`` keys, so that calls to the store don't grow with them; a checkpoint belongs to
+    one number of groups.
     """
     use_rocksdb(beats.sparkSession)
     carry_code(__name__)
-    timed = beats.select("channel", "user_id", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", lateness)
-    return timed.groupBy("channel", "user_id").transformWithStateInPandas(
+    group = F.pmod(F.xxhash64("channel", "user_id"), F.lit(groups)).alias("__group")
+    timed = beats.select("channel", "user_id", "ts", F.unix_millis("ts").alias("ms"), group).withWatermark("ts", lateness)
+    return timed.groupBy("__group").transformWithStateInPandas(
         PresenceProcessor(ttl_ms), "channel string, user_id long, event string, ms long", "append", "EventTime")
 
 

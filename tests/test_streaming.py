@@ -177,6 +177,44 @@ def test_a_silent_answer_is_flushed_by_its_timer():
     assert out["text"].tolist() == ["[S1c"] and store.value is None
 
 
+class _Watermark:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_many_viewers_share_a_value_and_a_timer():
+    rng = random.Random(5)
+    store, group, updates = _Store(), L.PresenceProcessor(100), []
+    group.init(store)
+    keep = store.update
+    store.update = lambda value: (updates.append(value), keep(value))
+    last, want, got, wm = {}, [], [], 0
+    for batch in range(6):
+        beats = [(rng.choice("ab"), rng.randrange(200), wm + rng.randrange(400)) for _ in range(500)] if batch < 5 else [("a", 0, wm + 5000)]
+        frames = [pd.DataFrame(beats[i:i + 90], columns=["channel", "user_id", "ms"]) for i in range(0, len(beats), 90)]
+        for f in group.handleInputRows((3,), iter(frames), _Watermark(wm)):
+            got += f.itertuples(index=False, name=None)
+        for c, u, ms in sorted(beats, key=lambda b: b[2]):
+            before = last.get((c, u))
+            if before is None or ms - before >= 100:
+                want += [] if before is None else [(c, u, "left", before + 100)]
+                want.append((c, u, "joined", ms))
+            last[c, u] = max(ms, before or 0)
+        wm = max(b[2] for b in beats)
+        if store.timers and min(store.timers) < wm:
+            store.timers.clear()  # as Spark does with what is due
+            for f in group.handleExpiredTimer((3,), _Watermark(wm), None):
+                got += f.itertuples(index=False, name=None)
+        for viewer in [v for v, ms in last.items() if ms + 100 < wm]:
+            want.append((*viewer, "left", last.pop(viewer) + 100))
+        assert len(store.timers) == 1 and len(updates) <= 2 * (batch + 1)
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    assert list(last) == [("a", 0)]
+
+
 def test_sessions_close_after_the_watermark(spark, tmp_path):
     schema = "channel string, user_id long, ts timestamp"
     beats = spark.sql("""SELECT 'c' AS channel, 1L AS user_id, timestamp_seconds(s) AS ts
