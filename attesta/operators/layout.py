@@ -35,6 +35,7 @@ CLAUSE = r"(?U)^\s*제\s*\d+\s*조\s*[\(（]"
 
 PAGE = ["document_id", "page_no"]
 BLOCK = [*PAGE, "block_no"]
+LINE = [*BLOCK, "par_no", "line_no"]
 BOX = ["x0", "y0", "x1", "y1"]
 BAND = 64.0
 PAGE_ROWS = 20_000  # fragments of a page that one task takes as they are
@@ -253,23 +254,73 @@ def words_to_lines(rows: DataFrame) -> DataFrame:
     """Lines from word rows in tab-separated form: (document_id, row_no, tsv).
 
     Columns are level, page, block, par, line, word, left, top, width, height, conf,
-    text; short rows and empty words are skipped.
+    text; short rows and empty words are skipped. Neighbouring words of a line are joined before
+    the shuffle, so what travels is about the text.
     """
-    def word(f: Column) -> Column:
-        key = [F.get(f, F.lit(i)).cast("bigint").alias(n)
-               for i, n in ((1, "page_no"), (2, "block_no"), (3, "par_no"), (4, "line_no"))]
-        left, top, wide, high, conf = (F.get(f, F.lit(i)).cast("double") for i in range(6, 11))
-        return F.struct(*key, F.get(f, F.lit(11)).alias("text"), left.alias("x0"), top.alias("y0"),
-                        (left + wide).alias("x1"), (top + high).alias("y1"), (conf / 100).alias("conf"))
-
-    # inside one generator, so that each row is split once and not again for the filter
-    words = F.filter(F.transform(F.array(F.split("tsv", "\t", -1)), word),
-                     lambda w: w["text"].isNotNull() & ~strip(w["text"]).isin("", "-1"))
-    flat = rows.select("document_id", "row_no", F.inline(words))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
-    return flat.groupBy("document_id", "page_no", "block_no", "par_no", "line_no").agg(
-        F.array_join(texts, " ").alias("text"), *union_box(), F.avg("conf").alias("conf"),
-        F.min("row_no").alias("first_row"))
+    # out of a generator, so that each row is split once and not again for the filter
+    f = F.col("__f")
+    split = rows.select("document_id", "row_no", F.explode(F.array(F.split("tsv", "\t", -1))).alias("__f"))
+    said = split.filter(F.get(f, F.lit(11)).isNotNull() & ~strip(F.get(f, F.lit(11))).isin("", "-1"))
+    left, top, wide, high, conf = (F.get(f, F.lit(i)).cast("double") for i in range(6, 11))
+    flat = said.select(
+        "document_id", *[F.get(f, F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(LINE[1:], 1)], "row_no",
+        F.get(f, F.lit(11)).alias("text"), left.alias("x0"), top.alias("y0"), (left + wide).alias("x1"),
+        (top + high).alias("y1"), (conf / 100).alias("conf"))
+    stretch = lambda a, n: F.coalesce(F.sequence(a, a + n - 1), F.array(F.lit(None).cast("bigint")))
+    numbered = lambda p: F.zip_with(F.flatten(F.zip_with(p["starts"], p["lengths"], stretch)),
+                                    F.split(p["text"], "\t", -1), lambda r, t: F.struct(r.alias("row_no"), t.alias("text")))
+    parts = F.col("__parts")
+    mixed = F.sort_array(F.flatten(F.transform(parts, numbered)))
+    text = (F.when(F.size(parts) == 1, F.replace(parts[0]["text"], F.lit("\t"), F.lit(" ")))
+            .otherwise(F.array_join(F.transform(mixed, lambda w: w["text"]), " ")))
+    return (_line_runs(flat).groupBy(*LINE).agg(
+        F.collect_list(F.struct("starts", "lengths", "text")).alias("__parts"), *union_box(),
+        (F.sum("conf") / F.nullif(F.sum("n"), F.lit(0))).alias("conf"), F.min(F.col("starts")[0]).alias("first_row"))
+        .select(*LINE, text.alias("text"), *BOX, "conf", "first_row"))
+
+
+def _line_runs(words: DataFrame) -> DataFrame:
+    """Words that follow each other in a batch and belong to one line, as one row: their texts
+    joined by tabs, which no word contains, their numbers as stretches (start, length), their
+    box, and ``conf`` summed over ``n``. Rows with nulls or NaN stay alone, as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.num_rows
+            value = {c: np.asarray(pc.fill_null(batch.column(c).cast(pa.float64()), np.nan)) for c in (*BOX, "conf")}
+            known = np.asarray(pc.is_valid(batch.column("row_no")))
+            row = np.asarray(pc.fill_null(batch.column("row_no"), 0))
+            odd = ~known | np.logical_or.reduce([np.isnan(v) for v in value.values()])
+            new = odd.copy()
+            new[0] = True
+            new[1:] |= odd[:-1] | (row[1:] <= row[:-1])
+            for k in LINE:
+                c = batch.column(k)
+                new[1:] |= np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), True))
+            jumps = new.copy()
+            jumps[1:] |= row[1:] - 1 != row[:-1]
+            begin, at = np.flatnonzero(new), np.flatnonzero(jumps)
+            ends = pa.array(np.append(begin, size).astype(np.int32))
+            stretches = pa.array(np.append(np.searchsorted(at, begin), len(at)).astype(np.int32))
+            starts = batch.column("row_no").take(pa.array(at))
+            lengths = pa.array(np.diff(np.append(at, size)).astype(np.int32))
+            text = pc.binary_join(pa.ListArray.from_arrays(ends, batch.column("text")), "\t")
+            alone = batch.take(pa.array(begin))
+            boxes = []
+            for c in (*BOX, "conf"):
+                fold = np.add if c == "conf" else np.minimum if c.endswith("0") else np.maximum
+                whole = fold.reduceat(value[c], begin)
+                boxes.append(pc.if_else(pa.array(odd[begin]), alone.column(c), pa.array(whole)))
+            n = np.diff(np.append(begin, size)) - np.asarray(pc.is_null(alone.column("conf")))
+            yield pa.RecordBatch.from_arrays(
+                [*(alone.column(k) for k in LINE), pa.ListArray.from_arrays(stretches, starts),
+                 pa.ListArray.from_arrays(stretches, lengths), text, *boxes, pa.array(n.astype(np.int64))],
+                names=[*LINE, "starts", "lengths", "text", *BOX, "conf", "n"])
+
+    slim = words.withColumn("row_no", F.col("row_no").cast("bigint"))
+    more = "starts array<bigint>, lengths array<int>, text string, x0 double, y0 double, x1 double, y1 double, conf double, n bigint"
+    return slim.mapInArrow(run, T.StructType([*slim.select(*LINE).schema.fields, *T._parse_datatype_string(more).fields]))
 
 
 class _Rows:

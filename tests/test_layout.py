@@ -83,6 +83,46 @@ def test_visual_lines_of_neat_rows_blanks_and_ties(spark):
     assert L.merge_visual_lines(df.limit(0)).count() == 0
 
 
+def word_rows(order):
+    """Rows of 40 words in 4 lines, with a short row, empty words and a word without confidence."""
+    rows = []
+    for i in range(40):
+        conf = "NaN" if i == 13 else i
+        rows.append((1, i, f"5\t1\t0\t0\t{i // 10}\t{i}\t{i * 5}\t{i % 3}\t4\t10\t{conf}\t" + (" " if i % 9 == 4 else f"w{i}")))
+    rows += [(1, 40, "5\t1"), (1, 7, "5\t1\t0\t0\t0\t7\t0\t0\t1\t1\t50\tsame"), (1, None, "5\t1\t0\t0\t3\t7\t0\t0\t1\t1\t50\tnone")]
+    return random.Random(order).sample(rows, len(rows)) if order else rows
+
+
+def plain_lines(rows):
+    lines = {}
+    for _, n, tsv in rows:
+        f = tsv.split("\t")
+        if len(f) > 11 and f[11].strip():
+            lines.setdefault(int(f[4]), []).append((-1 if n is None else n, f[11], float(f[6]), float(f[7]), float(f[8]), float(f[9]), float(f[10])))
+    return {k: (" ".join(w[1] for w in sorted(ws)), min(w[2] for w in ws), min(w[3] for w in ws), max(w[2] + w[4] for w in ws),
+                max(w[3] + w[5] for w in ws), str(round(sum(w[6] for w in ws) / len(ws) / 100, 9)), min(w[0] for w in ws if w[0] >= 0))
+            for k, ws in lines.items()}
+
+
+@pytest.mark.parametrize("order,batch", [(0, 10_000), (0, 7), (3, 10_000), (4, 7)])
+def test_lines_of_word_rows_equal_the_loop(spark, order, batch):
+    rows = word_rows(order)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = L.words_to_lines(spark.createDataFrame(rows, "document_id long, row_no long, tsv string").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.line_no: (r.text, r.x0, r.y0, r.x1, r.y1, str(round(r.conf, 9)), r.first_row) for r in got} == plain_lines(rows)
+
+
+def test_neighbouring_words_are_one_row_before_the_shuffle(spark):
+    words = spark.range(0, 1000, 1, 1).selectExpr(
+        "1L document_id", "1L page_no", "0L block_no", "0L par_no", "id div 100 AS line_no", "id AS row_no", "concat('w', id) AS text",
+        "1D x0", "2D y0", "3D x1", "4D y1", "0.5D conf")
+    runs = L._line_runs(words).collect()
+    assert [(r.starts, r.lengths, r.n, r.conf) for r in runs] == [([i], [100], 100, 50.0) for i in range(0, 1000, 100)]
+
+
 @pytest.mark.parametrize("text,height,want", [
     ("제3조 (대금지급 조건)", 10.0, True), (" 제 12 조（해지）", 10.0, True), ("제3항 (대금)", 10.0, False),
     ("Title", 11.5, True), ("Title", 11.0, False), ("제3조 (" + "가" * 130, 10.0, False)])
