@@ -39,6 +39,7 @@ LINE = [*BLOCK, "par_no", "line_no"]
 BOX = ["x0", "y0", "x1", "y1"]
 BAND = 64.0
 PAGE_ROWS = 20_000  # fragments of a page that one task takes as they are
+PACK = 64           # fragments that travel as one row
 
 
 # --------------------------------------------------------------------------- pages
@@ -411,12 +412,13 @@ def merge_visual_lines(fragments: DataFrame, block: int = PAGE_ROWS) -> DataFram
     """Join the fragments of one visual line: (page, text, box, conf).
 
     Which row takes a fragment depends on order, but only among fragments that touch
-    vertically. A page's fragments are shuffled to one task, sorted, and leave it as finished
-    lines, one stretch of touching fragments after the other. Pages of more than ``block``
+    vertically. A page's fragments are shuffled to one task, many to a row, sorted there, and leave
+    it as finished lines. Pages of more than ``block``
     fragments are cut into such stretches first, which then spread over tasks.
     """
-    slim = fragments.select(*PAGE, "text", *[F.col(c).cast("double").alias(c) for c in BOX], "conf")
-    slim = slim.withColumn("__said", strip("text"))
+    slim = fragments.select(*PAGE, "text", *[F.col(c).cast("double").alias(c) for c in (*BOX, "conf")])
+    neat = F.ascii("text").between(33, 126) & F.ascii(F.right("text", F.lit(1))).between(33, 126)
+    slim = slim.withColumn("__said", F.when(~neat, strip("text")))  # null where it is the text
     large = slim.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block).select(*PAGE)
     large = cut(large)
     if large.isEmpty():
@@ -426,6 +428,44 @@ def merge_visual_lines(fragments: DataFrame, block: int = PAGE_ROWS) -> DataFram
     return _merged(few, PAGE).unionByName(_merged(cutup, [*PAGE, "island"]).drop("island"))
 
 
+def _key_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether a row's key differs from that of the row before."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = batch.column(k)
+        new[1:] |= np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), True))
+    return new
+
+
+def _packs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Up to ``PACK`` fragments of a key that follow each other as one row of arrays, so that the
+    shuffle and the sort by key handle few rows."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(_key_starts(batch, keys))
+            size = np.diff(np.append(starts, batch.num_rows))
+            begin = np.flatnonzero((np.arange(batch.num_rows) - np.repeat(starts, size)) % PACK == 0)
+            ends = pa.array(np.append(begin, batch.num_rows).astype(np.int32))
+            head = batch.select(keys).take(pa.array(begin))
+            yield pa.RecordBatch.from_arrays([*head.columns, *(pa.ListArray.from_arrays(ends, batch.column(c)) for c in columns)],
+                                             names=[*keys, *columns])
+
+    columns = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, *columns).mapInArrow(pack, T.StructType(
+        [*rows.select(*keys).schema.fields, *(T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in columns)]))
+
+
+def _unpacked(batch: pa.RecordBatch, keys: list[str]) -> pa.RecordBatch:
+    columns = {c: batch.column(c).flatten() for c in batch.schema.names if c not in keys}
+    size = np.asarray(pc.list_value_length(batch.column("text")))
+    head = batch.select(keys).take(pa.array(np.repeat(np.arange(batch.num_rows), size)))
+    columns["__said"] = pc.coalesce(columns["__said"], columns["text"])
+    return pa.RecordBatch.from_arrays([*head.columns, *columns.values()], names=[*keys, *columns])
+
+
 def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -433,26 +473,25 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
             if batch is not None:
                 if not batch.num_rows:
                     continue
+                batch = _unpacked(batch, keys)
                 held = batch if held is None else pa.concat_batches([held, batch])
             if held is None:
                 return
-            key = np.zeros(held.num_rows, np.int64)
-            for k in keys:
-                c = held.column(k)
-                key[1:] |= np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), True))
-            key = np.cumsum(key)
-            y0, y1 = (np.asarray(held.column(c), dtype=np.float64) for c in ("y0", "y1"))
-            reach = _reach(key, y1)
-            first = (np.diff(key, prepend=-1) != 0) | (y0 >= reach)
-            # the last stretch may go on in the next batch
-            done = len(key) if batch is None else int(np.flatnonzero(first)[-1])
+            new = _key_starts(held, keys)
+            # the last key may go on in the next batch
+            done = len(new) if batch is None else int(np.flatnonzero(new)[-1])
             if done:
-                whole = held.slice(0, done)
-                yield _lines_of(whole, keys, _visual_rows(first[:done], y0[:done], y1[:done], reach[:done]))
+                key = np.cumsum(new[:done])
+                box = {c: np.asarray(held.column(c), dtype=np.float64)[:done] for c in BOX}
+                order = np.lexsort((box["x1"], box["y1"], box["x0"], box["y0"], key))
+                y0, y1 = box["y0"][order], box["y1"][order]
+                reach = _reach(key, y1)
+                first = new[:done] | (y0 >= reach)
+                yield _lines_of(held.take(pa.array(order)), keys, _visual_rows(first, y0, y1, reach))
             held = held.slice(done)
 
     out = T.StructType([*rows.select(*keys, "text", *BOX).schema.fields, T.StructField("conf", T.DoubleType())])
-    return (rows.transform(together, keys).sortWithinPartitions(*keys, "y0", "x0", "y1", "x1").mapInArrow(run, out))
+    return _packs(rows, keys).transform(together, keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
 def ocr_heading(text: Column, height: Column, body: Column, n_lines: Column | int = 1) -> Column:

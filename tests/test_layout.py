@@ -123,6 +123,13 @@ def test_neighbouring_words_are_one_row_before_the_shuffle(spark):
     assert [(r.starts, r.lengths, r.n, r.conf) for r in runs] == [([i], [100], 100, 50.0) for i in range(0, 1000, 100)]
 
 
+def test_fragments_of_a_page_travel_many_to_a_row(spark):
+    frags = spark.range(0, 1000, 1, 1).selectExpr("1L document_id", "id div 500 AS page_no", "concat(' w', id, ' ') AS text", "1D x0")
+    packs = L._packs(frags, L.PAGE).collect()
+    assert [(r.page_no, len(r.text)) for r in packs] == [(p, n) for p in (0, 1) for n in [64] * 7 + [52]]
+    assert [t for r in packs for t in r.text] == [f" w{i} " for i in range(1000)]
+
+
 @pytest.mark.parametrize("text,height,want", [
     ("제3조 (대금지급 조건)", 10.0, True), (" 제 12 조（해지）", 10.0, True), ("제3항 (대금)", 10.0, False),
     ("Title", 11.5, True), ("Title", 11.0, False), ("제3조 (" + "가" * 130, 10.0, False)])
