@@ -233,14 +233,21 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 def table_markdown(grid: Column) -> Column:
     """Markdown of a grid: short rows padded, the first row as header."""
-    width = F.array_max(F.transform(grid, F.size))
-    clean = lambda c: F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))
+    clean = lambda c: F.replace(F.when(_neat(c), c).otherwise(strip(F.coalesce(c, F.lit("")))), F.lit("\n"), F.lit(" "))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    rows = F.transform(grid, lambda r: line(F.concat(
-        F.transform(r, clean), F.array_repeat(F.lit(""), width - F.size(r)))))
-    rule = line(F.array_repeat(F.lit("---"), width))
-    text = F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, 2, F.size(grid))), "\n")
-    return F.when(F.size(grid) > 0, text).otherwise("")
+    padded = lambda r, width: line(F.concat(F.transform(r, clean), F.array_repeat(F.lit(""), width - F.size(r))))
+    rule = lambda width: line(F.array_repeat(F.lit("---"), width))
+    headed = lambda row, width: F.concat(F.coalesce(F.concat(row, F.lit("\n")), F.lit("")), rule(width))
+    text = lambda width: F.array_join(F.transform(grid, lambda r, i: F.when(
+        i == 0, headed(padded(r, width), width)).otherwise(padded(r, width))), "\n")
+    # an array of one, so that the width is worked out once for all rows
+    widths = F.array(F.array_max(F.transform(grid, F.size)))
+    return F.when(F.size(grid) > 0, F.transform(widths, text)[0]).otherwise("")
+
+
+def _neat(text: Column) -> Column:
+    """Whether both ends are visible ASCII, so that there is nothing to strip."""
+    return F.ascii(text).between(33, 126) & F.ascii(F.right(text, F.lit(1))).between(33, 126)
 
 
 # ----------------------------------------------------------------------------- OCR
@@ -417,8 +424,7 @@ def merge_visual_lines(fragments: DataFrame, block: int = PAGE_ROWS) -> DataFram
     fragments are cut into such stretches first, which then spread over tasks.
     """
     slim = fragments.select(*PAGE, "text", *[F.col(c).cast("double").alias(c) for c in (*BOX, "conf")])
-    neat = F.ascii("text").between(33, 126) & F.ascii(F.right("text", F.lit(1))).between(33, 126)
-    slim = slim.withColumn("__said", F.when(~neat, strip("text")))  # null where it is the text
+    slim = slim.withColumn("__said", F.when(~_neat(F.col("text")), strip("text")))  # null where it is the text
     large = slim.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block).select(*PAGE)
     large = cut(large)
     if large.isEmpty():

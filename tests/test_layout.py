@@ -144,6 +144,19 @@ def test_markdown_pads_short_rows(spark):
         "| 구분 | 금액 |  |\n| --- | --- | --- |\n| 선급금 |  |  |\n| 잔금 합계 |  | x |")
 
 
+def test_markdown_of_odd_grids(spark):
+    df = spark.sql("""SELECT * FROM VALUES (0, array(array('a'), array('\u00a0b ', 'c'), null, array('', null))), (1, array(null, array('x', 'y'))),
+        (2, cast(array() AS array<array<string>>)), (3, null), (4, array(cast(array() AS array<string>))) t(id, grid)""")
+    got = [r[0] for r in df.orderBy("id").select(L.table_markdown(F.col("grid"))).collect()]
+    assert got == ["| a |  |\n| --- | --- |\n| b | c |\n|  |  |", "| --- | --- |\n| x | y |", "", "", "|  |\n|  |"]
+
+
+def test_grids_take_one_shuffle(spark):
+    from attesta.queries.layout import grids
+    plan = grids(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_page_text_is_trimmed_only_at_its_ends(spark):
     lines = [(1, 1, 0, "  "), (1, 1, 1, "  abcdefg"), (1, 1, 2, "   "), (1, 1, 3, "hijk "), (1, 2, 0, "abc"), (1, 3, 0, " ")]
     pages = [(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, True)]
