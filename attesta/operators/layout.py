@@ -89,10 +89,13 @@ def union_box() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
-def block_spans(lines: DataFrame) -> DataFrame:
-    """Where each non-blank line lands in its block's text."""
-    kept = lines.filter(~is_blank("text"))
-    upto = running(kept, BLOCK, ["line_no"], by_position("line_no"),
+def _kept(lines: DataFrame, blank_lines: bool) -> DataFrame:
+    return lines if blank_lines else lines.filter(~is_blank("text"))
+
+
+def block_spans(lines: DataFrame, blank_lines: bool = False) -> DataFrame:
+    """Where each line lands in its block's text; blank ones only with ``blank_lines``."""
+    upto = running(_kept(lines, blank_lines), BLOCK, ["line_no"], by_position("line_no"),
                    {"__upto": ("sum", (F.length("text") + 1).cast("bigint"))})
     return (upto.withColumn("text_end", F.col("__upto") - 1)
             .withColumn("text_start", F.col("text_end") - F.length("text")).drop("__upto"))

@@ -1,8 +1,10 @@
 """Queries on small tables that hold what the test data does not."""
 
 import __spark_entry__ as entry
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from attesta.operators.topics import HEAD_CHARS, document_view
 from attesta.queries import fixtures as fx
@@ -56,3 +58,18 @@ def test_every_message_has_its_ancestors(spark, tmp_path):
     pq.write_table(conversations(TALK), tmp_path / "conversations.parquet")
     rows = entry.queries()["mt1_ancestors"](spark, str(tmp_path)).filter("target < 2000").collect()
     assert sorted(map(tuple, rows)) == [(1000, 1000, 0), (1001, 1000, 0), (1001, 1001, 1), (1002, 1000, 0), (1002, 1001, 1), (1002, 1002, 2)]
+
+
+ODD = ["", " \t\n\n \r\n", None, "\n \nfirst line\n\nlast", "Title\n\nbody text of one line\n\n\n", "a \r\nb\t\r\n\tc d", "\u3000\n\xa0x\xa0\n\x0b",
+       "\n\n\n\nhead\n\n\nshort", " ", "one  two \n three\x1c\nfour", "plain text\nof two lines", '"q\\"\n{x}', "\n".join([" " * 5, "w" * 30, ""] * 30)]
+
+
+@pytest.mark.parametrize("name", ["ly3_block_spans"])
+def test_odd_texts_give_what_the_sql_gives(spark, tmp_path, name):
+    """Empty texts, blank lines, white space of all kinds, no text."""
+    pq.write_table(pa.table({"doc_id": range(len(ODD)), "text": ODD}), tmp_path / "documents.parquet")
+    got = entry.queries()[name](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+        want = con.sql(entry.oracle_sql()[name])
+        assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
