@@ -101,11 +101,10 @@ def block_spans(lines: DataFrame, blank_lines: bool = False) -> DataFrame:
             .withColumn("text_start", F.col("text_end") - F.length("text")).drop("__upto"))
 
 
-def assemble_blocks(lines: DataFrame) -> DataFrame:
-    """One row per block: its lines joined by newlines, box, largest size."""
-    kept = lines.filter(~is_blank("text"))
+def assemble_blocks(lines: DataFrame, blank_lines: bool = False) -> DataFrame:
+    """One row per block: its lines joined by newlines, box, largest size; blank lines only with ``blank_lines``."""
     texts = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"])
-    return kept.groupBy(*BLOCK).agg(
+    return _kept(lines, blank_lines).groupBy(*BLOCK).agg(
         F.array_join(texts, "\n").alias("text"), F.count("*").alias("n_lines"),
         F.min("line_no").alias("pos"), F.max("font_size").alias("max_size"), *union_box())
 
