@@ -64,14 +64,17 @@ def page_route(pages: DataFrame, lines: DataFrame) -> DataFrame:
             .drop("__chars"))
 
 
-def body_font_size(lines: DataFrame) -> DataFrame:
+def body_font_size(lines: DataFrame, chars: Column | None = None) -> DataFrame:
     """(page, body_size): the size most characters of the page are set in.
 
-    The size seen first wins a tie; a page without text has 0.
+    The size seen first wins a tie; a page without text has 0. ``chars`` is what a line counts
+    instead of its own text; then lines of 0 have a size too, which a page without text takes.
     """
     size = round_tenths(F.col("font_size").cast("double"))
-    chars = F.length(strip("text"))
-    weights = (lines.groupBy(*PAGE, F.when(chars > 0, size).alias("__size"))
+    if chars is None:
+        chars = F.length(strip("text"))
+        size = F.when(chars > 0, size)
+    weights = (lines.groupBy(*PAGE, size.alias("__size"))
                .agg(F.sum(chars).alias("__w"), F.min("line_no").alias("__first")))
     best = weights.groupBy(*PAGE).agg(F.max_by("__size", F.when(
         F.col("__size").isNotNull(), F.struct("__w", (-F.col("__first")).alias("f")))).alias("body_size"))
